@@ -1,0 +1,5 @@
+"""Empty on purpose: none of the panel work is a stream.
+
+The row-wise helpers in ``panelwave.functions`` are plain column expressions, so
+they can be used in a streaming query as they are.
+"""
