@@ -31,10 +31,20 @@ def lag1(values: Sequence[str], dtype: str = "double") -> list[str]:
     return [null_of(dtype), *values[:-1]] if values else []
 
 
-def running_total(values: Sequence[str]) -> list[str]:
-    """Sum of all values up to and including each one, null counted as 0."""
-    known = [fill_const(v, 0) for v in values]
-    return [" + ".join(known[: i + 1]) for i in range(len(known))]
+def running_totals(values: Sequence[str]) -> str:
+    """Array of the sums of all values up to and including each one, null counted as 0.
+
+    One expression for all waves: a sum per wave would repeat the earlier ones and
+    grow with the square of their number.
+    """
+    known = ", ".join(fill_const(v, "0D") for v in values)
+    step = "(sums, v) -> array_append(sums, coalesce(element_at(sums, -1), 0D) + v)"
+    return f"aggregate(array({known}), array(0D), {step})"
+
+
+def running_total(totals: str, count: int) -> list[str]:
+    """The running total at each of ``count`` positions of :func:`running_totals`."""
+    return [f"{totals}[{i + 1}]" for i in range(count)]
 
 
 def ffill(values: Sequence[str]) -> list[str]:
@@ -42,16 +52,20 @@ def ffill(values: Sequence[str]) -> list[str]:
     return [f"coalesce({', '.join(values[i::-1])})" for i in range(len(values))]
 
 
-def exposure_history(status: Sequence[str]) -> list[str]:
+def first_exposed(status: Sequence[str]) -> str:
+    """Position, from 1, of the first exposure; 0 if there is none."""
+    return f"array_position(array({', '.join(status)}), 1)"
+
+
+def exposure_history(status: Sequence[str], first: str) -> list[str]:
     """1 where the person was exposed before and is not exposed now, else 0.
 
-    ``status`` is 0/1 without nulls.
+    ``status`` is 0/1 without nulls, ``first`` the column of :func:`first_exposed`.
     """
-    out = []
-    for i, now in enumerate(status):
-        so_far = f"greatest({', '.join(status[: i + 1])})" if i else now
-        out.append(f"CASE WHEN {now} = 1 THEN 0 ELSE {so_far} END")
-    return out
+    return [
+        f"CASE WHEN {now} = 1 THEN 0 WHEN {first} BETWEEN 1 AND {i} THEN 1 ELSE 0 END"
+        for i, now in enumerate(status)
+    ]
 
 
 def emit_rows(df: DataFrame, keep: Sequence[str], rows: Sequence[dict[str, str]]) -> DataFrame:

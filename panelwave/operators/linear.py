@@ -149,7 +149,7 @@ def ols_of(m: Moments, terms: Sequence[str]) -> Fit:
     total = m.cross[p, p]
     return Fit(
         [INTERCEPT, *terms], estimate, se, math.sqrt(variance),
-        1 - rss / total if total > 0 else None, n, df,
+        float(1 - rss / total) if total > 0 else None, n, df,
     )
 
 
@@ -195,7 +195,7 @@ def within_ols(d: Design, group: str) -> Fit:
     spread = cross[p, p]
     return Fit(
         list(d.terms), estimate, se, math.sqrt(variance),
-        1 - rss / spread if spread > 0 else None, n, df, groups,
+        float(1 - rss / spread) if spread > 0 else None, n, df, groups,
     )
 
 

@@ -44,20 +44,30 @@ def global_quantiles(
     rows = df if where is None else df.where(where)
     values = rows.selectExpr(f"CAST({value} AS DOUBLE) AS v").where("v IS NOT NULL AND NOT isnan(v)")
     head = values.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).head()
-    if not head["n"]:
+    total = head["n"]
+    if not total:
         return [None for _ in shares]
-    return [_quantile(values, q, head["n"], head["low"], head["high"], sortable) for q in shares]
+    if total <= sortable:
+        return _interpolated(values, [_ranks(total, q) for q in shares])
+    return [_bracketed(values, _ranks(total, q), total, head["low"], head["high"], sortable) for q in shares]
 
 
-def _quantile(
-    values: DataFrame, share: float, total: int, low: float, high: float, sortable: int
-) -> float:
+def _ranks(total: int, share: float) -> tuple[int, int, float]:
+    """The two neighbouring ranks, from 1, and the way between them."""
     place = (total - 1) * share
     first, part = math.floor(place) + 1, place - math.floor(place)
-    second = first + (1 if part > 0 else 0)
-    if total <= sortable:
-        return _between(values, first, second, part)
+    return first, first + (1 if part > 0 else 0), part
 
+
+def _bracketed(
+    values: DataFrame,
+    ranks: tuple[int, int, float],
+    total: int,
+    low: float,
+    high: float,
+    sortable: int,
+) -> float:
+    first, second, part = ranks
     below, inside, width = 0, total, BRACKET
     while low < high:
         centre = (first - below - 0.5) / inside
@@ -75,25 +85,24 @@ def _quantile(
             low, high, below, inside = near[0], near[1], counts["below"], counts["inside"]
             kept = values.where(F.col("v").between(low, high))
             if inside <= sortable or kept.distinct().count() <= sortable:
-                return _between(kept, first - below, second - below, part)
+                return _interpolated(kept, [(first - below, second - below, part)])[0]
             continue
         if held or width > 1:
             break
         width *= 4
     kept = values.where(F.col("v").between(low, high))
-    return _between(kept, first - below, second - below, part)
+    return _interpolated(kept, [(first - below, second - below, part)])[0]
 
 
-def _between(values: DataFrame, first: int, second: int, part: float) -> float:
-    """Between the ``first``-th and ``second``-th smallest of the values."""
+def _interpolated(values: DataFrame, wanted: Sequence[tuple[int, int, float]]) -> list[float]:
+    """Values at the wanted ranks of a set with a bounded number of distinct values."""
     counted = values.groupBy("v").agg(F.count("*").alias("n"))
     upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    picked = upto.where(
-        ((F.col("upto") >= first) & (F.col("upto") - F.col("n") < first))
-        | ((F.col("upto") >= second) & (F.col("upto") - F.col("n") < second))
-    )
-    pair = picked.agg(F.min("v").alias("a"), F.max("v").alias("b")).head()
-    return pair["a"] + (pair["b"] - pair["a"]) * part
+    ranks = sorted({r for first, second, _ in wanted for r in (first, second)})
+    hit = " OR ".join(f"(upto >= {r} AND upto - n < {r})" for r in ranks)
+    found = sorted((r["upto"], r["v"]) for r in upto.where(hit).collect())
+    at = {r: next(v for last, v in found if last >= r) for r in ranks}
+    return [at[a] + (at[b] - at[a]) * part for a, b, part in wanted]
 
 
 def medians(median: float | None, k: float) -> str:

@@ -72,7 +72,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sig(value: str, name: str, digits: int = 6) -> str:
     """A number to ``digits`` significant digits after the first."""
-    return f"CAST(format_string('%.{digits}e', {value}) AS DOUBLE) AS {name}"
+    return f"try_cast(format_string('%.{digits}e', {value}) AS DOUBLE) AS {name}"
 
 
 def six(*names: str) -> list[str]:
@@ -617,9 +617,11 @@ def stratum_scores(df: DataFrame, y: str, strata: list[str]) -> DataFrame:
 
 
 def orders_scores(spark, sf_dir):
-    return stratum_scores(orders_cohorts(spark, sf_dir), "wages", ["bl", "n_jobs"]).where(
-        "e > 0 AND e < 1"
-    )
+    def build():
+        scored = stratum_scores(orders_cohorts(spark, sf_dir), "wages", ["bl", "n_jobs"])
+        return scored.where("e > 0 AND e < 1")
+
+    return once(spark, sf_dir, "orders_scores", build)
 
 
 def effect_row(df: DataFrame) -> DataFrame:

@@ -485,9 +485,9 @@ def sensitivity(head: str) -> str:
     strengths = ", ".join(f"({s}::DOUBLE)" for s in (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5))
     p = len(COHORT_TERMS)
     return head + f""", one AS (SELECT m[1][{p + 1}] AS est, sqrt(-variance * m[1][1]) AS se, CAST(df AS DOUBLE) AS df FROM fit),
-grid AS (SELECT d.s AS r2_treatment, y.s AS r2_outcome FROM (VALUES {strengths}) AS d(s), (VALUES {strengths}) AS y(s)),
+strengths AS (SELECT d.s AS r2_treatment, y.s AS r2_outcome FROM (VALUES {strengths}) AS d(s), (VALUES {strengths}) AS y(s)),
 adj AS (SELECT r2_treatment, r2_outcome, se * sqrt(df) * sqrt(r2_outcome * r2_treatment / (1 - r2_treatment)) AS bias,
-               se * sqrt((1 - r2_outcome) / (1 - r2_treatment)) * sqrt(df / (df - 1)) AS adjusted_se, est FROM grid, one),
+               se * sqrt((1 - r2_outcome) / (1 - r2_treatment)) * sqrt(df / (df - 1)) AS adjusted_se, est FROM strengths, one),
 fin AS (SELECT *, CASE WHEN est < 0 THEN est + bias ELSE est - bias END AS adjusted_estimate FROM adj)
 SELECT r2_treatment, r2_outcome, {sig('bias', 'bias', 5)}, {sig('adjusted_estimate', 'adjusted_estimate', 5)},
        {sig('adjusted_se', 'adjusted_se', 5)}, {sig('adjusted_estimate / adjusted_se', 'adjusted_t', 5)} FROM fin"""
@@ -699,14 +699,14 @@ ORACLES: dict[str, str] = {
     "diff_in_means": ORDERS_COHORT + """, d AS (SELECT count(CASE WHEN treatment = 1 THEN 1 END) AS n_treated, count(CASE WHEN treatment = 0 THEN 1 END) AS n_control,
           avg(CASE WHEN treatment = 1 THEN wages END) AS mt, avg(CASE WHEN treatment = 0 THEN wages END) AS mc FROM oc)
         SELECT n_treated, n_control, round(mt, 4) AS mean_treated, round(mc, 4) AS mean_control, round(mt - mc, 4) AS difference FROM d""",
-    "design_matrix": WITH_COHORT + "SELECT caseid, CAST(bl AS INTEGER) AS bl, CAST(region AS INTEGER) AS region, "
+    "design_matrix": WITH_COHORT + "SELECT caseid, CAST(bl AS INTEGER) AS bl, "
         + ", ".join(
             f"round(CAST({q(c)} AS DOUBLE), 6) AS {q(c)}" for c in ("log_wages", *COHORT)
         )
         + ", " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in REGION_DUMMIES.items()) + " FROM cohort",
     "design_levels": """WITH p AS (SELECT c_custkey, c_nationkey % 5 AS nation, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS bal,
             CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS segment FROM customer)
-        SELECT c_custkey, CAST(nation AS INTEGER) AS nation, segment, bal, """
+        SELECT c_custkey, bal, """
         + ", ".join(f"CAST(CASE WHEN nation = {v} THEN 1 ELSE 0 END AS DOUBLE) AS nation_{v}" for v in (1, 2, 3, 4)) + ", "
         + ", ".join(
             f"CAST(CASE WHEN segment = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS segment_{v.lower()}"

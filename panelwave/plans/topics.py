@@ -57,7 +57,8 @@ class Topic:
     ``at`` gives the wave (or year) of a source column, ``None`` to leave it out.
     ``recode`` turns one answer into named values. ``merge`` joins the answers that
     share a wave: ``"any"`` flags a positive sum, ``"spread"`` lets every stem fill
-    its own variable. ``sequence`` gets each variable as a list over the waves.
+    its own variable. ``sequence`` gets each variable as a list over the waves, and the
+    ``person`` values: one expression each over all of a person's answers.
     """
 
     name: str
@@ -67,7 +68,8 @@ class Topic:
     at: Callable[[Source], float | None] = suffix_wave
     key: str = "wave"
     merge: str | None = None
-    sequence: Callable[[dict[str, list[str]]], dict[str, list[str]]] | None = None
+    sequence: Callable[[dict[str, list[str]], dict[str, str]], dict[str, list[str]]] | None = None
+    person: Callable[[dict[str, list[str]]], dict[str, str]] | None = None
     raw: bool = False
 
 
@@ -118,15 +120,24 @@ def drugs_at(fixed: bool) -> Callable[[Source], float | None]:
 
 
 def lead_into(name: str, new: str):
-    return lambda series: {**series, new: inrow.lead1(series[name])}
+    return lambda series, person: {**series, new: inrow.lead1(series[name])}
 
 
-def exposure_sequence(series: dict[str, list[str]]) -> dict[str, list[str]]:
-    return {**series, "ever_inc": inrow.exposure_history(series["incarcerated"])}
+def exposure_person(series: dict[str, list[str]]) -> dict[str, str]:
+    return {"first": inrow.first_exposed(series["incarcerated"])}
 
 
-def work_sequence(series: dict[str, list[str]]) -> dict[str, list[str]]:
-    totals = inrow.running_total(series["weeks_worked"])
+def exposure_sequence(series, person) -> dict[str, list[str]]:
+    status = series["incarcerated"]
+    return {**series, "ever_inc": inrow.exposure_history(status, person["first"])}
+
+
+def work_person(series: dict[str, list[str]]) -> dict[str, str]:
+    return {"totals": inrow.running_totals(series["weeks_worked"])}
+
+
+def work_sequence(series, person) -> dict[str, list[str]]:
+    totals = inrow.running_total(person["totals"], len(series["weeks_worked"]))
     return {**series, "total_weeks_worked": totals, "lag_weeks_worked": inrow.lag1(totals)}
 
 
@@ -150,6 +161,7 @@ INCARCERATION = Topic(
     {"incarcerated": "int", "ever_inc": "int"},
     lambda source, value: {"incarcerated": fill_const(rc.flag_equal(value, 5), 0)},
     sequence=exposure_sequence,
+    person=exposure_person,
 )
 WAGES = Topic(
     "wages",
@@ -205,6 +217,7 @@ WORK = Topic(
     {"weeks_worked": "double", "total_weeks_worked": "double", "lag_weeks_worked": "double"},
     as_double("weeks_worked"),
     sequence=work_sequence,
+    person=work_person,
 )
 EDUCATION = Topic(
     "education",
@@ -262,6 +275,17 @@ STATIC_VARIABLES = (
 )
 
 
+class PersonColumns(dict):
+    """Names of a topic's per-person columns."""
+
+    def __init__(self, topic: str):
+        super().__init__()
+        self.topic = topic
+
+    def __missing__(self, name: str) -> str:
+        return quoted(f"{self.topic}|{name}")
+
+
 @dataclass
 class Staged:
     """A wide table with recoded columns, and where each topic's values are in it."""
@@ -318,6 +342,11 @@ def stage_topics(
             placed = {var: f"{topic.name}|{var}|{i}" for var in values}
             recoded.update({placed[var]: value for var, value in values.items()})
             layout[topic.name].append((at, placed))
+        if topic.person is not None:
+            cells = [values for _, values in layout[topic.name]]
+            answers = {v: [recoded[c[v]] for c in cells] for v in (cells[0] if cells else {})}
+            for name, value in topic.person(answers).items():
+                recoded[f"{topic.name}|{name}"] = value
     statics = static_columns(lambda name: quoted(clean_name(name))) if static else {}
     recoded.update({name: statics[name] for name in static})
     df = df.selectExpr(KEY, *aliased(recoded))
@@ -328,7 +357,8 @@ def stage_topics(
         merged = merge_rows(topic, layout[topic.name])
         series = {var: [values.get(var) for _, values in merged] for var in topic_inputs(merged)}
         if topic.sequence is not None:
-            series = topic.sequence(series)
+            person = PersonColumns(topic.name)
+            series = topic.sequence(series, person)
         rows[topic.name] = []
         for i, (at, _) in enumerate(merged):
             placed = {}

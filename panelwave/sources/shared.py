@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -26,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="panelwave-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    app = spark.conf.get("spark.app.id")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="panelwave-")
+    return _local[app]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
