@@ -31,51 +31,56 @@ def build_cohorts(
     anywhere, the exposures included, are dropped.
 
     ``history`` may cover persons and waves that ``sample`` does not; both need unique
-    (caseid, wave). The two are stacked and each baseline row looks ahead an exact
-    number of waves, so there is one exchange by person and no join however many
-    baselines there are. Covariates travel as one struct that only baseline rows have.
+    (caseid, wave). However many baselines there are, the sample is read once, looks
+    ahead an exact number of waves in a window by person, and joins one row per person
+    with the exposures at all waves needed. That row is an aggregate that combines on
+    the map side, and both sides are partitioned by person, so a sample that comes out
+    of another window by person is not shuffled again.
     """
     names = dict(covariates) if isinstance(covariates, Mapping) else {c: c for c in covariates}
     starts = sorted(set(baselines))
     ends = {b + horizon for b in starts}
-    ahead = {b + k for b in starts for k in range(1, horizon + 1)}
+    ahead = sorted({b + k for b in starts for k in range(1, horizon + 1)})
     fields = ", ".join(f"{quoted(old)} AS {quoted(new)}" for old, new in names.items())
     complete = " AND ".join(f"{quoted(old)} IS NOT NULL" for old in names)
 
-    from_sample = sample.where(f"wave IN ({listed(set(starts) | ends)})").selectExpr(
+    used = sample.where(f"wave IN ({listed(set(starts) | ends)})").selectExpr(
         "caseid",
         "wave",
-        f"wave IN ({listed(starts)}) AS start",
         f"CASE WHEN wave IN ({listed(starts)}) AND {complete} THEN struct({fields}) END AS covariates",
         f"CASE WHEN {exposed} = 1 OR {ever} = 1 THEN 1 ELSE 0 END AS tainted",
         f"CASE WHEN {exposed} = 1 THEN 1 ELSE 0 END AS exposed",
         f"CAST({outcome} AS DOUBLE) AS outcome",
-        "CAST(NULL AS INT) AS ever",
     )
-    from_history = history.where(f"wave IN ({listed(ahead)})").selectExpr(
-        "caseid", "wave", "false AS start", f"CAST({ever} AS INT) AS ever"
-    )
-    rows = from_sample.unionByName(from_history, allowMissingColumns=True)
-    looked = rows.select(
+    started = used.select(
         "caseid",
         "wave",
-        "start",
         "covariates",
         "tainted",
         value_ahead("exposed", horizon).alias("exposed_end"),
         value_ahead("outcome", horizon).alias("outcome_end"),
-        *[value_ahead("ever", k).alias(f"ever_{k}") for k in range(1, horizon + 1)],
+    ).where(
+        "covariates IS NOT NULL AND tainted = 0 AND coalesce(exposed_end, 0) = 0"
+        " AND outcome_end IS NOT NULL AND NOT isnan(outcome_end)"
+    )
+    exposures = (
+        history.where(f"wave IN ({listed(ahead)})")
+        .groupBy("caseid")
+        .agg(*[F.expr(f"max(CASE WHEN wave = {w} THEN {ever} END)").alias(f"ever_{w}") for w in ahead])
     )
-    evers = [f"ever_{k}" for k in range(1, horizon + 1)]
-    kept = looked.where(
-        "start AND covariates IS NOT NULL AND tainted = 0 AND coalesce(exposed_end, 0) = 0"
-        " AND outcome_end IS NOT NULL AND NOT isnan(outcome_end) AND "
-        + " AND ".join(f"{e} IS NOT NULL" for e in evers)
+    by_start = {
+        k: "CASE wave " + " ".join(f"WHEN {b} THEN ever_{b + k}" for b in starts) + " END"
+        for k in range(1, horizon + 1)
+    }
+    followed = started.join(exposures, "caseid").selectExpr(
+        "caseid", "wave", "covariates", "outcome_end",
+        *[f"{expr} AS after_{k}" for k, expr in by_start.items()],
     )
-    return kept.selectExpr(
+    after = [f"after_{k}" for k in by_start]
+    return followed.where(" AND ".join(f"{a} IS NOT NULL" for a in after)).selectExpr(
         "wave AS bl",
         "caseid",
-        f"{row_max(*evers)} AS treatment" if horizon > 1 else f"{evers[0]} AS treatment",
+        f"{row_max(*after) if horizon > 1 else after[0]} AS treatment",
         f"outcome_end AS {quoted(outcome)}",
         "covariates.*",
     )
