@@ -52,7 +52,9 @@ def customer_cells(
     customer = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey", "c_nationkey", "CAST(round(c_acctbal * 100) AS BIGINT) AS bal"
     )
-    return customer.join(by_customer, "c_custkey", "left")
+    # Both sides come partitioned by customer, so the wide cells are not broadcast and
+    # the recodes that follow are spread over all tasks.
+    return customer.repartition("c_custkey").join(by_customer.hint("merge"), "c_custkey", "left")
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
