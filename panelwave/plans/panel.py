@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from panelwave.functions.nullsafe import quoted
 from panelwave.functions.waves import year_to_wave
 from panelwave.operators.inrow import emit_rows, null_of
 from panelwave.operators.joins import natural_left
@@ -71,12 +70,12 @@ def build_panel(
 
     rows: list[dict[str, str]] = []
     for wave in by_wave[tp.AGE.name]:
-        row = {"wave": str(int(wave)), "age": quoted(by_wave[tp.AGE.name][wave]["age"])}
+        row = {"wave": str(int(wave)), "age": by_wave[tp.AGE.name][wave]["age"]}
         for topic in used:
             at = years.get(wave) if topic is tp.WELFARE else wave
             found = by_wave[topic.name].get(at, {})
             for var, dtype in topic.variables.items():
-                row[var] = quoted(found[var]) if var in found else null_of(dtype)
+                row[var] = found[var] if var in found else null_of(dtype)
             if topic is tp.UNION:
                 row["year"] = str(int(years[wave])) if wave in years else null_of("int")
             if topic is tp.WELFARE and "welfare" in wanted:
@@ -86,7 +85,7 @@ def build_panel(
 
 
 def keyed_once(topic: tp.Topic, staged: tp.Staged) -> dict[float, dict[str, str]]:
-    """Placement by wave (by year for welfare); a repeated one is an error."""
+    """Values by wave (by year for welfare); a repeated one is an error."""
     placed: dict[float, dict[str, str]] = {}
     for at, values in staged.rows[topic.name]:
         at = year_to_wave(at) if topic is tp.UNION else at

@@ -288,7 +288,7 @@ class PersonColumns(dict):
 
 @dataclass
 class Staged:
-    """A wide table with recoded columns, and where each topic's values are in it."""
+    """A wide table with recoded columns, and each topic's values as expressions over it."""
 
     df: DataFrame
     rows: dict[str, list[tuple[float, dict[str, str]]]] = field(default_factory=dict)
@@ -312,11 +312,12 @@ def static_columns(id_value: Callable[[str], str]) -> dict[str, str]:
 def stage_topics(
     wide: DataFrame, topics: Sequence[Topic], id_col: str = "CASEID", static: Sequence[str] = ()
 ) -> Staged:
-    """Recode the topics' columns in place: narrow projections over the wide rows.
+    """Recode the topics' columns in place: two narrow projections over the wide rows.
 
-    Three projections follow each other: missing codes to null, recodes per answer,
-    and merges and sequences per person. Keeping them apart lets a value that a
-    sequence needs many times be computed once.
+    The first turns missing codes to null, the second recodes each answer and adds
+    what a topic needs per person. Merges and sequences stay expressions over those
+    columns and are evaluated where rows are emitted; another projection as wide as
+    the survey would cost more than it saves.
     """
     names = [c for c in wide.columns if c != id_col]
     sources = {t.name: located(parse_names(names, t.rule, id_col), t) for t in topics}
@@ -351,23 +352,17 @@ def stage_topics(
     recoded.update({name: statics[name] for name in static})
     df = df.selectExpr(KEY, *aliased(recoded))
 
-    final: dict[str, str] = {name: name for name in static}
     rows: dict[str, list[tuple[float, dict[str, str]]]] = {}
     for topic in topics:
         merged = merge_rows(topic, layout[topic.name])
         series = {var: [values.get(var) for _, values in merged] for var in topic_inputs(merged)}
         if topic.sequence is not None:
-            person = PersonColumns(topic.name)
-            series = topic.sequence(series, person)
-        rows[topic.name] = []
-        for i, (at, _) in enumerate(merged):
-            placed = {}
-            for var in series:
-                if series[var][i] is not None:
-                    placed[var] = f"{topic.name}.{var}.{i}"
-                    final[placed[var]] = as_type(series[var][i], topic.variables[var])
-            rows[topic.name].append((at, placed))
-    return Staged(df.selectExpr(KEY, *aliased(final)), rows)
+            series = topic.sequence(series, PersonColumns(topic.name))
+        rows[topic.name] = [
+            (at, {v: as_type(s[i], topic.variables[v]) for v, s in series.items() if s[i] is not None})
+            for i, (at, _) in enumerate(merged)
+        ]
+    return Staged(df, rows)
 
 
 def aliased(values: Mapping[str, str]) -> list[str]:
@@ -435,7 +430,7 @@ def topic_rows(
         if topic is UNION:
             row["wave"] = number_literal(wv.year_to_wave(at), whole_wave)
         for var in wanted:
-            row[var] = quoted(values[var]) if var in values else null_of(topic.variables[var])
+            row[var] = values[var] if var in values else null_of(topic.variables[var])
         out.append(row)
     return out
 
