@@ -6,6 +6,7 @@ Spark application, as the cleaned panel is by all analyses of it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ from panelwave.plans import samples as sm
 from panelwave.plans import topics as tp
 from panelwave.sources import derived as dv
 from panelwave.sources import names as nm
-from panelwave.sources.shared import saved
+from panelwave.sources.shared import saved, shared_dir
+from panelwave.sources.survey_csv import read_wide
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -79,7 +81,15 @@ def six(*names: str) -> list[str]:
     return [f"round({n}, 6) AS {n}" for n in names]
 
 
-# --- selection, missing values, reshape ------------------------------------------
+# --- sources, selection, missing values, reshape ----------------------------------
+
+
+def read_wide_csv(spark, sf_dir):
+    """Part of the survey written as CSV files to the shared folder and read back."""
+    wide = nm.select_prefix(survey(spark, sf_dir), "HRP1", "SAMPLE", keep=["CASEID"])
+    path = f"{shared_dir(spark)}/{spark.conf.get('spark.app.id')}/csv-{uuid.uuid4().hex[:8]}"
+    wide.write.csv(path, header=True)
+    return nm.snake_names(read_wide(spark, path))
 
 
 def select_and_drop(spark, sf_dir):
@@ -785,6 +795,7 @@ def support_curve(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "survey_wide": lambda spark, sf_dir: nm.snake_names(survey(spark, sf_dir)),
+    "read_wide_csv": read_wide_csv,
     "select_and_drop": select_and_drop,
     "select_by_substring": select_by_substring,
     "sentinel_null": sentinel_null,

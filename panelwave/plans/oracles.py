@@ -555,7 +555,81 @@ def wide_query(columns: str) -> str:
     return "WITH " + CELL.strip().rstrip(",") + f" SELECT c AS caseid, {columns} FROM cell GROUP BY c"
 
 
+def survey_codes() -> str:
+    """The raw survey, missing codes and all, pivoted from the long cells."""
+    age = "CASE WHEN away THEN -5 ELSE 16 + yr - 1979 + c % 8 END"
+    home = "CASE WHEN inc = 1 THEN 5 WHEN away THEN -5 WHEN n > 0 THEN 1 + c % 4 ELSE -4 END"
+    income = (
+        "CASE WHEN away THEN -5 WHEN (c + k) % 29 = 0 THEN -1 WHEN n > 0 THEN floor(cents / 1000) ELSE -4 END"
+    )
+    esr = f"coalesce({ESR}, -5)"
+    industry = "CASE WHEN n = 0 THEN -4 ELSE ind END"
+    welfare = (
+        "CASE WHEN away THEN -5 WHEN n > 0 THEN 0 WHEN (c + k) % 97 = 0 THEN amt * 50"
+        " WHEN (c + k) % 3 = 0 THEN amt ELSE -4 END"
+    )
+    years = [1979 + k if k < 16 else 2 * (k + 982) for k in range(27)]
+
+    def by_year(expr: str, name) -> str:
+        return ", ".join(
+            f"CAST(max(CASE WHEN k = {k} THEN {expr} END) AS DOUBLE) AS {name(y)}"
+            for k, y in enumerate(years)
+        )
+
+    def item(name: str, count: int, blank: int, code: int, factor: int, every: int) -> list[str]:
+        return [
+            f"CAST(CASE WHEN (c + {j}) % {blank} = 0 THEN {code} WHEN (c * {factor} + {j}) % {every} = 0"
+            f" THEN 1 ELSE 0 END AS DOUBLE) AS {name if j == 0 else f'{name}_{j}'}"
+            for j in range(count)
+        ]
+
+    police = {
+        "police_1": "CASE WHEN c % 9 = 0 THEN -4 ELSE (c // 2) % 2 END",
+        "police_2": "CASE WHEN c % 3 = 0 THEN -4 ELSE (c // 4) % 2 END",
+        "police_3": "CASE WHEN c % 4 = 0 THEN -4 WHEN c % 10 = 1 THEN 1 ELSE 0 END",
+        "police_6": "CASE WHEN c % 5 = 0 THEN -2 WHEN (c // 3) % 4 = 0 THEN 1 ELSE 0 END",
+        "police_7": "CASE WHEN c % 6 = 0 THEN -4 WHEN (c // 5) % 8 = 0 THEN 1 ELSE 0 END",
+    }
+    parts = [
+        wide_pivot("ageatint", age),
+        wide_pivot("hh1_1", home),
+        wide_pivot("q13_5", income, range(3)),
+        wide_pivot("q13_5_trunc_revised", income, range(3, 19)),
+        wide_pivot("q13_5_trunc", income, range(19, 27)),
+        wide_pivot("povstatus", "CASE WHEN away THEN -5 WHEN (c + k) % 13 = 0 THEN -3 ELSE (nk + k) % 2 END"),
+        wide_pivot("urban_rural", "CASE WHEN away THEN -5 WHEN (c + k) % 17 = 0 THEN -4 ELSE (c + k // 4) % 2 END"),
+        wide_pivot("hgc", f"coalesce({EDYEARS}, -5)"),
+        wide_pivot("wkswk_pcy", "CASE WHEN away THEN -5 ELSE n * 9 END"),
+        wide_pivot("marstat_key", "CASE WHEN away THEN -5 ELSE 1 + (c + k // 6) % 3 END"),
+        wide_pivot("esr_key", esr, [*range(18), 21]),
+        wide_pivot("cps_qes_56c", WORKER_RAW, range(15)),
+        wide_pivot("qes_56c_01", WORKER_RAW, range(15, 27)),
+        wide_pivot("region", REGION_RAW),
+        wide_pivot("cpsind70", industry, range(15)),
+        *[wide_pivot(f"indall_emp_01_{k}", industry, [k]) for k in range(10, 27)],
+        wide_pivot("hrp1", WAGE_RAW),
+        by_year("CASE WHEN away THEN -5 ELSE 1 + (c * 3 + k) % 4 END", lambda y: f"enrollmtrev{y % 100:02d}"),
+        by_year("CASE WHEN n = 0 THEN -4 WHEN n > 1 THEN 1 ELSE 0 END", lambda y: f"employers_all_union_{y}_01"),
+        by_year("CASE WHEN away THEN -4 WHEN (nk + k) % 3 = 0 THEN 1 ELSE 0 END", lambda y: f"employers_all_union_{y}_02"),
+        by_year(welfare, lambda y: f"welfare_amt_{y}_tot"),
+        *item("ds_11", 5, 6, -4, 1, 11),
+        *item("ds_15", 5, 5, -2, 3, 13),
+        *item("ds_19", 3, 7, -4, 1, 4),
+        "CAST(CASE WHEN c % 23 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS drug_1",
+        "CAST(any_value(nk) % 3 + 1 AS DOUBLE) AS sample_race",
+        "CAST(c % 2 + 1 AS DOUBLE) AS sample_sex",
+        "CAST(CASE WHEN any_value(bal) < 0 THEN -4 ELSE floor(any_value(bal) / 10) END AS DOUBLE) AS afqt_1",
+        *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in police.items()],
+    ]
+    return wide_query(", ".join(parts))
+
+
 ORACLES: dict[str, str] = {
+    "survey_wide": survey_codes(),
+    "read_wide_csv": wide_query(
+        wide_pivot("hrp1", WAGE_RAW)
+        + ", CAST(any_value(nk) % 3 + 1 AS DOUBLE) AS sample_race, CAST(c % 2 + 1 AS DOUBLE) AS sample_sex"
+    ),
     "select_and_drop": select_and_drop(),
     "select_by_substring": wide_query(
         ", ".join([
