@@ -566,6 +566,13 @@ def random_intercept_small(spark, sf_dir):
     )
 
 
+def random_intercept_small_fit(spark, sf_dir):
+    fit = ln.random_intercept(orders_design(spark, sf_dir, "treatment"), "caseid")
+    return ln.fit_table(spark, fit).selectExpr(
+        "n", "df", "n_groups", sig("sigma", "sigma", 3), sig("group_sd", "group_sd", 3)
+    )
+
+
 def fitted_residuals(spark, sf_dir):
     made = mo.cohort_design(cohort(spark, sf_dir))
     return ln.score(made, ln.ols(made)).selectExpr(
@@ -869,6 +876,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "random_intercept": random_intercept,
     "random_intercept_fit": random_intercept_fit,
     "random_intercept_small": random_intercept_small,
+    "random_intercept_small_fit": random_intercept_small_fit,
     "fitted_residuals": fitted_residuals,
     "within_residuals": within_residuals,
     "effect_table": effect_table,
