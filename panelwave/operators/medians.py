@@ -13,7 +13,7 @@ from panelwave.functions.nullsafe import fill_const, null_if, number
 from panelwave.functions.recode import flag_at_least
 
 # Distinct values that one task may sort in the last step.
-SORTABLE = 1_000_000
+SORTABLE = 100_000
 BRACKET = 0.001
 ACCURACY = 10_000
 
@@ -49,7 +49,12 @@ def global_quantiles(
         return [None for _ in shares]
     if total <= sortable:
         return _interpolated(values, [_ranks(total, q) for q in shares])
-    return [_bracketed(values, _ranks(total, q), total, head["low"], head["high"], sortable) for q in shares]
+    ranks = [_ranks(total, q) for q in shares]
+    whole = (head["low"], head["high"], 0, total)
+    first = _narrowed(values, [whole] * len(ranks), ranks, BRACKET)
+    return [
+        _bracketed(values, r, found or whole, sortable) for r, found in zip(ranks, first)
+    ]
 
 
 def _ranks(total: int, share: float) -> tuple[int, int, float]:
@@ -59,39 +64,59 @@ def _ranks(total: int, share: float) -> tuple[int, int, float]:
     return first, first + (1 if part > 0 else 0), part
 
 
+Bracket = tuple[float, float, int, int]  # low, high, rows below, rows inside
+
+
+def _narrowed(
+    values: DataFrame, brackets: Sequence[Bracket], ranks: Sequence[tuple], width: float
+) -> list[Bracket | None]:
+    """A narrower bracket around each rank, in two passes over the values for all of
+    them; ``None`` where the approximate quantiles missed the rank."""
+    sketches = []
+    for i, ((low, high, below, inside), (first, _, _)) in enumerate(zip(brackets, ranks)):
+        centre = (first - below - 0.5) / inside
+        shares = [max(0.0, centre - width), min(1.0, centre + width)]
+        within = F.when(F.col("v").between(low, high), F.col("v"))
+        sketches.append(F.percentile_approx(within, shares, ACCURACY).alias(f"q{i}"))
+    near = values.agg(*sketches).head()
+    counts = values.agg(
+        *[
+            F.count(F.when(F.col("v") < near[f"q{i}"][0], 1)).alias(f"below{i}")
+            for i in range(len(ranks))
+        ],
+        *[
+            F.count(F.when(F.col("v").between(*near[f"q{i}"]), 1)).alias(f"inside{i}")
+            for i in range(len(ranks))
+        ],
+    ).head()
+    out: list[Bracket | None] = []
+    for i, (first, second, _) in enumerate(ranks):
+        below, inside = counts[f"below{i}"], counts[f"inside{i}"]
+        held = below < first and second <= below + inside
+        out.append((*near[f"q{i}"], below, inside) if held else None)
+    return out
+
+
 def _bracketed(
-    values: DataFrame,
-    ranks: tuple[int, int, float],
-    total: int,
-    low: float,
-    high: float,
-    sortable: int,
+    values: DataFrame, rank: tuple[int, int, float], bracket: Bracket, sortable: int
 ) -> float:
-    first, second, part = ranks
-    below, inside, width = 0, total, BRACKET
-    while low < high:
-        centre = (first - below - 0.5) / inside
-        near = values.where(F.col("v").between(low, high)).agg(
-            F.percentile_approx(
-                "v", [max(0.0, centre - width), min(1.0, centre + width)], ACCURACY
-            ).alias("q")
-        ).head()["q"]
-        counts = values.agg(
-            F.count(F.when(F.col("v") < near[0], 1)).alias("below"),
-            F.count(F.when(F.col("v").between(near[0], near[1]), 1)).alias("inside"),
-        ).head()
-        held = counts["below"] < first and second <= counts["below"] + counts["inside"]
-        if held and counts["inside"] < inside:
-            low, high, below, inside = near[0], near[1], counts["below"], counts["inside"]
-            kept = values.where(F.col("v").between(low, high))
-            if inside <= sortable or kept.distinct().count() <= sortable:
-                return _interpolated(kept, [(first - below, second - below, part)])[0]
-            continue
-        if held or width > 1:
-            break
-        width *= 4
-    kept = values.where(F.col("v").between(low, high))
-    return _interpolated(kept, [(first - below, second - below, part)])[0]
+    """The value at ``rank``, from a bracket narrowed until it can be sorted."""
+    first, second, part = rank
+    width = BRACKET
+    while True:
+        low, high, below, inside = bracket
+        if low == high:
+            return low
+        kept = values.where(F.col("v").between(low, high))
+        if inside <= sortable or kept.distinct().count() <= sortable:
+            return _interpolated(kept, [(first - below, second - below, part)])[0]
+        (found,) = _narrowed(values, [bracket], [rank], width)
+        if found is not None and found[3] < inside:
+            bracket, width = found, BRACKET
+        elif found is None and width < 1:
+            width *= 4
+        else:
+            return _interpolated(kept, [(first - below, second - below, part)])[0]
 
 
 def _interpolated(values: DataFrame, wanted: Sequence[tuple[int, int, float]]) -> list[float]:
