@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwave.functions.nullsafe import quoted
+from panelwave.functions.nullsafe import assert_unique, quoted
 from panelwave.functions.recode import row_max
 from panelwave.operators.history import value_ahead
 
@@ -21,6 +21,7 @@ def build_cohorts(
     horizon: int = 3,
     exposed: str = "incarcerated",
     ever: str = "ever_inc",
+    check_keys: bool = False,
 ) -> DataFrame:
     """One row per person and baseline wave, all baselines in one pass.
 
@@ -31,12 +32,15 @@ def build_cohorts(
     anywhere, the exposures included, are dropped.
 
     ``history`` may cover persons and waves that ``sample`` does not; both need unique
-    (caseid, wave). However many baselines there are, the sample is read once, looks
+    (caseid, wave), which ``check_keys`` verifies. However many baselines there are, the sample is read once, looks
     ahead an exact number of waves in a window by person, and joins one row per person
     with the exposures at all waves needed. That row is an aggregate that combines on
     the map side, and both sides are partitioned by person, so a sample that comes out
     of another window by person is not shuffled again.
     """
+    if check_keys:
+        assert_unique(sample, ["caseid", "wave"])
+        assert_unique(history, ["caseid", "wave"])
     names = dict(covariates) if isinstance(covariates, Mapping) else {c: c for c in covariates}
     starts = sorted(set(baselines))
     ends = {b + horizon for b in starts}

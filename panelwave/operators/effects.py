@@ -133,40 +133,36 @@ def common_support(df: DataFrame, t: str, rule: str = "sd", width: float = 1.0)
 
     ``"sd"``: the counterfactual prediction may not be less certain than the worst
     factual prediction of the row's own arm plus ``width`` standard deviations of those.
-    ``"propensity"``: ``e`` has to lie in the range seen in the other arm. The cuts
-    are a single row of aggregates, so joining them moves nothing else.
+    ``"propensity"``: ``e`` has to lie in the range seen in the other arm. The cuts are
+    one row of aggregates; they enter the row test as numbers.
     """
+    arms = (0, 1)
     if rule == "sd":
         cuts = df.agg(
             *[
                 F.expr(
-                    f"max(CASE WHEN {t} = {a} THEN sd{a} END) + {width} * "
-                    f"stddev_samp(CASE WHEN {t} = {a} THEN sd{a} END)"
+                    f"max(CASE WHEN {t} = {a} THEN sd{a} END) + {width} * coalesce("
+                    f"stddev_samp(CASE WHEN {t} = {a} THEN sd{a} END), 0)"
                 ).alias(f"cut{a}")
-                for a in (0, 1)
+                for a in arms
             ]
+        ).head()
+        inside = (
+            f"CASE WHEN {t} = 1 THEN sd0 <= {number(cuts['cut1'])} ELSE sd1 <= {number(cuts['cut0'])} END"
         )
-        inside = f"CASE WHEN {t} = 1 THEN sd0 <= cut1 ELSE sd1 <= cut0 END"
-        names = ["cut0", "cut1"]
     elif rule == "propensity":
         cuts = df.agg(
             *[
                 F.expr(f"{f}(CASE WHEN {t} = {a} THEN e END)").alias(f"{f}{a}")
                 for f in ("min", "max")
-                for a in (0, 1)
+                for a in arms
             ]
-        )
-        inside = (
-            f"CASE WHEN {t} = 1 THEN e BETWEEN min0 AND max0 ELSE e BETWEEN min1 AND max1 END"
-        )
-        names = ["min0", "min1", "max0", "max1"]
+        ).head()
+        seen = {a: f"{number(cuts[f'min{a}'])} AND {number(cuts[f'max{a}'])}" for a in arms}
+        inside = f"CASE WHEN {t} = 1 THEN e BETWEEN {seen[0]} ELSE e BETWEEN {seen[1]} END"
     else:
         raise ValueError(f"rule must be 'sd' or 'propensity', got {rule!r}")
-    return (
-        df.crossJoin(F.broadcast(cuts))
-        .withColumn("supported", F.expr(f"CASE WHEN {inside} THEN 1 ELSE 0 END"))
-        .drop(*names)
-    )
+    return df.withColumn("supported", F.expr(f"CASE WHEN {inside} THEN 1 ELSE 0 END"))
 
 
 def influence_average(df: DataFrame, value: str, weight: str, group: str) -> DataFrame:

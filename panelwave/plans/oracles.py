@@ -869,8 +869,8 @@ ORACLES: dict[str, str] = {
     "att_augmented_given_scores": influence(
         "CASE WHEN treatment = 1 THEN wages - 1.1 * mu0 ELSE -e / (1 - e) * (wages - 1.1 * mu0) END", "treatment"
     ),
-    "support_given_sds": SCORES + """, cut AS (SELECT max(CASE WHEN treatment = 1 THEN sd1 END) + 0.25 * stddev_samp(CASE WHEN treatment = 1 THEN sd1 END) AS c1,
-          max(CASE WHEN treatment = 0 THEN sd0 END) + 0.25 * stddev_samp(CASE WHEN treatment = 0 THEN sd0 END) AS c0 FROM sc),
+    "support_given_sds": SCORES + """, cut AS (SELECT max(CASE WHEN treatment = 1 THEN sd1 END) + 0.25 * coalesce(stddev_samp(CASE WHEN treatment = 1 THEN sd1 END), 0) AS c1,
+          max(CASE WHEN treatment = 0 THEN sd0 END) + 0.25 * coalesce(stddev_samp(CASE WHEN treatment = 0 THEN sd0 END), 0) AS c0 FROM sc),
         z AS (SELECT treatment, CASE WHEN (treatment = 1 AND sd0 <= c1) OR (treatment = 0 AND sd1 <= c0) THEN 1 ELSE 0 END AS supported,
                CASE WHEN treatment = 1 THEN sd1 ELSE sd0 END AS f, CASE WHEN treatment = 1 THEN sd0 ELSE sd1 END AS cf FROM sc, cut)
         SELECT treatment, supported, count(*) AS n, """ + sig("avg(f)", "sd_factual") + ", " + sig("avg(cf)", "sd_counterfactual") + " FROM z GROUP BY 1, 2",

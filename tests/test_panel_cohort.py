@@ -107,4 +107,6 @@ def test_history_may_reach_beyond_the_sample(spark):
     history = spark.createDataFrame([(1, 1, 1, 0), (1, 2, 0, 1), (1, 3, 0, 1)], "caseid bigint, wave int, incarcerated int, ever_inc int")
     (row,) = build_cohorts(sample, history, "y", ["x"], [0], 3).collect()
     assert tuple(row) == (0, 1, 1, 5.0, 2.0)
+    with pytest.raises(ValueError, match="not unique"):
+        build_cohorts(sample.union(sample), history, "y", ["x"], [0], 3, check_keys=True)
     assert difference_in_means(build_cohorts(sample, history, "y", ["x"], [0], 3), "y").head().mean_treated == 5.0
