@@ -110,3 +110,41 @@ def test_history_may_reach_beyond_the_sample(spark):
     with pytest.raises(ValueError, match="not unique"):
         build_cohorts(sample.union(sample), history, "y", ["x"], [0], 3, check_keys=True)
     assert difference_in_means(build_cohorts(sample, history, "y", ["x"], [0], 3), "y").head().mean_treated == 5.0
+
+
+def test_cohorts_shuffle_sample_and_history_once(spark, survey):
+    from panelwave.plans import samples as sm
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        panel = saved(pn.build_panel(survey), "panel")
+        made = sm.cohorts(sm.sample_two(panel), tp.topic_table(survey, tp.INCARCERATION))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+    assert "PushedFilters: [IsNotNull(female)" in plan
+
+
+def test_one_person_with_a_third_of_all_orders(spark, tmp_path):
+    """A hot customer is one row after the map side and gets the same answer as any other."""
+    n = 30_000
+    orders = spark.range(n).selectExpr(
+        "id AS o_orderkey",
+        "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 50 END AS o_custkey",
+        "CASE WHEN id % 7 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus",
+        "CAST(id % 100 AS DOUBLE) AS o_totalprice",
+        "CAST(date_add(DATE '1995-01-01', CAST(id % 2000 AS INT)) AS TIMESTAMP_NTZ) AS o_orderdate",
+        "CASE WHEN id % 5 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS o_orderpriority",
+    )
+    people = spark.range(50).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "1D AS c_acctbal")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    people.write.parquet(str(tmp_path / "customer.parquet"))
+    got = ordered(dv.orders_panel(spark, str(tmp_path)))
+    pdf = orders.toPandas()
+    pdf["wave"] = pd.to_datetime(pdf.o_orderdate).dt.year - 1995
+    want = pdf.groupby(["o_custkey", "wave"]).o_totalprice.agg(["sum", "count"])
+    assert len(got) == 350 and got.n_jobs.sum() == n
+    for row in got.dropna(subset=["n_jobs"]).itertuples():
+        assert (row.wages, row.n_jobs) == tuple(want.loc[(row.caseid, row.wave)])
