@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm.ngram_join import ngram_jaccard_join
+from llm.packing import document_pieces, harmonic_pack
+from llm.token_counts import token_counts
+from llm.token_files import new_folder, read_token_files, write_token_files
+from llm.toxicity import HELD_OUT, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,37 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir))
 
 
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_pack(document_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    shards = write_token_files(documents(spark, sf_dir), tokenizer, new_folder(spark))
+    return read_token_files(shards).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op6_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(documents(spark, sf_dir), labels).select(
+        "doc_id",
+        F.expr(f"{HELD_OUT.format('doc_id')} = 1").alias("held_out"),
+        "score",
+        F.expr("int(score >= 0.7)").alias("predicted"),
+        "rejected",
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_harmonic_packing": op2_harmonic_packing,
+    "op5_token_files": op5_token_files,
+    "op6_conv_toxicity": op6_conv_toxicity,
+    "op9_token_counts": op9_token_counts,
 }

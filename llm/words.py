@@ -16,10 +16,16 @@ BASE = 0x9E3779B97F4A7C15
 SLAB = 1 << 18  # bytes hashed at a time, unless one text is longer
 
 _rng = np.random.default_rng(20240607)
-_byte = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_byte[65:91] = _byte[97:123]
-_space = np.zeros(256, bool)
-_space[list(SPACES)] = True
+EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+LOWER = EXACT.copy()  # A-Z hash as a-z
+LOWER[65:91] = LOWER[97:123]
+_graph = np.arange(256)
+_alnum = (_graph >= 128) | ((_graph >= 48) & (_graph < 58)) | ((_graph | 32) >= 97) & ((_graph | 32) < 123)
+# classes of bytes: 0 separates, and a run of one other class is a word
+WORDS = np.ones(256, np.int8)  # all but white space
+WORDS[list(SPACES)] = 0
+ALNUM = _alnum.astype(np.int8)  # letters and digits, and all that is not ASCII
+PUNCT = np.where(WORDS == 0, 0, np.where(_alnum, 1, 2)).astype(np.int8)  # those, and runs of signs
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -44,16 +50,26 @@ def _power(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word in bytes ``data``, which must end in a space."""
-    space = _space[data]
-    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    end = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+def word_hashes(
+    data: np.ndarray, classes: np.ndarray = WORDS, values: np.ndarray = LOWER, prefix: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word in bytes ``data``, which must end in a space.
+
+    With ``prefix``, a second column of hashes has the first so many bytes of each word.
+    """
+    kind = classes[data]
+    turn = np.concatenate(([True], kind[1:] != kind[:-1]))
+    start = np.flatnonzero(turn & (kind != 0))
+    end = np.flatnonzero(turn[1:] & (kind[:-1] != 0)) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte[data] * _power(len(data), BASE), out=sums[1:])
+    np.cumsum(values[data] * _power(len(data), BASE), out=sums[1:])
     inverse = pow(BASE, -1, 2**64)
-    value = (sums[end] - sums[start]) * _power(len(data), inverse)[start]
-    return mix(value + (end - start).astype(np.uint64)), start
+    back = _power(len(data), inverse)[start]
+    whole = mix((sums[end] - sums[start]) * back + (end - start).astype(np.uint64))
+    if not prefix:
+        return whole, start
+    stop = np.minimum(end, start + prefix)
+    return np.stack((whole, mix(~((sums[stop] - sums[start]) * back))), axis=1), start
 
 
 def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
@@ -82,7 +98,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
 
 
-def words_by_text(column: pa.Array):
+def words_by_text(column: pa.Array, classes: np.ndarray = WORDS, values: np.ndarray = LOWER, prefix: int = 0):
     """For each text in order, the hashes of its words."""
     data, offsets = texts_bytes(column)
     i = 0
@@ -91,7 +107,7 @@ def words_by_text(column: pa.Array):
         parts = data[offsets[i] : offsets[j]]
         # one space after each text keeps words apart
         padded = np.insert(parts, offsets[i + 1 : j + 1] - offsets[i], 32)
-        hashes, start = word_hashes(padded)
+        hashes, start = word_hashes(padded, classes, values, prefix)
         first = np.searchsorted(start, offsets[i : j + 1] - offsets[i] + np.arange(j - i + 1))
         for a, b in zip(first[:-1], first[1:], strict=True):
             yield hashes[a:b]
