@@ -11,8 +11,9 @@ A text is its set of distinct word 5-grams. Two texts link when
    short lists. (Length is taken in powers of two, then the hash decides: any order that all
    classes share is exact.) Classes whose lists of one class already exhaust the rest, and
    all those without T shared shingles, are done.
-3. Candidates come from merging the short lists, and each candidate is checked by
-   binary search of the long lists' shingles in the partner's set, until T is reached.
+3. Candidates come from merging the short lists: what a pair has in common there, and at most
+   T - 1 more, must reach the overlap it needs. Each is checked by binary search in the
+   partner's set.
 
 For components not every pair is needed. Each class is first checked against the most
 central class (fewest unshared shingles) of the lists they meet in, and only pairs whose
@@ -38,6 +39,7 @@ from llm.words import shingle_sets
 
 TASK_POSTINGS = 1 << 22  # packed at a time in a task
 LIST_POSTINGS = 1 << 22  # postings that meet in a task
+BLOCK = 256  # members of a list that are sent on together
 KEPT_BITS = 48  # of a shingle hash, once it has been counted
 
 
@@ -113,8 +115,8 @@ def _packed(docs: DataFrame, text: str, n: int, bits: int) -> DataFrame:
     )
 
 
-def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    """Inverted lists of a hash range; per class, its shingles in lists of two classes or more."""
+def _meet(group: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Inverted lists of a hash range; the shingles in lists of two classes or more, by class range."""
     hashes, owner, keys, sizes, seen = [], [], [], [], 0
     for low, high, own, key, size in zip(
         group["low"], group["high"], group["owner"], group["keys"], group["sizes"], strict=True
@@ -150,13 +152,15 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     owner = owner[keep]
     order = np.argsort(owner, kind="stable")
     ranked, owner = ranked[order].astype(np.int64), owner[order]
-    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    # classes ascend, so a range of them is a slice
+    target = unique[owner] >> (64 - bits) if bits else np.zeros(len(owner), np.int64)
+    edges = np.flatnonzero(np.diff(target, prepend=target[:1] - 1))
     ends = np.append(edges[1:], len(owner))[: len(edges)]
     return pd.DataFrame(
         {
-            "class": unique[owner[edges]],
-            "n": sizes[owner[edges]],
-            "shared": (ends - edges).astype(np.int64),
+            "target": target[edges],
+            "class": [unique[owner[a:b]].tobytes() for a, b in zip(edges, ends, strict=True)],
+            "n": [sizes[owner[a:b]].tobytes() for a, b in zip(edges, ends, strict=True)],
             "ranked": [ranked[a:b].tobytes() for a, b in zip(edges, ends, strict=True)],
         }
     )
@@ -165,29 +169,24 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
 def _searched(parts: DataFrame, num: int, den: int) -> DataFrame:
     """Classes that can have a partner: shared shingles in order, and how many lists are short."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ranked = [np.sort(np.frombuffer(b"".join(x), np.int64)) for x in b.column(2).to_pylist()]
-            n = b.column(1).to_numpy()
-            short = [len(r) - (-(-num * int(k) // den)) + 1 for r, k in zip(ranked, n, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array([int(k) - len(r) for r, k in zip(ranked, n, strict=True)], pa.int64()),
-                    pa.array([r.tobytes() for r in ranked], pa.binary()),
-                    pa.array([r[:s] for r, s in zip(ranked, short, strict=True)], pa.list_(pa.int64())),
-                ],
-                ["class", "n", "unshared", "ranked", "short"],
-            )
-
-    whole = (
-        parts.groupBy("class")
-        .agg(F.first("n").alias("n"), F.collect_list("ranked").alias("ranked"), F.sum("shared").alias("k"))
-        .where(f"{den} * k >= {num} * n")
-        .select("class", "n", "ranked")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        owner, size, ranked = (
+            np.concatenate([np.frombuffer(x, np.int64) for x in group[c]]) for c in ("class", "n", "ranked")
+        )
+        order = np.lexsort((ranked, owner))
+        owner, size, ranked = owner[order], size[order], ranked[order]
+        edges = np.flatnonzero(np.diff(owner, prepend=~owner[:1]))
+        rows = []
+        for a, b in zip(edges, np.append(edges[1:], len(owner))[: len(edges)], strict=True):
+            n = int(size[a])
+            need = -(-num * n // den)
+            if b - a >= need:
+                rows.append((owner[a], n, n - (b - a), ranked[a:b].tobytes(), ranked[a : b - need + 1]))
+        return pd.DataFrame(rows, columns=["class", "n", "unshared", "ranked", "short"])
+
+    return parts.groupBy("target").applyInPandas(
+        run, "class long, n long, unshared long, ranked binary, short array<long>"
     )
-    return whole.mapInArrow(run, "class long, n long, unshared long, ranked binary, short array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -217,9 +216,42 @@ def _possible(num: int, den: int, a: str, b: str) -> str:
     return f"{den} * {most} >= {num} * ({a}.n + {b}.n - {most})"
 
 
+def _merged(left: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share enough short lists, merged list by list.
+
+    The class of the lesser component seeks in its lists, whose members come in blocks of a
+    bounded number, the same classes in the same block of every list.
+    """
+    longest = left.agg(F.max("len")).head()[0] or 0
+    blocks = 1 << (longest // BLOCK).bit_length()
+    columns = ["class", "n", "unshared", "last", "comp", "size"]
+    held = (
+        left.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks))).groupBy("h", "block")
+        .agg(*[F.collect_list(c).alias(f"y_{c}") for c in columns])
+    )
+    seekers = left.where(F.struct("size", "comp") < F.col("top")).select("h", *columns)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        x = group.iloc[0]
+        y = {c: np.concatenate(group[f"y_{c}"].to_list()) for c in columns}
+        most = np.minimum(x["n"] - x["unshared"], y["n"] - y["unshared"])
+        ok = (y["size"] > x["size"]) | ((y["size"] == x["size"]) & (y["comp"] > x["comp"]))
+        ok &= den * most >= num * (x["n"] + y["n"] - most)
+        other, first, count = np.unique(y["class"][ok], return_index=True, return_counts=True)
+        n, last = y["n"][ok][first], y["last"][ok][first]
+        # both have all their shingles up to the lesser ``last`` in short lists
+        rest = -(-num * np.where(x["last"] <= last, x["n"], n) // den) - 1
+        enough = count + rest >= -(-num * (x["n"] + n) // (num + den))
+        return pd.DataFrame({"a": x["class"], "b": other[enough]})
+
+    return seekers.join(held, "h").groupBy("class", "block").applyInPandas(merge, "a long, b long")
+
+
 def class_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """``(node, component)`` of the classes that link with another one."""
-    entries = sets.select("class", "n", "unshared", F.explode("short").alias("h"))
+    entries = sets.select(
+        "class", "n", "unshared", F.element_at("short", -1).alias("last"), F.explode("short").alias("h")
+    )
     central = F.struct((F.col("unshared") / F.col("n")).alias("u"), "class", "n", "unshared")
     lists = entries.groupBy("h").agg(F.count("*").alias("len"), F.min(central).alias("c")).where("len > 1")
     entries = cut(
@@ -231,25 +263,19 @@ def class_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     )
     links = cut(_verified(stars, sets, num, den))
     found = components(links, "a", "b")
+    sized = found.join(found.groupBy("component").count(), "component").withColumnRenamed("node", "class")
     marked = cut(
-        entries.join(found.withColumnRenamed("node", "class"), "class", "left")
-        .select("h", "class", "n", "unshared", F.coalesce("component", "class").alias("comp"))
+        entries.join(sized, "class", "left").select(
+            "h", "class", "n", "unshared", "last",
+            F.coalesce("component", "class").alias("comp"), F.coalesce("count", F.lit(1)).alias("size"),
+        )
     )
-    # lists that still hold several components, and the largest of them in each
-    by_comp = marked.groupBy("h", "comp").count()
+    rank = F.struct("size", "comp")
     apart = (
-        by_comp.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("k"))
-        .where("k > 1").select("h", F.col("m.comp").alias("main"))
-    )
-    left = cut(marked.join(apart, "h"))
-    pairs = (
-        left.alias("x").where("x.comp <> x.main")
-        .join(left.alias("y"), "h")
-        .where("x.comp <> y.comp and (y.comp = y.main or x.class < y.class)")
-        .where(_possible(num, den, "x", "y"))
-        .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-        .distinct()
+        marked.groupBy("h").agg(F.max(rank).alias("top"), F.min(rank).alias("low"), F.count("*").alias("len"))
+        .where("top <> low").select("h", "top", "len")
     )
+    pairs = _merged(cut(marked.join(apart, "h")), num, den)
     more = _verified(pairs, sets, num, den)
     return components(links.unionAll(more), "a", "b")
 
@@ -270,7 +296,9 @@ def ngram_jaccard_join(
     lists = _packed(docs, text, n, bits).repartition(
         max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits), "bucket"
     )
-    parts = lists.groupBy("bucket").applyInPandas(_meet, "class long, n long, shared long, ranked binary")
+    parts = lists.groupBy("bucket").applyInPandas(
+        lambda group: _meet(group, bits), "target long, class binary, n binary, ranked binary"
+    )
     sets = cut(_searched(parts, num, den))
     found = class_links(sets, num, den)
     ids = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
