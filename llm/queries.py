@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import document_pieces, harmonic_pack
+from llm.pii import KINDS, pii_spans, span_text
+from llm.quality import quality_resample
 from llm.token_counts import token_counts
 from llm.token_files import new_folder, read_token_files, write_token_files
 from llm.toxicity import HELD_OUT, toxicity
@@ -27,6 +29,24 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(document_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [
+        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(KINDS)
+    ]
+    return pii_spans(documents(spark, sf_dir)).select(
+        "doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("all")).alias("spans"),
+    )
+
+
+def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_resample(documents(spark, sf_dir), labels).select(
+        "doc_id", "log_weight", "gumbel_key", "selected"
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     shards = write_token_files(documents(spark, sf_dir), tokenizer, new_folder(spark))
@@ -53,6 +73,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_pii_spans": op3_pii_spans,
+    "op4_quality_resample": op4_quality_resample,
     "op5_token_files": op5_token_files,
     "op6_conv_toxicity": op6_conv_toxicity,
     "op9_token_counts": op9_token_counts,
