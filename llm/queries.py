@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.fingerprint import compare_with_next
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import document_pieces, harmonic_pack
 from llm.pii import KINDS, pii_spans, span_text
@@ -70,6 +71,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -78,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_conv_toxicity": op6_conv_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }
