@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.embedding_neardup import near_duplicates
 from llm.fingerprint import compare_with_next
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import document_pieces, harmonic_pack
+from llm.pieces import encode_texts
 from llm.pii import KINDS, pii_spans, span_text
 from llm.quality import quality_resample
 from llm.token_counts import token_counts
@@ -67,6 +69,16 @@ def op6_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "decodes"
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -82,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_resample": op4_quality_resample,
     "op5_token_files": op5_token_files,
     "op6_conv_toxicity": op6_conv_toxicity,
+    "op7_embedding_neardup": op7_embedding_neardup,
+    "op8_unigram_pieces": op8_unigram_pieces,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
