@@ -2,9 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from llm.ngram_join import ngram_jaccard_join
+from llm.packing import document_pieces, harmonic_pack
+from llm.pii import pii_spans, redacted
+from llm.quality import quality_resample
+from llm.toxicity import toxicity
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below their language's threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(docs, labels).where("NOT rejected").select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The Gumbel top-k of documents by importance weight for good text."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_resample(docs, labels).where("selected").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each component of the n-gram join.
+
+    Documents without an id are not linked and stay.
+    """
+    component = ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(component, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind, n_chars counted anew."""
+    names = docs.columns
+    found = pii_spans(docs)
+    clean = found.withColumn("text", redacted(F.coalesce("text", F.lit("")), F.col("all")))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return harmonic_pack(document_pieces(docs, TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("ngram_join", drop_near_copies),
+    ("pii", redact_pii),
+    ("packing", pack),
+]
+
+# trained classifiers and a tokenizer decide: not for SQL, tested against plain versions of each stage
 ORACLE_SQL = None
 
 
