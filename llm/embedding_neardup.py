@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by a robust-pruned flat graph over overlapping shards.
 
 Within a label, vectors are dealt into shards around centroids drawn by least hash, a vector
-between two centroids into both; a shard that is still large is dealt again, and the whole is
+between centroids into each of them; a shard that is still large is dealt again, and the whole is
 done ``REPEATS`` times with other centroids. In each shard every vector gets the neighbours that
 robust pruning leaves (a candidate goes if a kept neighbour is ``ALPHA`` times nearer to it than the
 vector is). The lists of a vector are united over all shards. Each shard is then searched with the
@@ -31,7 +31,7 @@ THRESHOLD = 0.93
 SHARD = 1000  # vectors of a shard
 FAN = 8  # centroids into which a large shard is dealt
 LEVELS = 12
-MARGIN = 0.06  # of cosine, within which a second centroid gets the vector too
+MARGIN = 0.06  # of cosine, within which further centroids get the vector too
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 24
@@ -65,12 +65,14 @@ def _deal(nodes: DataFrame, seed: int) -> DataFrame:
     """``(shard, node, v)``: overlapping shards of bounded size."""
     width = F.size("v").cast("string")
     now = nodes.select(F.concat_ws("/", F.col("label").cast("string"), width, F.lit(seed)).alias("shard"), "node", "v")
-    done, before = None, None
+    done, stuck = None, None
     for level in range(LEVELS):
         sizes = now.groupBy("shard").count()
-        large = sizes.where(f"count > {SHARD}")
         small = now.join(sizes.where(f"count <= {SHARD}").select("shard"), "shard", "left_semi")
         done = small if done is None else done.unionAll(small)
+        large = cut(sizes.where(f"count > {SHARD}"))
+        if large.isEmpty():
+            break
         h = F.xxhash64("node", F.lit(seed * 100 + level))
         rest = now.join(large.select("shard"), "shard", "left_semi").withColumn("h", h)
         drawn = rest.groupBy("shard", F.pmod("h", F.lit(FAN)).alias("c")).agg(F.min(F.struct("h", "v")).alias("m"))
@@ -82,31 +84,29 @@ def _deal(nodes: DataFrame, seed: int) -> DataFrame:
                 for shard, group in b.groupby("shard", sort=False):
                     centre = sorted((c["c"], c["v"]) for c in group["centres"].iloc[0])
                     near = unit(group["v"]) @ unit([c[1] for c in centre]).T
-                    best = near.max(axis=1)
-                    first = near.argmax(axis=1)
-                    rows = np.arange(len(near))
-                    others = near.copy()
-                    others[rows, first] = -2
-                    second = others.argmax(axis=1)
-                    both = others[rows, second] >= best - MARGIN
-                    for pick, who in ((first, rows), (second, rows[both])):
-                        part = group.iloc[who][["node", "v"]].copy()
-                        part.insert(0, "shard", [f"{shard}/{pick[i]}" for i in who])
-                        out.append(part)
+                    who, pick = np.nonzero(near >= near.max(axis=1, keepdims=True) - MARGIN)
+                    part = group.iloc[who][["node", "v"]].copy()
+                    part.insert(0, "shard", [f"{shard}/{c}" for c in pick])
+                    part.insert(0, "parent", shard)
+                    out.append(part)
                 yield pd.concat(out)
 
-        schema = now.select("shard", "node", "v").schema
-        dealt = rest.join(centres, "shard").select("shard", "node", "v", "centres").mapInPandas(nearest, schema)
-        now = cut(dealt.distinct() if level else dealt)
-        left = now.groupBy("shard").count().where(f"count > {SHARD}").agg(F.count("*"), F.max("count")).head()
-        if left[0] == 0:
-            return done.unionAll(now)
-        if before is not None and left[1] > 0.9 * before:
-            break
-        before = left[1]
-    # no centroids part these: every two blocks of a shard meet
-    sizes = now.groupBy("shard").count().withColumn("blocks", F.ceil(F.col("count") / (SHARD // 2)).cast("int"))
-    blocks = now.join(sizes, "shard").withColumn("b", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int"))
+        dealt = rest.join(centres, "shard").select("shard", "node", "v", "centres")
+        dealt = cut(dealt.mapInPandas(nearest, "parent string, shard string, node long, v array<double>"))
+        # a shard that a centroid takes nearly whole is too dense for centroids, and stays as it was
+        largest = dealt.groupBy("parent", "shard").count().groupBy("parent").agg(F.max("count").alias("most"))
+        dense = largest.join(large.withColumnRenamed("shard", "parent"), "parent").where("most > 0.8 * count")
+        dense = cut(dense.select("parent"))
+        held = rest.select("shard", "node", "v").join(dense.withColumnRenamed("parent", "shard"), "shard", "left_semi")
+        stuck = held if stuck is None else stuck.unionAll(held)
+        now = dealt.join(dense, "parent", "left_anti").select("shard", "node", "v")
+    else:
+        stuck = stuck.unionAll(now)
+    if stuck is None:
+        return done
+    # every two blocks of such a shard meet
+    sizes = stuck.groupBy("shard").count().withColumn("blocks", F.ceil(F.col("count") / (SHARD // 2)).cast("int"))
+    blocks = stuck.join(sizes, "shard").withColumn("b", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int"))
     paired = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.concat_ws("/", "shard", F.least("b", "o"), F.greatest("b", "o")).alias("shard"), "node", "v"
     )
@@ -141,7 +141,11 @@ def _lists(shards: DataFrame) -> DataFrame:
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         x, node = unit(group["v"]), group["node"].to_numpy()
-        return pd.DataFrame({"node": node, "near": [node[k] for k in _prune(x @ x.T)]})
+        near = [list(k) for k in _prune(x @ x.T)]
+        for i, kept in enumerate([list(k) for k in near]):
+            for j in kept:  # links go both ways, so that no vector is out of reach
+                near[j].append(i)
+        return pd.DataFrame({"node": node, "near": [node[np.unique(np.array(k, np.int64))] for k in near]})
 
     lists = shards.groupBy("shard").applyInPandas(build, "node long, near array<long>")
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
