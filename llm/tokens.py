@@ -119,8 +119,8 @@ def word_ids(path: str, texts):
     for group in _grouped(texts):
         words = [t.split() for t in group]
         known = memo.learn(set(chain.from_iterable(words)))
-        for w in words:
-            yield b"".join(map(known.__getitem__, w))
+        # all before any is given out: the memo may learn other texts in between
+        yield from [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 def _stretches(text: bytes) -> list[bytes] | None:
@@ -146,6 +146,7 @@ def stretch_counts(path: str, texts):
         ]
         known = later.learn(set(chain.from_iterable(s[1:] for s in split if s)), " ")
         begun = first.learn({s[0] for s in split if s} | set(chain.from_iterable(w for w in whole if w)))
+        found = []
         for s, w in zip(split, whole, strict=True):
             if s is not None:
                 lengths = np.fromiter(map(len, s), np.int64, len(s))
@@ -155,4 +156,6 @@ def stretch_counts(path: str, texts):
                 w = [x for x in w if x]
                 lengths = np.fromiter(map(len, w), np.int64, len(w))
                 counts = np.fromiter(map(begun.__getitem__, w), np.int64, len(w))
-            yield np.cumsum(lengths), counts
+            found.append((np.cumsum(lengths), counts))
+        # all before any is given out: the memo may learn other texts in between
+        yield from found
