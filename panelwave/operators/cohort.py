@@ -29,7 +29,8 @@ def build_cohorts(
     is exposed at *b + horizon*. ``covariates`` (old name to new) come from the sample
     at *b*, ``treatment`` is the largest ``ever`` of ``history`` over the waves up to
     *b + horizon*, and the outcome is the sample's at *b + horizon*. Rows with a null
-    anywhere, the exposures included, are dropped.
+    anywhere, the exposures at all waves ahead included, or with a covariate or outcome that
+    is not a number, are dropped.
 
     ``history`` may cover persons and waves that ``sample`` does not; both need unique
     (caseid, wave), which ``check_keys`` verifies. However many baselines there are, the sample is read once, looks
@@ -46,7 +47,11 @@ def build_cohorts(
     ends = {b + horizon for b in starts}
     ahead = sorted({b + k for b in starts for k in range(1, horizon + 1)})
     fields = ", ".join(f"{quoted(old)} AS {quoted(new)}" for old, new in names.items())
-    complete = " AND ".join(f"{quoted(old)} IS NOT NULL" for old in names)
+    floating = {f.name for f in sample.schema if f.dataType.typeName() in ("double", "float")}
+    complete = " AND ".join(
+        f"{quoted(old)} IS NOT NULL" + (f" AND NOT isnan({quoted(old)})" if old in floating else "")
+        for old in names
+    )
 
     used = sample.where(f"wave IN ({listed(set(starts) | ends)})").selectExpr(
         "caseid",
@@ -70,7 +75,13 @@ def build_cohorts(
     exposures = (
         history.where(f"wave IN ({listed(ahead)})")
         .groupBy("caseid")
-        .agg(*[F.expr(f"max(CASE WHEN wave = {w} THEN {ever} END)").alias(f"ever_{w}") for w in ahead])
+        # a wave counts only if the exposure itself was observed there, too
+        .agg(
+            *[
+                F.expr(f"max(CASE WHEN wave = {w} AND {exposed} IS NOT NULL THEN {ever} END)").alias(f"ever_{w}")
+                for w in ahead
+            ]
+        )
     )
     by_start = {
         k: "CASE wave " + " ".join(f"WHEN {b} THEN ever_{b + k}" for b in starts) + " END"

@@ -85,8 +85,8 @@ def six(*names: str) -> list[str]:
 
 
 def read_wide_csv(spark, sf_dir):
-    """Part of the survey written as CSV files to the shared folder and read back."""
-    wide = nm.select_prefix(survey(spark, sf_dir), "HRP1", "SAMPLE", keep=["CASEID"])
+    """The whole survey written as CSV files to the shared folder and read back."""
+    wide = survey(spark, sf_dir)
     path = f"{shared_dir(spark)}/{spark.conf.get('spark.app.id')}/csv-{uuid.uuid4().hex[:8]}"
     wide.write.csv(path, header=True)
     return nm.snake_names(read_wide(spark, path))
@@ -102,7 +102,7 @@ def select_by_substring(spark, sf_dir):
 
 
 def sentinel_null(spark, sf_dir):
-    wide = nm.select_prefix(survey(spark, sf_dir), "Q13.5", "URBAN", keep=["CASEID"])
+    wide = survey(spark, sf_dir)
     return nm.snake_names(ns.null_sentinels(wide, cols=[c for c in wide.columns if c != "CASEID"]))
 
 
@@ -327,9 +327,10 @@ def deflate_and_log(spark, sf_dir):
 
 def rowwise_max(spark, sf_dir):
     wide = nm.snake_names(
-        ns.null_sentinels(nm.select_prefix(survey(spark, sf_dir), "DS.19", keep=["CASEID"]))
+        ns.null_sentinels(nm.select_prefix(survey(spark, sf_dir), "DS.", keep=["CASEID"]))
     )
-    return wide.selectExpr("caseid", f"{rc.row_max('ds_19', 'ds_19_1', 'ds_19_2')} AS largest")
+    answers = [c for c in wide.columns if c != "caseid"]
+    return wide.selectExpr("caseid", f"{rc.row_max(*answers)} AS largest")
 
 
 def cap_k_median(spark, sf_dir):
@@ -339,7 +340,7 @@ def cap_k_median(spark, sf_dir):
 
 def filter_below_k_median(spark, sf_dir):
     orders = dv.orders_panel(spark, sf_dir).select("caseid", "wave", "wages")
-    return md.filter_below_k_median(orders, "wages", 2, "wave > 0")
+    return md.filter_below_k_median(orders, "wages", 2)
 
 
 def global_medians(spark, sf_dir):
@@ -600,10 +601,10 @@ def estimate_of(spark, fit, term) -> DataFrame:
 
 def linear_effects(spark, sf_dir) -> dict[str, DataFrame]:
     within = ln.within_ols(mo.within_design(sample_one(spark, sf_dir)), "caseid")
-    naive = ln.ols(mo.cohort_design(cohort(spark, sf_dir)))
+    naive = ln.ols(mo.naive_design(sample_two(spark, sf_dir)))
     return {
         "Within": estimate_of(spark, within, "ever_inc"),
-        "Naive OLS": estimate_of(spark, naive, "treatment"),
+        "Naive OLS": estimate_of(spark, naive, "ever_inc"),
     }
 
 
@@ -633,31 +634,39 @@ def stratum_scores(df: DataFrame, y: str, strata: list[str]) -> DataFrame:
     return df.join(cells, strata)
 
 
-def orders_scores(spark, sf_dir):
-    def build():
-        scored = stratum_scores(orders_cohorts(spark, sf_dir), "wages", ["bl", "n_jobs"])
-        return scored.where("e > 0 AND e < 1")
+BOTH_ARMS = "e > 0 AND e < 1"
+
 
-    return once(spark, sf_dir, "orders_scores", build)
+def orders_scores(spark, sf_dir):
+    """Every cohort row with its stratum's scores; a stratum of one arm lacks the other's."""
+    return once(
+        spark, sf_dir, "orders_scores",
+        lambda: stratum_scores(orders_cohorts(spark, sf_dir), "wages", ["bl", "n_jobs"]),
+    )
 
 
-def effect_row(df: DataFrame) -> DataFrame:
-    return df.selectExpr(
-        "n_rows", "n_persons", *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
+def effect_row(found: DataFrame, scored: DataFrame) -> DataFrame:
+    """An estimate over the rows whose stratum has both arms, and how many rows lack one."""
+    dropped = scored.agg(F.count(F.expr(f"CASE WHEN NOT ({BOTH_ARMS}) THEN 1 END")).alias("n_dropped"))
+    return found.crossJoin(dropped).selectExpr(  # one row each
+        "n_rows", "n_persons", "n_dropped", *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
     )
 
 
 def aipw_given_scores(spark, sf_dir):
-    return effect_row(ef.ate(orders_scores(spark, sf_dir), "wages", "treatment", "caseid"))
+    scored = orders_scores(spark, sf_dir)
+    return effect_row(ef.ate(scored.where(BOTH_ARMS), "wages", "treatment", "caseid"), scored)
 
 
 def att_given_scores(spark, sf_dir):
-    return effect_row(ef.att(orders_scores(spark, sf_dir), "treatment", "caseid"))
+    scored = orders_scores(spark, sf_dir)
+    return effect_row(ef.att(scored.where(BOTH_ARMS), "treatment", "caseid"), scored)
 
 
 def att_augmented_given_scores(spark, sf_dir):
-    shifted = orders_scores(spark, sf_dir).withColumn("mu0", F.expr("mu0 * 1.1D"))
-    return effect_row(ef.att_augmented(shifted, "wages", "treatment", "caseid"))
+    scored = orders_scores(spark, sf_dir)
+    shifted = scored.where(BOTH_ARMS).withColumn("mu0", F.expr("mu0 * 1.1D"))
+    return effect_row(ef.att_augmented(shifted, "wages", "treatment", "caseid"), scored)
 
 
 def support_given_sds(spark, sf_dir):
@@ -683,7 +692,7 @@ def person_effects(spark, sf_dir):
 
 def att_of_draws(spark, sf_dir):
     """Five draws of each surface made from the stratum means by fixed factors."""
-    drawn = orders_scores(spark, sf_dir).selectExpr(
+    drawn = orders_scores(spark, sf_dir).where(BOTH_ARMS).selectExpr(
         "treatment",
         "transform(sequence(1, 5), i -> mu1 * (1 + i / 100D)) AS draws1",
         "transform(sequence(1, 5), i -> mu0 * (1 + i / 50D)) AS draws0",
@@ -787,7 +796,8 @@ def binned_out(df: DataFrame) -> DataFrame:
 
 def individual_effects(spark, sf_dir):
     """Quantiles of the individual differences, all rows and treated rows."""
-    scored = orders_scores(spark, sf_dir).selectExpr("treatment", "mu1 - mu0 AS difference")
+    known = orders_scores(spark, sf_dir).where(BOTH_ARMS)
+    scored = known.selectExpr("treatment", "mu1 - mu0 AS difference")
     table = dg.quantile_table(
         scored, "difference", (0.1, 0.25, 0.5, 0.75, 0.9), {"all": "true", "treated": "treatment = 1"}
     )
@@ -795,7 +805,10 @@ def individual_effects(spark, sf_dir):
 
 
 def support_curve(spark, sf_dir):
-    """Support plot data: treated-arm prediction by bins of the individual difference."""
+    """Support plot data: treated-arm prediction by bins of the individual difference.
+
+    The bin without a number holds the rows whose stratum lacks an arm.
+    """
     scored = orders_scores(spark, sf_dir)
     return binned_out(dg.binned(scored, "mu1 - mu0", "mu1", -400000, 400000, 16))
 

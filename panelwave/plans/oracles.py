@@ -328,7 +328,8 @@ SCORES = ORDERS_COHORT + """, cells AS (
          stddev_samp(CASE WHEN treatment = 1 THEN wages END) AS sd1,
          stddev_samp(CASE WHEN treatment = 0 THEN wages END) AS sd0
   FROM oc GROUP BY ALL),
-sc AS (SELECT * FROM oc JOIN cells USING (bl, n_jobs) WHERE e > 0 AND e < 1)
+sc_all AS (SELECT * FROM oc JOIN cells USING (bl, n_jobs)),
+sc AS (SELECT * FROM sc_all WHERE e > 0 AND e < 1)
 """
 EVENTS = """WITH ep AS (
   SELECT user_id AS caseid, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS wave,
@@ -465,7 +466,7 @@ COHORT_FIT = WITH_COHORT + sweep("cohort", COHORT_TERMS, "log_wages")
 WITHIN_FIT = WITH_SAMPLE_ONE + sweep("sample1", WITHIN_TERMS, "log_wages", "caseid")
 
 EFFECT_SELECT = ", ".join(
-    ["CAST(n_rows AS BIGINT) AS n_rows", "CAST(n_persons AS BIGINT) AS n_persons", sig("est", "estimate"), sig("sd", "sd"),
+    ["CAST(n_rows AS BIGINT) AS n_rows", "CAST(n_persons AS BIGINT) AS n_persons", "(SELECT count(*) FROM sc_all WHERE NOT (e > 0 AND e < 1)) AS n_dropped", sig("est", "estimate"), sig("sd", "sd"),
      sig("est - 1.96 * sd", "ci_lower"), sig("est + 1.96 * sd", "ci_upper")]
 )
 
@@ -503,7 +504,7 @@ scored AS (SELECT caseid, wave, yb + slope * (n_jobs - xb) AS fitted, wages - yb
 def binned(head: str, x: str, y: str, source: str, low: float, high: float, bins: int) -> str:
     width = (high - low) / bins
     return head + f""", bx AS (SELECT {x} AS x, {y} AS v FROM {source})
-SELECT CAST(CASE WHEN x < {low} THEN 0 WHEN x >= {high} THEN {bins + 1} ELSE floor((x - ({low})) / {width}) + 1 END AS INTEGER) AS bin,
+SELECT CAST(CASE WHEN x IS NULL THEN NULL WHEN x < {low} THEN 0 WHEN x >= {high} THEN {bins + 1} ELSE floor((x - ({low})) / {width}) + 1 END AS INTEGER) AS bin,
        count(*) AS n, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS sd, round(min(v), 3) AS low, round(max(v), 3) AS high
 FROM bx GROUP BY 1"""
 
@@ -659,10 +660,7 @@ def survey_codes() -> str:
 
 ORACLES: dict[str, str] = {
     "survey_wide": survey_codes(),
-    "read_wide_csv": wide_query(
-        wide_pivot("hrp1", WAGE_RAW)
-        + ", CAST(any_value(nk) % 3 + 1 AS DOUBLE) AS sample_race, CAST(c % 2 + 1 AS DOUBLE) AS sample_sex"
-    ),
+    "read_wide_csv": "SELECT caseid, CAST(COLUMNS(* EXCLUDE (caseid)) AS DOUBLE) FROM (" + survey_codes() + ")",
     "select_and_drop": select_and_drop(),
     "select_by_substring": wide_query(
         ", ".join([
@@ -670,14 +668,8 @@ ORACLES: dict[str, str] = {
             wide_pivot("qes_56c_01", WORKER_RAW, range(15, 27)),
         ])
     ),
-    "sentinel_null": wide_query(
-        ", ".join([
-            wide_pivot("q13_5", INCOME_RAW, range(3)),
-            wide_pivot("q13_5_trunc_revised", INCOME_RAW, range(3, 19)),
-            wide_pivot("q13_5_trunc", INCOME_RAW, range(19, 27)),
-            wide_pivot("urban_rural", URBAN),
-        ])
-    ),
+    "sentinel_null": "SELECT caseid, CASE WHEN COLUMNS('^[^c]|^cps') NOT IN (-1, -2, -3, -4, -5)"
+        " THEN COLUMNS('^[^c]|^cps') END AS '\\0' FROM (" + survey_codes() + ")",
     "melt_keep_nulls": from_cells(
         f"c AS caseid, CASE WHEN k = 0 THEN 'AGEATINT' ELSE 'AGEATINT.' || k END AS variable, CAST({AGE} AS DOUBLE) AS age"
     ),
@@ -776,14 +768,17 @@ ORACLES: dict[str, str] = {
         FROM ep e""",
     "deflate_and_log": PANEL + "SELECT caseid, wave, round(wages / coalesce(idx, 1), 6) AS wages_real, round(income_past_year / idx, 6) AS income_real,"
         " round(ln(wages + 1), 6) AS log_wages, round(ln(age / 100), 6) AS log_age_share FROM panel LEFT JOIN " + INDEX + " ON w = wave",
-    "rowwise_max": """
-        SELECT c_custkey AS caseid, CAST(max(CASE WHEN (c_custkey + j) % 7 <> 0 THEN CASE WHEN (c_custkey + j) % 4 = 0 THEN 1 ELSE 0 END END) AS DOUBLE) AS largest
-        FROM customer, (SELECT unnest(range(3)) AS j) GROUP BY 1""",
+    "rowwise_max": "SELECT caseid, greatest("
+        + ", ".join(
+            f"CASE WHEN {c} >= 0 THEN {c} END"
+            for stem, n in (("ds_11", 5), ("ds_15", 5), ("ds_19", 3)) for c in (stem, *(f"{stem}_{j}" for j in range(1, n)))
+        )
+        + ") AS largest FROM (" + survey_codes() + ")",
     "cap_k_median": EVENTS + """, w AS (SELECT caseid, wave, coalesce(welfare, 0) AS welfare FROM ep)
         SELECT caseid, wave, CASE WHEN welfare <= 2 * (SELECT median(welfare) FROM w WHERE welfare >= 1) THEN welfare END AS welfare,
                CAST(CASE WHEN welfare < 1 THEN 0 ELSE 1 END AS INTEGER) AS welfare_indicator FROM w""",
     "filter_below_k_median": ORDERS + """SELECT caseid, wave, wages FROM op
-        WHERE wages > 0 AND wages < 2 * (SELECT median(wages) FROM op) AND wave > 0""",
+        WHERE wages > 0 AND wages < 2 * (SELECT median(wages) FROM op)""",
     "global_medians": quantile_rows(
         "", "l_extendedprice", "lineitem", (0.25, 0.5, 0.9), {"all": "true", "returned": "l_returnflag = 'R'"}, None
     ),
@@ -870,13 +865,13 @@ ORACLES: dict[str, str] = {
         "CASE WHEN treatment = 1 THEN wages - 1.1 * mu0 ELSE -e / (1 - e) * (wages - 1.1 * mu0) END", "treatment"
     ),
     "support_given_sds": SCORES + """, cut AS (SELECT max(CASE WHEN treatment = 1 THEN sd1 END) + 0.25 * coalesce(stddev_samp(CASE WHEN treatment = 1 THEN sd1 END), 0) AS c1,
-          max(CASE WHEN treatment = 0 THEN sd0 END) + 0.25 * coalesce(stddev_samp(CASE WHEN treatment = 0 THEN sd0 END), 0) AS c0 FROM sc),
+          max(CASE WHEN treatment = 0 THEN sd0 END) + 0.25 * coalesce(stddev_samp(CASE WHEN treatment = 0 THEN sd0 END), 0) AS c0 FROM sc_all),
         z AS (SELECT treatment, CASE WHEN (treatment = 1 AND sd0 <= c1) OR (treatment = 0 AND sd1 <= c0) THEN 1 ELSE 0 END AS supported,
-               CASE WHEN treatment = 1 THEN sd1 ELSE sd0 END AS f, CASE WHEN treatment = 1 THEN sd0 ELSE sd1 END AS cf FROM sc, cut)
+               CASE WHEN treatment = 1 THEN sd1 ELSE sd0 END AS f, CASE WHEN treatment = 1 THEN sd0 ELSE sd1 END AS cf FROM sc_all, cut)
         SELECT treatment, supported, count(*) AS n, """ + sig("avg(f)", "sd_factual") + ", " + sig("avg(cf)", "sd_counterfactual") + " FROM z GROUP BY 1, 2",
-    "support_by_propensity": SCORES + """, cut AS (SELECT treatment AS t, min(e) AS lo, max(e) AS hi FROM sc GROUP BY 1)
+    "support_by_propensity": SCORES + """, cut AS (SELECT treatment AS t, min(e) AS lo, max(e) AS hi FROM sc_all GROUP BY 1)
         SELECT bl, treatment, CASE WHEN e BETWEEN lo AND hi THEN 1 ELSE 0 END AS supported, count(*) AS n
-        FROM sc JOIN cut ON t = 1 - treatment GROUP BY 1, 2, 3""",
+        FROM sc_all JOIN cut ON t = 1 - treatment GROUP BY 1, 2, 3""",
     "person_effects": ORDERS_COHORT + """, r AS (SELECT caseid, wages - avg(wages) OVER (PARTITION BY treatment) AS e FROM oc)
         SELECT caseid, count(*) AS n_rows, round(0.5 * count(*) / (1 + 0.5 * count(*)) * avg(e), 3) AS person_effect FROM r GROUP BY 1""",
     "att_of_draws": SCORES + """, d AS (SELECT i, avg(mu1 * (1 + i / 100) - mu0 * (1 + i / 50)) AS v FROM sc, (SELECT unnest(range(1, 6)) AS i) WHERE treatment = 1 GROUP BY i),
@@ -897,16 +892,16 @@ ORACLES: dict[str, str] = {
     "individual_effects": quantile_rows(
         SCORES, "(mu1 - mu0)", "sc", (0.1, 0.25, 0.5, 0.75, 0.9), {"all": "true", "treated": "treatment = 1"}, 3
     ),
-    "support_curve": binned(SCORES, "mu1 - mu0", "mu1", "sc", -400000, 400000, 16),
+    "support_curve": binned(SCORES, "mu1 - mu0", "mu1", "sc_all", -400000, 400000, 16),
 }
 
 ORACLES["effect_table"] = (
     PANEL + SAMPLE_ONE + SAMPLE_TWO + cohort_cte()
     + sweep("sample1", WITHIN_TERMS, "log_wages", "caseid", "_w")
-    + sweep("cohort", COHORT_TERMS, "log_wages", None, "_c")
+    + sweep("sample2", {**plain(*NAIVE), **REGION_DUMMIES}, "log_wages", None, "_c")
     + f""", two AS (
         SELECT 'Within' AS model, m[2][{len(WITHIN_TERMS) + 1}] AS att, sqrt(-variance * m[2][2]) AS sd FROM fit_w
         UNION ALL
-        SELECT 'Naive OLS', m[1][{len(COHORT_TERMS) + 1}], sqrt(-variance * m[1][1]) FROM fit_c)
+        SELECT 'Naive OLS', m[1][{len(NAIVE) + len(REGION_DUMMIES) + 1}], sqrt(-variance * m[1][1]) FROM fit_c)
       SELECT model, {sig('att', 'att')}, {sig('sd', 'sd')}, {sig('att - 1.96 * sd', 'ci_lower')}, {sig('att + 1.96 * sd', 'ci_upper')} FROM two"""
 )

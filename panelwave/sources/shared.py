@@ -7,31 +7,19 @@ column pruning and pushed filters.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-_local: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or else one under the warehouse.
 
-    Where it is unset, a local session gets a temporary folder for its lifetime; on a
-    cluster that would not be visible to the executors, so it is an error there.
+    Both are seen by all executors; a folder of one machine is never used.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    app = spark.conf.get("spark.app.id")
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="panelwave-")
-    return _local[app]
+    return spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
