@@ -14,13 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwave.functions.nullsafe import number, quoted
+from panelwave.functions.nullsafe import number, quoted, text
 from panelwave.operators.moments import Moments, moments, moments_by
 
 INTERCEPT = "(intercept)"
 # A column is collinear with earlier ones if less than this share of its variation is left.
 TOLERANCE = 1e-10
-MAX_LEVELS = 200
 MAX_GROUP_SIZES = 256
 
 
@@ -34,11 +33,26 @@ class Design:
 
 
 def levels_of(df: DataFrame, col: str) -> list:
-    """Sorted levels of a categorical column."""
-    found = df.select(col).where(f"{quoted(col)} IS NOT NULL").distinct().take(MAX_LEVELS + 1)
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels: not a categorical column")
-    return sorted(r[0] for r in found)
+    """Sorted levels of a categorical column; as many as the caller's choice of column has."""
+    return sorted(r[0] for r in df.select(col).where(f"{quoted(col)} IS NOT NULL").distinct().collect())
+
+
+def written(level) -> str:
+    """A level as SQL."""
+    if isinstance(level, (bool, int, float)):
+        return repr(level)
+    return f"CAST({text(str(level))} AS STRING)"
+
+
+def dummy(col: str, level, known: Sequence) -> str:
+    """1 at ``level``, 0 at the other known ones; any other value is an error, not a level of its own."""
+    others = ", ".join(map(written, known))
+    error = text(f"{col} has a level that is not listed")
+    value = quoted(col) if isinstance(level, (bool, int, float)) else f"CAST({quoted(col)} AS STRING)"
+    return (
+        f"CASE WHEN {value} = {written(level)} THEN 1D WHEN {value} IN ({others}) THEN 0D"
+        f" ELSE CAST(raise_error({error}) AS DOUBLE) END"
+    )
 
 
 def design(
@@ -53,7 +67,8 @@ def design(
 
     Dummies are named ``<column>_<level>`` and follow the numeric terms. Levels come
     from ``levels`` or from the whole of ``df``; one that no complete row has gives an
-    all-zero column, whose coefficient is null.
+    all-zero column, whose coefficient is null. A row with a level that ``levels`` does
+    not list raises an error when it is read.
     """
     used = list(dict.fromkeys([y, *numeric, *categorical]))
     known = dict(levels or {})
@@ -62,7 +77,7 @@ def design(
             known[col] = levels_of(df, col)
     complete = df.na.drop("any", subset=used)
     dummies = {
-        f"{col}_{level}": f"CASE WHEN {quoted(col)} = {level!r} THEN 1D ELSE 0D END"
+        f"{col}_{level}": dummy(col, level, known[col])
         for col in categorical
         for level in known[col][1:]
     }
@@ -335,9 +350,12 @@ def score_within(d: Design, fit: Fit, group: str) -> DataFrame:
     """As :func:`score`, for a fit with absorbed group effects: the group's mean
     residual belongs to the fitted value."""
     linear = d.df.withColumn("linear", F.expr(linear_predictor(fit)))
-    effect = linear.groupBy(group).agg(F.expr(f"avg({quoted(d.y)} - linear)").alias("group_effect"))
+    effect = linear.groupBy(F.col(group).alias("_group")).agg(
+        F.expr(f"avg({quoted(d.y)} - linear)").alias("group_effect")
+    )
     return (
-        linear.join(effect, group)
+        linear.join(effect, F.col(group).eqNullSafe(F.col("_group")))  # a null group is one, too
+        .drop("_group")
         .withColumn("fitted", F.expr("linear + group_effect"))
         .withColumn("residual", F.expr(f"{quoted(d.y)} - fitted"))
         .drop("linear")

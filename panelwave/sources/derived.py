@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from panelwave.functions.nullsafe import quoted
 from panelwave.functions.waves import wave_to_year
 from panelwave.operators.inrow import emit_rows
-from panelwave.sources.names import with_prefix
 
 WAVES = range(27)
 ORDER_YEARS = range(7)
@@ -212,16 +211,12 @@ def survey_answers() -> dict[str, str]:
     return out
 
 
-def survey_wide(
-    spark: SparkSession, sf_dir: str, prefixes: Sequence[str] | None = None
-) -> DataFrame:
+def survey_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide survey: one row per customer, some 480 answer columns as double.
 
-    A wave is a calendar quarter. ``prefixes`` keeps only the columns that start with
-    one of them.
+    A wave is a calendar quarter.
     """
     answers = survey_answers()
-    names = list(answers) if prefixes is None else with_prefix(list(answers), *prefixes)
     cells = customer_cells(
         spark,
         sf_dir,
@@ -230,5 +225,5 @@ def survey_wide(
         "o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')",
     )
     return cells.selectExpr(
-        "c_custkey AS CASEID", *[f"CAST({answers[c]} AS DOUBLE) AS {quoted(c)}" for c in names]
+        "c_custkey AS CASEID", *[f"CAST({answers[c]} AS DOUBLE) AS {quoted(c)}" for c in answers]
     )

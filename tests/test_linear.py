@@ -151,7 +151,26 @@ def test_moments_merge_over_partitions_weights_and_groups(data):
         mm.moments(complete.where("false"), ["x1"])
 
 
-def test_design_needs_few_levels(spark):
+def test_levels_are_as_many_as_the_data_has(spark):
     many = spark.range(500).selectExpr("id AS c", "CAST(id AS double) AS y")
-    with pytest.raises(ValueError, match="levels"):
-        ln.design(many, "y", [], ["c"])
+    assert len(ln.design(many, "y", [], ["c"]).terms) == 499
+
+
+def test_unlisted_level_is_an_error(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (3.0, 5)], "y double, region int")
+    listed = ln.design(df.where("region < 5"), "y", [], ["region"], levels={"region": [1, 2]})
+    assert [r.region_2 for r in listed.df.orderBy("y").collect()] == [0.0, 1.0]
+    with pytest.raises(Exception, match="not listed"):
+        ln.design(df, "y", [], ["region"], levels={"region": [1, 2]}).df.collect()
+
+
+def test_levels_with_quotes(spark):
+    df = spark.createDataFrame([(1.0, "a'b"), (2.0, "c\\d"), (3.0, "e")], "y double, kind string")
+    made = ln.design(df, "y", [], ["kind"])
+    assert [tuple(r)[1:] for r in made.df.orderBy("y").collect()] == [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]
+
+
+def test_null_group_keeps_its_rows(spark):
+    df = spark.createDataFrame([(None, 1.0, 2.0), (None, 2.0, 5.0), (1, 1.0, 1.0), (1, 3.0, 4.0), (2, 2.0, 2.0), (2, 5.0, 4.0)], "g int, x double, y double")
+    made = ln.design(df, "y", ["x"], keep=["g"])
+    assert ln.score_within(made, ln.within_ols(made, "g"), "g").count() == 6

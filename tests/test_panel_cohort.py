@@ -112,6 +112,15 @@ def test_history_may_reach_beyond_the_sample(spark):
     assert difference_in_means(build_cohorts(sample, history, "y", ["x"], [0], 3), "y").head().mean_treated == 5.0
 
 
+def test_cohorts_drop_null_status_and_nan(spark):
+    schema = "caseid bigint, wave int, incarcerated int, ever_inc int, y double, x double"
+    rows = [(c, w, 0, 0, 1.0, 2.0) for c in (1, 2, 3) for w in range(4)]
+    rows[4 + 2] = (2, 2, None, 0, 1.0, 2.0)  # status unknown two waves ahead
+    rows[8] = (3, 0, 0, 0, 1.0, float("nan"))  # covariate is no number
+    df = spark.createDataFrame(rows, schema)
+    assert [r.caseid for r in build_cohorts(df, df, "y", ["x"], [0]).collect()] == [1]
+
+
 def test_cohorts_shuffle_sample_and_history_once(spark, survey):
     from panelwave.plans import samples as sm
 
