@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.ngram_join import ngram_jaccard_join
-from llm.packing import document_pieces, harmonic_pack
+from llm.packing import packed_documents
 from llm.pii import pii_spans, redacted
 from llm.quality import quality_resample
 from llm.toxicity import toxicity
@@ -45,8 +45,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return harmonic_pack(document_pieces(docs, TOKENIZER))
+    """The pieces of all documents in padded sequences of 2048 tokens, whose ids the row at offset 0 has."""
+    return packed_documents(docs, TOKENIZER)
 
 
 STAGES = [

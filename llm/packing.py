@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from llm.shared import cut, ship
+from llm.shared import cut, ship, stored
 from llm.tokens import word_ids
 
 CAPACITY = 2048
@@ -31,6 +32,7 @@ SLACK = 24  # tokens of a place that may stay empty
 PIECES = 3  # into which the end of a document may fall
 GROUP = 1000  # pieces of a class that one group holds
 FAN_IN = 32  # groups that hand their rest to one
+IDS_BYTES = 1 << 23  # of ids handed on at a time
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
@@ -53,30 +55,46 @@ def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
 
 def document_pieces(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-    capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False,
+    capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False, narrow: bool = False,
 ) -> DataFrame:
-    """Pieces of every document's ids and end id: start, length, checksum, class (and the ids)."""
+    """Pieces of every document's ids and end id: start, length, checksum, class (and the ids).
+
+    The ids have 4 bytes each; with ``narrow`` only 2 in documents whose ids all fit. The checksum
+    is that of 4 bytes.
+    """
     ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [[] for _ in range(6 + with_ids)]
+            held = 0
             texts = (t.encode() if t else b"" for t in b.column(1).to_pylist())
             for key, ids in zip(b.column(0).to_pylist(), word_ids(tokenizer, texts), strict=True):
                 ids += end
-                at = 0
+                each, kept, at = 4, ids, 0
+                if narrow and (few := np.frombuffer(ids, "<u4")).max() < 1 << 16:
+                    each, kept = 2, few.astype("<u2").tobytes()
                 for n in piece_lengths(len(ids) // 4, capacity):
                     part = ids[4 * at : 4 * (at + n)]
                     row = (key, at, n, zlib.crc32(part), len(ids) // 4, min(CLASSES, capacity // n))
-                    for c, v in zip(cols, (*row, part) if with_ids else row, strict=True):
+                    if with_ids:
+                        row = (*row, kept[each * at : each * (at + n)])
+                    for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     at += n
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.int32()),
-                 *(pa.array(c, pa.binary()) for c in cols[6:])],
-                names,
-            )
+                held += with_ids * len(ids)
+                if held > IDS_BYTES:
+                    yield batch(cols)
+                    cols, held = [[] for _ in cols], 0
+            yield batch(cols)
+
+    def batch(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.int32()),
+             *(pa.array(c, pa.binary()) for c in cols[6:])],
+            names,
+        )
 
     schema = PIECE_SCHEMA + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
@@ -168,24 +186,87 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ).drop("group", "bin", "full", "level", "class")
 
 
+def _assembled(batches: Iterator[pa.RecordBatch], capacity: int, pad_id: int) -> Iterator[tuple]:
+    """``(rows, ids, n_tokens)`` of each sequence, from rows that come sequence by sequence in order."""
+
+    def one(rows: list[dict]) -> tuple:
+        parts, at = [], 0
+        for r in rows:
+            if r["offset"] != at:
+                raise ValueError(f"sequence {r['sequence_id']}: a piece at {r['offset']} instead of {at}")
+            part = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["length"] else "<u4")
+            r["length"] = len(part)
+            parts.append(part)
+            at += len(part)
+        ids = np.concatenate(parts).astype(np.int64)
+        exact = at & (at - 1) == 0
+        return rows, ids if exact else np.pad(ids, (0, capacity - at), constant_values=pad_id), at
+
+    held: list[dict] = []
+    for b in batches:
+        for k in range(0, len(b), 500):
+            for row in b.slice(k, 500).to_pylist():
+                if held and row["sequence_id"] != held[0]["sequence_id"]:
+                    yield one(held)
+                    held = []
+                held.append(row)
+    if held:
+        yield one(held)
+
+
+def _in_order(packed: DataFrame) -> DataFrame:
+    return packed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` rows."""
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema.names)
+
+
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
     """``(sequence_id, ids, n_tokens)``: the ids of packed pieces that carry them, padded.
 
     Padding reaches the capacity, except where the length is a power of two.
     """
-    parts = packed.groupBy("sequence_id").agg(
-        F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("n_tokens")
-    )
+    schema = pa.schema({"sequence_id": pa.int64(), "ids": pa.list_(pa.int64()), "n_tokens": pa.int64()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for p in b.column(1).to_pylist():
-                ids = np.frombuffer(b"".join(x["ids"] for x in p), "<u4").astype(np.int64)
-                exact = len(ids) & (len(ids) - 1) == 0
-                rows.append(ids if exact else np.pad(ids, (0, capacity - len(ids)), constant_values=pad_id))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rows, pa.list_(pa.int64())), b.column(2)], ["sequence_id", "ids", "n_tokens"]
-            )
+        rows = ((r[0]["sequence_id"], ids, n) for r, ids, n in _assembled(batches, capacity, pad_id))
+        yield from _batches(rows, schema)
 
+    parts = _in_order(packed.select("sequence_id", "offset", "length", "ids"))
     return parts.mapInArrow(run, "sequence_id long, ids array<long>, n_tokens long")
+
+
+def packed_documents(
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
+    capacity: int = CAPACITY, end_id: int = 1, pad_id: int = 0, with_sequences: bool = True,
+) -> DataFrame:
+    """The pieces of all documents as they lie in the assembled, padded sequences.
+
+    ``length``, ``ids_crc32`` and ``offset`` are those of the stretch of the sequence's ids. The row
+    at offset 0 also has them all in ``sequence`` (``with_sequences``), null in the other rows.
+    Only small rows without ids are packed; the ids wait in the shared folder and move twice.
+    """
+    pieces = document_pieces(docs, tokenizer, doc_id, text, capacity, end_id, with_ids=True, narrow=True)
+    pieces = stored(pieces.withColumn("piece", F.monotonically_increasing_id()))
+    placed = harmonic_pack(pieces.drop("ids"), capacity).select("piece", "sequence_id", "offset")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "sequence_id"]
+    fields = {n: pa.int64() for n in names} | ({"sequence": pa.list_(pa.int64())} if with_sequences else {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for parts, ids, _ in _assembled(batches, capacity, pad_id):
+                raw, at = ids.astype("<u4"), 0
+                for r in parts:
+                    n = r["length"]
+                    row = (r["doc_id"], r["start"], n, zlib.crc32(raw[at : at + n]), r["doc_tokens"], at, r["sequence_id"])
+                    yield (*row, None if at else ids) if with_sequences else row
+                    at += n
+
+        yield from _batches(rows(), pa.schema(fields))
+
+    parts = pieces.select("piece", "doc_id", "start", "length", "doc_tokens", "ids").join(placed, "piece").drop("piece")
+    schema = ", ".join(f"{n} long" for n in names) + ", sequence array<long>" * with_sequences
+    return _in_order(parts).mapInArrow(run, schema)

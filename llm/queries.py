@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from llm.embedding_neardup import near_duplicates
 from llm.fingerprint import compare_with_next
 from llm.ngram_join import ngram_jaccard_join
-from llm.packing import document_pieces, harmonic_pack
+from llm.packing import packed_documents
 from llm.pieces import encode_texts
 from llm.pii import KINDS, pii_spans, span_text
 from llm.quality import quality_resample
@@ -29,7 +29,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harmonic_pack(document_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packed_documents(documents(spark, sf_dir), tokenizer, with_sequences=False)
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

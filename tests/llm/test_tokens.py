@@ -85,6 +85,26 @@ def test_packing(spark, monkeypatch):
     assert packing.harmonic_pack(packing.document_pieces(df.where("false"), WORD)).collect() == []
 
 
+def test_packed_documents_have_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    monkeypatch.setattr(packing, "IDS_BYTES", 3000)
+    rows, df = rows_of(spark)
+    got = packing.packed_documents(df, WORD).collect()
+    whole = {r.sequence_id: r.sequence for r in got if r.sequence is not None}
+    assert set(whole) == {r.sequence_id for r in got} and len(whole) == sum(r.offset == 0 for r in got)
+    docs, filled = {}, dict.fromkeys(whole, 0)
+    for r in sorted(got, key=lambda r: (str(r.doc_id), r.doc_tokens, r.start)):
+        part = np.array(whole[r.sequence_id][r.offset : r.offset + r.length], "<u4").tobytes()
+        assert zlib.crc32(part) == r.ids_crc32 and len(part) == 4 * r.length
+        docs[str(r.doc_id), r.doc_tokens] = docs.get((str(r.doc_id), r.doc_tokens), b"") + part
+        filled[r.sequence_id] += r.length
+    want = [(str(i), np.array(x + [1], "<u4").tobytes()) for (i, *_), x in zip(rows, ids_of(WORD, [r[1] or "" for r in rows]))]
+    assert sorted((i, ids) for (i, _), ids in docs.items()) == sorted(want)
+    for k, n in filled.items():
+        assert len(whole[k]) == (n if n & (n - 1) == 0 else packing.CAPACITY) and not any(whole[k][n:])
+    assert packing.packed_documents(df.where("false"), WORD, with_sequences=False).collect() == []
+
+
 def test_padding_is_little():
     r = random.Random(1)
     waste = total = 0
