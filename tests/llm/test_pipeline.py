@@ -56,6 +56,16 @@ def test_long_text_is_scored_whole(monkeypatch):
     assert np.allclose(model.scores(texts), want)
 
 
+def test_text_without_words_alone(monkeypatch):
+    model = toxicity.fit([(p, y, "en", np.full((3 + y, 2), 5 + y)) for p in (0, 2) for y in (0, 1) for _ in range(20)])
+    none, long = np.zeros((0, 2), np.int64), np.full((50, 2), 6)
+    want = model.scores([none, long, none])
+    assert model.scores([]).shape == (0,) and model.scores([none]) == want[:1]
+    monkeypatch.setattr(toxicity, "SLAB", 16)
+    assert np.allclose(model.scores([long, none]), want[1:]) and np.allclose(model.scores([none, long, none]), want)
+    assert np.allclose(model.scores([long, none, long]), want[[1, 0, 1]])
+
+
 def test_kth_greatest(spark):
     values = [1.0, 2.0, 2.0, 2.0, 3.5, -7.0, 1e9, 2.0 + 1e-12]
     df = spark.createDataFrame([(v,) for v in values], "v double")
