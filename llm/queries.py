@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm.embedding_neardup import near_duplicates
 from llm.fingerprint import compare_with_next
+from llm.hard_negatives import hard_negatives
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import packed_documents
 from llm.pieces import encode_texts
@@ -18,6 +19,7 @@ from llm.quality import quality_resample
 from llm.token_counts import token_counts
 from llm.token_files import new_folder, read_token_files, write_token_files
 from llm.toxicity import HELD_OUT, toxicity
+from llm.vector_codes import compress
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -99,4 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_unigram_pieces": op8_unigram_pieces,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
