@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwave.operators.medians import global_quantiles
+from panelwave.operators.medians import quantiles
 
 
 def binned(df: DataFrame, x: str, y: str, low: float, high: float, bins: int) -> DataFrame:
@@ -45,8 +45,8 @@ def quantile_table(
     """Exact quantiles of ``value``, one row per named condition and share."""
     rows = [
         (name, float(share), found)
-        for name, condition in groups.items()
-        for share, found in zip(shares, global_quantiles(df, value, shares, condition))
+        for name, values in quantiles(df, value, shares, groups).items()
+        for share, found in zip(shares, values)
     ]
     return df.sparkSession.createDataFrame(rows, "part string, share double, value double")
 

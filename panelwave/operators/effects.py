@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -12,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwave.functions.nullsafe import number, quoted
+from panelwave.operators.linear import Design, random_intercept
+from panelwave.sources.shared import saved
 
 FEATURES = "features"
 CLIP = 0.01
 Z95 = 1.96
+REPLICATES = 200
+ROUNDS = 3
 
 
 def with_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
@@ -27,10 +32,19 @@ def assembled(df: DataFrame, x: Sequence[str], into: str = FEATURES) -> DataFram
     return VectorAssembler(inputCols=list(x), outputCol=into).transform(df)
 
 
+def clipped_propensity(df: DataFrame, clip: float = CLIP) -> DataFrame:
+    """``e`` kept ``clip`` away from 0 and 1; ``clipped`` is 1 where that changed it."""
+    low, high = number(float(clip)), number(float(1 - clip))
+    return df.withColumn("clipped", F.expr(f"CASE WHEN e < {low} OR e > {high} THEN 1 ELSE 0 END")).withColumn(
+        "e", F.expr(f"least(greatest(e, {low}), {high})")
+    )
+
+
 def propensity(
-    train: DataFrame, test: DataFrame, t: str, x: Sequence[str], method: str = "boosted", seed: int = 1
+    train: DataFrame, test: DataFrame, t: str, x: Sequence[str], method: str = "boosted", seed: int = 1,
+    clip: float = CLIP,
 ) -> DataFrame:
-    """``test`` with ``e``, the chance of treatment given ``x``, kept off 0 and 1."""
+    """``test`` with ``e``, the chance of treatment given ``x``, kept ``clip`` off 0 and 1, and ``clipped``."""
     if method == "boosted":
         model = GBTClassifier(
             labelCol="label", featuresCol=FEATURES, maxIter=10, maxDepth=3, stepSize=0.3, seed=seed
@@ -43,9 +57,45 @@ def propensity(
     fitted = model.fit(labelled)
     scored = fitted.transform(assembled(test, x))
     chance = vector_to_array("probability")[1]
-    return scored.withColumn(
-        "e", F.least(F.greatest(chance, F.lit(CLIP)), F.lit(1 - CLIP))
-    ).drop(FEATURES, "rawPrediction", "probability", "prediction")
+    return clipped_propensity(scored.withColumn("e", chance), clip).drop(
+        FEATURES, "rawPrediction", "probability", "prediction"
+    )
+
+
+def person_intercepts(train: DataFrame, residual: str, person: str) -> DataFrame:
+    """``(person, intercept)``: shrunken mean residuals, at the variance ratio fitted to the residuals."""
+    fit = random_intercept(Design(train, residual, []), person)
+    centred = train.withColumn(residual, F.expr(f"{residual} - {number(fit.estimate[0])}"))
+    effects = person_effects(centred, residual, person, fit.extra["theta"])
+    return effects.select(F.col(person).alias("_person"), F.col("person_effect").alias("_intercept"))
+
+
+def outcome_forest(
+    train: DataFrame, y: str, inputs: Sequence[str], trees: int, depth: int, seed: int,
+    person: str | None = None, rounds: int = ROUNDS,
+):
+    """A forest of ``y`` on ``inputs``; with ``person``, of ``y`` less a normal intercept per person.
+
+    The two parts are fitted in turn, ``rounds`` times: a forest on the outcome less the persons'
+    intercepts, then the variance ratio of its residuals and each person's shrunken mean residual.
+    A round moves sums per person, never rows; the intercepts are written, so plans do not grow.
+    """
+    # all features at every split: what a tree leaves of a covariate would pass for persons' intercepts
+    learner = RandomForestRegressor(
+        labelCol="label", featuresCol=FEATURES, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all"
+    )
+    labelled = train.withColumn("label", F.col(y).cast("double"))
+    if person is None:
+        return learner.fit(assembled(labelled, inputs).select(FEATURES, "label"))
+    now = labelled
+    for k in range(rounds):
+        forest = learner.fit(assembled(now, inputs).select(FEATURES, "label"))
+        if k + 1 == rounds:
+            return forest
+        left = forest.transform(assembled(labelled, inputs)).selectExpr(quoted(person), "label - prediction AS residual")
+        intercepts = saved(person_intercepts(left, "residual", person), "intercepts")
+        joined = labelled.join(intercepts, F.col(person).eqNullSafe(F.col("_person")))
+        now = joined.withColumn("label", F.expr("label - _intercept")).drop("_person", "_intercept")
 
 
 def outcome_surface(
@@ -57,16 +107,16 @@ def outcome_surface(
     trees: int = 20,
     depth: int = 5,
     seed: int = 1,
+    person: str | None = None,
 ) -> DataFrame:
     """``test`` with each bagged tree's prediction under treatment and under control.
 
     ``draws1`` and ``draws0`` are arrays with one prediction per tree, ``mu1`` / ``mu0``
-    their means and ``sd1`` / ``sd0`` their standard deviations.
+    their means and ``sd1`` / ``sd0`` their standard deviations. With ``person`` the forest
+    is fitted beside an intercept per person; a scored person's intercept counts as 0.
     """
     inputs = [t, *x]
-    forest = RandomForestRegressor(
-        labelCol="label", featuresCol=FEATURES, numTrees=trees, maxDepth=depth, seed=seed
-    ).fit(assembled(train, inputs).select(FEATURES, F.col(y).cast("double").alias("label")))
+    forest = outcome_forest(train, y, inputs, trees, depth, seed, person)
     out = test.withColumns({"observed_t": F.col(t), "in1": F.lit(1.0), "in0": F.lit(0.0)})
     for arm in ("1", "0"):
         out = assembled(out, [f"in{arm}", *x], f"x{arm}")
@@ -100,8 +150,12 @@ def cross_fit(
     trees: int = 20,
     depth: int = 5,
     seed: int = 1,
+    person: bool = False,
+    clip: float = CLIP,
 ) -> DataFrame:
-    """Rows with out-of-fold ``e``, ``mu1``, ``mu0``, ``sd1``, ``sd0`` and draws.
+    """Rows with out-of-fold ``e``, ``clipped``, ``mu1``, ``mu0``, ``sd1``, ``sd0`` and draws.
+
+    With ``person`` the outcome model has a normal intercept for each ``group``.
 
     Each fold is scored by models fitted on the other folds. Fits are distributed
     Spark ML jobs; ``df`` is read once per fit, so pass a written or cached table.
@@ -110,8 +164,8 @@ def cross_fit(
     parts = []
     for k in range(folds):
         train, test = folded.where(f"fold <> {k}"), folded.where(f"fold = {k}")
-        scored = propensity(train, test, t, x, method, seed)
-        parts.append(outcome_surface(train, scored, y, t, x, trees, depth, seed))
+        scored = propensity(train, test, t, x, method, seed, clip)
+        parts.append(outcome_surface(train, scored, y, t, x, trees, depth, seed, group if person else None))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -240,6 +294,45 @@ def att_of_draws(df: DataFrame, t: str) -> DataFrame:
     )
 
 
+def bootstrap_weight(group: str, replicate: str) -> str:
+    """A Poisson(1) count from the first 32 bits of a hash of person and replicate, as SQL."""
+    bits = f"conv(substring(md5(concat(CAST({group} AS STRING), ':', CAST({replicate} AS STRING))), 1, 8), 16, 10)"
+    steps = " + ".join(f"CASE WHEN h >= {cut} THEN 1 ELSE 0 END" for cut in poisson_cuts())
+    return f"transform(array(CAST({bits} AS BIGINT)), h -> {steps})[0]"
+
+
+def poisson_cuts() -> list[int]:
+    """The shares of 2^32 below which a Poisson(1) count is at most 0, 1, 2, ..."""
+    return [
+        round(2**32 * sum(math.exp(-1.0) / math.factorial(k) for k in range(top + 1)))
+        for top in range(10)  # a count of more than 10 has a chance under 2^-24
+    ]
+
+
+def person_bootstrap(
+    df: DataFrame, value: str, weight: str, group: str, replicates: int = REPLICATES
+) -> DataFrame:
+    """``(replicate, estimate)``: ``sum(value) / sum(weight)`` with Poisson(1) counts of persons.
+
+    A person's count in a replicate depends on the person and the replicate alone, so replicates
+    are the same wherever the rows lie, and persons are resampled whole. Rows are summed by person
+    first; the person sums meet all replicates in one pass that combines on the map side.
+    """
+    persons = df.groupBy(group).agg(F.expr(f"sum({value})").alias("a"), F.expr(f"sum({weight})").alias("b"))
+    drawn = persons.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    counted = drawn.withColumn("k", F.expr(bootstrap_weight(quoted(group), "replicate")))
+    return counted.groupBy("replicate").agg(F.expr("sum(k * a) / sum(k * b)").alias("estimate"))
+
+
+def bootstrap_summary(draws: DataFrame) -> DataFrame:
+    """Mean and standard deviation over replicates, with a normal 95 % interval."""
+    return with_interval(
+        draws.agg(
+            F.avg("estimate").alias("estimate"), F.stddev_samp("estimate").alias("sd"), F.count("estimate").alias("n_draws")
+        )
+    )
+
+
 def effect_table(estimates: dict[str, DataFrame]) -> DataFrame:
     """Stack (estimate, sd) rows under their method names, with 95 % intervals."""
     out = None

@@ -7,20 +7,25 @@ The data are read once per model, by :mod:`panelwave.operators.moments` or by a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwave.functions.nullsafe import number, quoted, text
-from panelwave.operators.moments import Moments, moments, moments_by
+from panelwave.operators.moments import Moments, moments
+from panelwave.sources.shared import saved
 
 INTERCEPT = "(intercept)"
 # A column is collinear with earlier ones if less than this share of its variation is left.
 TOLERANCE = 1e-10
-MAX_GROUP_SIZES = 256
+# Variance ratios tried in one pass, the range of their logarithms, and the degree between them.
+RATIOS = 32
+LOW_RATIO, HIGH_RATIO = -12.0, 8.0
+DEGREE = 20
 
 
 @dataclass
@@ -214,14 +219,46 @@ def within_ols(d: Design, group: str) -> Fit:
     )
 
 
+def ratio_sums(sums: DataFrame, cols: Sequence[str], ratios: Sequence[float]) -> tuple[np.ndarray, np.ndarray, int]:
+    """For all variance ratios in one pass over group sums: the cross-products of ``size`` and ``cols``
+    weighted by ratio / (1 + size * ratio), the sums of log(1 + size * ratio), and the number of groups.
+
+    A task returns one number for every ratio and pair of columns; they are added up by place.
+    """
+    theta = np.asarray(ratios, dtype=float)
+    upper = np.triu_indices(len(cols) + 1)
+    places = len(theta) * (len(upper[0]) + 1) + 1
+    picked = sums.selectExpr("CAST(size AS DOUBLE) AS size", *[f"CAST({quoted(c)} AS DOUBLE) AS {quoted(c)}" for c in cols])
+
+    def reduce_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cross, logs, groups = np.zeros((len(theta), len(upper[0]))), np.zeros(len(theta)), 0
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            spread = 1 + np.outer(values[:, 0], theta)
+            cross += (theta / spread).T @ (values[:, upper[0]] * values[:, upper[1]])
+            logs += np.log(spread).sum(axis=0)
+            groups += len(values)
+        yield pd.DataFrame({"place": np.arange(places), "value": np.concatenate([cross.ravel(), logs, [groups]])})
+
+    total = np.zeros(places)
+    found = picked.mapInPandas(reduce_task, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    for row in found.collect():  # as many as there are ratios and pairs of columns
+        total[row["place"]] = row["value"]
+    half = total[: -len(theta) - 1].reshape(len(theta), -1)
+    cross = np.zeros((len(theta), len(cols) + 1, len(cols) + 1))
+    cross[:, upper[0], upper[1]] = half
+    cross[:, upper[1], upper[0]] = half
+    return cross, total[-len(theta) - 1 : -1], int(round(total[-1]))
+
+
 def random_intercept(d: Design, group: str) -> Fit:
     """Restricted maximum likelihood fit with a normal intercept per group.
 
-    With ``theta`` the ratio of the group to the residual variance, everything the
-    likelihood needs is the total cross-product and, per group size, the
-    cross-product of the group sums: two distributed passes, then a one-dimensional
-    search on the driver. With very many distinct group sizes the second part is
-    computed by Spark for every ``theta`` tried instead.
+    With ``theta`` the ratio of the group to the residual variance, the likelihood needs the total
+    cross-products and, for each ratio, weighted cross-products of the group sums. The group sums are
+    written once and read twice: for a coarse grid of ratios, and for Chebyshev nodes around its best
+    one. All that the likelihood is made of is smooth in log(theta), so between the nodes it is known
+    to rounding, and the minimum and its fit need no further pass, whatever the sizes of the groups.
     """
     p = len(d.terms)
     total = moments(d.df, [*d.terms, d.y])
@@ -229,48 +266,39 @@ def random_intercept(d: Design, group: str) -> Fit:
     start = ols_of(total, d.terms)
     used = [i for i in range(p) if start.estimate[i + 1] is not None]
     slots = [*used, p]
-    centred = total.cross[np.ix_(slots, slots)]
     full = np.zeros((len(slots) + 1, len(slots) + 1))
     full[0, 0] = n
-    full[1:, 1:] = centred
+    full[1:, 1:] = total.cross[np.ix_(slots, slots)]
+    df = n - len(slots)
+    sums = saved(group_sums(d, group, total.mean).select("size", *[f"s{i}" for i in slots]), "group-sums")
 
-    sums = group_sums(d, group, total.mean)
-    sizes = {
-        r["size"]: r["n"]
-        for r in sums.groupBy("size").agg(F.count("*").alias("n")).take(MAX_GROUP_SIZES + 1)
-    }
-    cols = ["size", *[f"s{i}" for i in slots]]
-
-    def raw(m: Moments) -> np.ndarray:
-        return m.cross + m.w * np.outer(m.mean, m.mean)
-
-    if len(sizes) <= MAX_GROUP_SIZES:
-        by_size = {s: raw(m) for s, m in moments_by(sums, cols, by="size").items()}
-
-        def reduced(theta: float) -> tuple[np.ndarray, float]:
-            a = full.copy()
-            logs = 0.0
-            for size, count in sizes.items():
-                a -= by_size[size] * (theta / (1 + size * theta))
-                logs += count * math.log1p(size * theta)
-            return a, logs
-    else:
-        def reduced(theta: float) -> tuple[np.ndarray, float]:
-            weight = f"{number(float(theta))} / (1 + size * {number(float(theta))})"
-            shrink = raw(moments(sums, cols, weight=weight))
-            logs = sums.agg(F.expr(f"sum(log1p(size * {number(float(theta))}))")).head()[0]
-            return full - shrink, logs
-
-    def fit_at(theta: float):
-        a, logs = reduced(theta)
+    def fit_at(cross: np.ndarray, logs: float):
+        a = full - cross
         kept, coef, inverse, rss = solve_in_order(a, np.diag(full), 0.0)
         sign, logdet = np.linalg.slogdet(a[:-1, :-1])
-        df = n - len(slots)
         variance = rss / df
         return df * math.log(variance) + logs + logdet, coef, inverse, variance
 
-    theta = search_ratio(lambda t: fit_at(t)[0])
-    criterion, coef, inverse, variance = fit_at(theta)
+    def criteria(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        cross, logs, groups = ratio_sums(sums, [f"s{i}" for i in slots], np.exp(at))
+        return np.array([fit_at(c, g)[0] for c, g in zip(cross, logs)]), cross, logs, groups
+
+    grid = np.linspace(LOW_RATIO, HIGH_RATIO, RATIOS)
+    values, _, _, groups = criteria(grid)
+    best = int(np.argmin(values))
+    low, high = grid[max(best - 1, 0)], grid[min(best + 1, RATIOS - 1)]
+    unit_nodes = np.cos(np.pi * (np.arange(RATIOS) + 0.5) / RATIOS)
+    values, cross, logs, _ = criteria((low + high) / 2 + (high - low) / 2 * unit_nodes)
+    at = smooth_minimum(unit_nodes, values)
+    theta = math.exp((low + high) / 2 + (high - low) / 2 * at)
+    weights = np.polynomial.chebyshev.chebvander([at], DEGREE) @ np.linalg.pinv(
+        np.polynomial.chebyshev.chebvander(unit_nodes, DEGREE)
+    )
+    found = fit_at(np.tensordot(weights[0], cross, axes=1), float(weights[0] @ logs))
+    none = fit_at(np.zeros_like(full), 0.0)
+    if none[0] <= found[0]:
+        theta, found = 0.0, none
+    criterion, coef, inverse, variance = found
     estimate: list[float | None] = [None] * (p + 1)
     se: list[float | None] = [None] * (p + 1)
     shift = np.concatenate([[1.0], -total.mean[used]])
@@ -279,36 +307,19 @@ def random_intercept(d: Design, group: str) -> Fit:
     for i, j in enumerate(used):
         estimate[j + 1] = float(coef[i + 1])
         se[j + 1] = math.sqrt(variance * inverse[i + 1, i + 1])
-    groups = sums.count() if len(sizes) > MAX_GROUP_SIZES else sum(sizes.values())
     return Fit(
-        [INTERCEPT, *d.terms], estimate, se, math.sqrt(variance), None, n, n - len(slots),
+        [INTERCEPT, *d.terms], estimate, se, math.sqrt(variance), None, n, df,
         groups, math.sqrt(theta * variance), {"theta": theta, "criterion": criterion},
     )
 
 
-def search_ratio(criterion: Callable[[float], float], low: float = -12.0, high: float = 8.0) -> float:
-    """Minimiser of ``criterion`` over variance ratios, zero included.
-
-    A coarse grid on the log scale brackets the minimum, golden section narrows it.
-    """
-    grid = np.linspace(low, high, 21)
-    values = [criterion(math.exp(g)) for g in grid]
-    at = int(np.argmin(values))
-    a, b = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    c, e = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fe = criterion(math.exp(c)), criterion(math.exp(e))
-    while b - a > 1e-9:
-        if fc < fe:
-            b, e, fe = e, c, fc
-            c = b - ratio * (b - a)
-            fc = criterion(math.exp(c))
-        else:
-            a, c, fc = c, e, fe
-            e = a + ratio * (b - a)
-            fe = criterion(math.exp(e))
-    best = math.exp((a + b) / 2)
-    return 0.0 if criterion(0.0) <= criterion(best) else best
+def smooth_minimum(nodes: np.ndarray, values: np.ndarray) -> float:
+    """Where between -1 and 1 the polynomial through Chebyshev nodes is least."""
+    fitted = np.polynomial.Chebyshev.fit(nodes, values - values.min(), DEGREE, domain=[-1, 1])
+    flat = fitted.deriv().roots()
+    flat = flat[np.abs(flat.imag) < 1e-9].real
+    places = np.concatenate([flat[np.abs(flat) <= 1], [-1.0, 1.0]])
+    return float(places[np.argmin(fitted(places))])
 
 
 def coef_table(spark: SparkSession, fit: Fit) -> DataFrame:

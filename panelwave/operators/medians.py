@@ -1,133 +1,151 @@
-"""Exact global quantiles and the trimming rules built on the median."""
+"""Exact global quantiles by radix selection, and the trimming rules built on the median.
+
+Doubles are read as 64-bit integers in the same order. A pass counts 16-bit digits of all values
+under the prefixes that hold a wanted rank; after four passes each wanted value is known to the
+last bit. All conditions and shares take part in the same passes. Tasks return counts of digits,
+of which there are no more than 65,536 for a prefix, whatever the number of rows.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from panelwave.functions.nullsafe import fill_const, null_if, number
 from panelwave.functions.recode import flag_at_least
 
-# Distinct values that one task may sort in the last step.
-SORTABLE = 100_000
-BRACKET = 0.001
-ACCURACY = 10_000
+DIGIT_BITS = 16
+PASSES = 64 // DIGIT_BITS
+DIGITS = 1 << DIGIT_BITS
 
 
-def global_median(
-    df: DataFrame, value: str, where: str | None = None, sortable: int = SORTABLE
-) -> float | None:
+def global_median(df: DataFrame, value: str, where: str | None = None) -> float | None:
     """Exact median of the non-null values, middle pair averaged; ``None`` if there are none."""
-    return global_quantiles(df, value, (0.5,), where, sortable)[0]
+    return global_quantiles(df, value, (0.5,), where)[0]
 
 
 def global_quantiles(
-    df: DataFrame,
-    value: str,
-    shares: Sequence[float],
-    where: str | None = None,
-    sortable: int = SORTABLE,
+    df: DataFrame, value: str, shares: Sequence[float], where: str | None = None, accuracy: int | None = None
 ) -> list[float | None]:
-    """Exact quantiles, interpolated between the two neighbouring order statistics.
-
-    An exact percentile aggregate would keep every distinct value in one task. Here
-    an approximate quantile pair brackets each wanted rank, an exact count says how
-    many values lie below, and the bracket is narrowed until at most ``sortable``
-    distinct values remain. All passes but the last return a handful of numbers; the
-    last one sorts value counts of that bounded size. A value shared by many rows is
-    counted on the map side.
+    """Quantiles of the values of one condition; see :func:`quantiles`."""
+    return quantiles(df, value, shares, {"all": where or "true"}, accuracy)["all"]
+
+
+def quantiles(
+    df: DataFrame, value: str, shares: Sequence[float], conditions: Mapping[str, str], accuracy: int | None = None
+) -> dict[str, list[float | None]]:
+    """Quantiles of ``value`` under every named condition; nulls and NaN do not count.
+
+    Exact ones lie between two neighbouring order statistics in proportion; the two zeros are one
+    value. With ``accuracy`` they are a value whose rank is off by at most the number of values over
+    ``accuracy`` instead, from mergeable sketches in one pass.
     """
-    rows = df if where is None else df.where(where)
-    values = rows.selectExpr(f"CAST({value} AS DOUBLE) AS v").where("v IS NOT NULL AND NOT isnan(v)")
-    head = values.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).head()
-    total = head["n"]
-    if not total:
-        return [None for _ in shares]
-    if total <= sortable:
-        return _interpolated(values, [_ranks(total, q) for q in shares])
-    ranks = [_ranks(total, q) for q in shares]
-    whole = (head["low"], head["high"], 0, total)
-    first = _narrowed(values, [whole] * len(ranks), ranks, BRACKET)
-    return [
-        _bracketed(values, r, found or whole, sortable) for r, found in zip(ranks, first)
+    columns = [
+        F.expr(f"CASE WHEN {c} THEN nullif(CAST({value} AS DOUBLE), DOUBLE('NaN')) END").alias(f"v{i}")
+        for i, c in enumerate(conditions.values())
     ]
+    values = df.select(*columns)
+    if accuracy is not None:
+        if accuracy <= 0:
+            raise ValueError("accuracy must be positive")
+        sketched = [F.percentile_approx(c, list(shares), accuracy).alias(c) for c in values.columns]
+        found = values.agg(*sketched).head()
+        return {name: list(x) if x is not None else [None for _ in shares] for name, x in zip(conditions, found)}
+    selected = _selected(values, shares)
+    return dict(zip(conditions, selected))
 
 
 def _ranks(total: int, share: float) -> tuple[int, int, float]:
-    """The two neighbouring ranks, from 1, and the way between them."""
+    """The two neighbouring ranks, from 0, and the way between them."""
     place = (total - 1) * share
-    first, part = math.floor(place) + 1, place - math.floor(place)
+    first, part = math.floor(place), place - math.floor(place)
     return first, first + (1 if part > 0 else 0), part
 
 
-Bracket = tuple[float, float, int, int]  # low, high, rows below, rows inside
-
-
-def _narrowed(
-    values: DataFrame, brackets: Sequence[Bracket], ranks: Sequence[tuple], width: float
-) -> list[Bracket | None]:
-    """A narrower bracket around each rank, in two passes over the values for all of
-    them; ``None`` where the approximate quantiles missed the rank."""
-    sketches = []
-    for i, ((low, high, below, inside), (first, _, _)) in enumerate(zip(brackets, ranks)):
-        centre = (first - below - 0.5) / inside
-        shares = [max(0.0, centre - width), min(1.0, centre + width)]
-        within = F.when(F.col("v").between(low, high), F.col("v"))
-        sketches.append(F.percentile_approx(within, shares, ACCURACY).alias(f"q{i}"))
-    near = values.agg(*sketches).head()
-    counts = values.agg(
-        *[
-            F.count(F.when(F.col("v") < near[f"q{i}"][0], 1)).alias(f"below{i}")
-            for i in range(len(ranks))
-        ],
-        *[
-            F.count(F.when(F.col("v").between(*near[f"q{i}"]), 1)).alias(f"inside{i}")
-            for i in range(len(ranks))
-        ],
-    ).head()
-    out: list[Bracket | None] = []
-    for i, (first, second, _) in enumerate(ranks):
-        below, inside = counts[f"below{i}"], counts[f"inside{i}"]
-        held = below < first and second <= below + inside
-        out.append((*near[f"q{i}"], below, inside) if held else None)
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles."""
+    bits = (values + 0.0).view(np.uint64)  # a negative zero becomes the positive one
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
+
+
+def unordered(key: int) -> float:
+    """The double of an integer of :func:`ordered`."""
+    bits = key & ~(1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def digit_counts(values: DataFrame, prefixes: Sequence[tuple[int, int]], done: int) -> dict[int, np.ndarray]:
+    """For each (column, prefix of ``done`` digits), how many of the column's values go on with each digit."""
+    shift = np.uint64(64 - DIGIT_BITS * (done + 1))
+
+    def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((len(prefixes), DIGITS), np.int64)
+        for batch in batches:
+            held: dict[int, np.ndarray] = {}
+            for slot, (column, prefix) in enumerate(prefixes):
+                if column not in held:
+                    x = batch.iloc[:, column].to_numpy(dtype=float)
+                    held[column] = ordered(x[~np.isnan(x)]) >> shift
+                keys = held[column]
+                if done:
+                    keys = keys[keys >> np.uint64(DIGIT_BITS) == np.uint64(prefix)]
+                counts[slot] += np.bincount((keys & np.uint64(DIGITS - 1)).astype(np.int64), minlength=DIGITS)
+        slot, digit = np.nonzero(counts)
+        yield pd.DataFrame({"slot": slot, "digit": digit, "n": counts[slot, digit]})
+
+    found = values.mapInPandas(count_task, "slot int, digit int, n bigint")
+    out = {slot: np.zeros(DIGITS, np.int64) for slot in range(len(prefixes))}
+    for row in found.groupBy("slot", "digit").agg(F.sum("n").alias("n")).collect():
+        out[row["slot"]][row["digit"]] = row["n"]
     return out
 
 
-def _bracketed(
-    values: DataFrame, rank: tuple[int, int, float], bracket: Bracket, sortable: int
-) -> float:
-    """The value at ``rank``, from a bracket narrowed until it can be sorted."""
-    first, second, part = rank
-    width = BRACKET
-    while True:
-        low, high, below, inside = bracket
-        if low == high:
-            return low
-        kept = values.where(F.col("v").between(low, high))
-        if inside <= sortable or kept.distinct().count() <= sortable:
-            return _interpolated(kept, [(first - below, second - below, part)])[0]
-        (found,) = _narrowed(values, [bracket], [rank], width)
-        if found is not None and found[3] < inside:
-            bracket, width = found, BRACKET
-        elif found is None and width < 1:
-            width *= 4
+def _selected(values: DataFrame, shares: Sequence[float]) -> list[list[float | None]]:
+    """Exact quantiles of every column."""
+    columns = range(len(values.columns))
+    # a wanted rank: its prefix so far and its rank under that
+    prefix: dict[tuple[int, int], int] = {}
+    under: dict[tuple[int, int], int] = {}
+    totals: list[int] = []
+    for done in range(PASSES):
+        if done == 0:
+            slots = [(c, 0) for c in columns]
         else:
-            return _interpolated(kept, [(first - below, second - below, part)])[0]
-
-
-def _interpolated(values: DataFrame, wanted: Sequence[tuple[int, int, float]]) -> list[float]:
-    """Values at the wanted ranks of a set with a bounded number of distinct values."""
-    counted = values.groupBy("v").agg(F.count("*").alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    ranks = sorted({r for first, second, _ in wanted for r in (first, second)})
-    hit = " OR ".join(f"(upto >= {r} AND upto - n < {r})" for r in ranks)
-    found = sorted((r["upto"], r["v"]) for r in upto.where(hit).collect())
-    at = {r: next(v for last, v in found if last >= r) for r in ranks}
-    return [at[a] + (at[b] - at[a]) * part for a, b, part in wanted]
+            slots = sorted({(c, p) for (c, _), p in prefix.items()})
+        if not slots:
+            break
+        counts = digit_counts(values, slots, done)
+        if done == 0:
+            totals = [int(counts[c].sum()) for c in columns]
+            for c in columns:
+                for share in shares if totals[c] else ():
+                    for rank in _ranks(totals[c], share)[:2]:
+                        prefix[c, rank], under[c, rank] = 0, rank
+        place = {slot: i for i, slot in enumerate(slots)}
+        upto = {i: np.cumsum(n) for i, n in counts.items()}
+        for wanted, rank in under.items():
+            sums = upto[place[wanted[0], prefix[wanted]]]
+            digit = int(np.searchsorted(sums, rank, side="right"))
+            under[wanted] = rank - (int(sums[digit - 1]) if digit else 0)
+            prefix[wanted] = prefix[wanted] << DIGIT_BITS | digit
+    out: list[list[float | None]] = []
+    for c in columns:
+        row: list[float | None] = []
+        for share in shares:
+            if not totals[c]:
+                row.append(None)
+                continue
+            first, second, part = _ranks(totals[c], share)
+            low, high = unordered(prefix[c, first]), unordered(prefix[c, second])
+            row.append(low if part == 0 else low + (high - low) * part)
+        out.append(row)
+    return out
 
 
 def medians(median: float | None, k: float) -> str:

@@ -16,6 +16,7 @@ from panelwave.functions import nullsafe as ns
 from panelwave.functions import recode as rc
 from panelwave.functions import waves as wv
 from panelwave.operators import cohort as co
+from panelwave.operators import crossfit as cf
 from panelwave.operators import diagnostics as dg
 from panelwave.operators import effects as ef
 from panelwave.operators import history as hs
@@ -548,14 +549,14 @@ def within_ols_fit(spark, sf_dir):
 
 
 def random_intercept(spark, sf_dir):
-    return ln.coef_table(
-        spark, ln.random_intercept(mo.cohort_design(cohort(spark, sf_dir)), "caseid")
-    )
+    fit = ln.random_intercept(mo.cohort_design(cohort(spark, sf_dir)), "caseid")
+    return ln.coef_table(spark, fit).selectExpr("pos", "term", sig("estimate", "estimate"), sig("se", "se"))
 
 
 def random_intercept_fit(spark, sf_dir):
-    return ln.fit_table(
-        spark, ln.random_intercept(mo.cohort_design(cohort(spark, sf_dir)), "caseid")
+    fit = ln.random_intercept(mo.cohort_design(cohort(spark, sf_dir)), "caseid")
+    return ln.fit_table(spark, fit).selectExpr(
+        "n", "df", "n_groups", sig("sigma", "sigma"), sig("group_sd", "group_sd")
     )
 
 
@@ -563,14 +564,14 @@ def random_intercept_small(spark, sf_dir):
     """Random intercept per customer on the orders cohorts, one regressor."""
     fit = ln.random_intercept(orders_design(spark, sf_dir, "treatment"), "caseid")
     return ln.coef_table(spark, fit).selectExpr(
-        "pos", "term", sig("estimate", "estimate", 3), sig("se", "se", 3)
+        "pos", "term", sig("estimate", "estimate"), sig("se", "se")
     )
 
 
 def random_intercept_small_fit(spark, sf_dir):
     fit = ln.random_intercept(orders_design(spark, sf_dir, "treatment"), "caseid")
     return ln.fit_table(spark, fit).selectExpr(
-        "n", "df", "n_groups", sig("sigma", "sigma", 3), sig("group_sd", "group_sd", 3)
+        "n", "df", "n_groups", sig("sigma", "sigma"), sig("group_sd", "group_sd")
     )
 
 
@@ -705,50 +706,86 @@ def att_of_draws(spark, sf_dir):
 def scored_cohort(spark, sf_dir) -> DataFrame:
     """The cohorts with cross-fitted scores, written once for all effect queries."""
     def build():
-        return ef.cross_fit(
-            cohort(spark, sf_dir), "log_wages", "treatment", mo.EFFECT_COVARIATES, "caseid"
-        )
+        made = mo.effect_design(cohort(spark, sf_dir))
+        return cf.cross_fit_linear(made, "treatment", "caseid", ["bl"])
 
     return once(spark, sf_dir, "scored", build)
 
 
 def propensity(spark, sf_dir):
-    return scored_cohort(spark, sf_dir).select("caseid", "bl", "treatment", "fold", "e")
+    return scored_cohort(spark, sf_dir).selectExpr(
+        "caseid", "CAST(bl AS INT) AS bl", "treatment", "fold", "clipped", sig("e", "e")
+    )
 
 
 def outcome_surface(spark, sf_dir):
-    return scored_cohort(spark, sf_dir).select(
-        "caseid", "bl", "treatment", "mu1", "mu0", "sd1", "sd0"
+    return scored_cohort(spark, sf_dir).selectExpr(
+        "caseid", "CAST(bl AS INT) AS bl", "treatment", *[sig(c, c) for c in ("mu1", "mu0", "sd1", "sd0")]
     )
 
 
+def support_scored(spark, sf_dir):
+    return ef.common_support(scored_cohort(spark, sf_dir), "treatment", "sd")
+
+
 def supported_cohort(spark, sf_dir):
-    scored = ef.common_support(scored_cohort(spark, sf_dir), "treatment", "sd")
-    return scored.where("supported = 1")
+    return support_scored(spark, sf_dir).where("supported = 1")
 
 
 def support_trim(spark, sf_dir):
-    return dg.support_table(
-        ef.common_support(scored_cohort(spark, sf_dir), "treatment", "sd"), "treatment"
+    return dg.support_table(support_scored(spark, sf_dir), "treatment").selectExpr(
+        "treatment", "supported", "n", sig("sd_factual", "sd_factual"), sig("sd_counterfactual", "sd_counterfactual")
+    )
+
+
+def estimate_row(found: DataFrame, scored: DataFrame) -> DataFrame:
+    """An estimate with how many of the rows behind it have a propensity moved off 0 or 1."""
+    moved = scored.agg(F.sum("clipped").alias("n_clipped"))
+    return found.crossJoin(moved).selectExpr(  # one row each
+        "n_rows", "n_persons", "n_clipped", *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
     )
 
 
 def ate_crossfit(spark, sf_dir):
-    return ef.ate(supported_cohort(spark, sf_dir), "log_wages", "treatment", "caseid")
+    scored = supported_cohort(spark, sf_dir)
+    return estimate_row(ef.ate(scored, "log_wages", "treatment", "caseid"), scored)
 
 
 def att_crossfit(spark, sf_dir):
-    return ef.att(supported_cohort(spark, sf_dir), "treatment", "caseid")
+    scored = supported_cohort(spark, sf_dir)
+    return estimate_row(ef.att(scored, "treatment", "caseid"), scored)
+
+
+def drawn_att(spark, sf_dir) -> DataFrame:
+    """Replicates of the effect on the treated, persons weighted anew in each."""
+    scored = supported_cohort(spark, sf_dir).selectExpr(
+        "caseid", "treatment * (mu1 - mu0) AS difference", "CAST(treatment AS DOUBLE) AS weight"
+    )
+    return ef.person_bootstrap(scored, "difference", "weight", "caseid")
 
 
 def att_crossfit_draws(spark, sf_dir):
-    return ef.att_of_draws(supported_cohort(spark, sf_dir), "treatment")
+    return ef.bootstrap_summary(drawn_att(spark, sf_dir)).selectExpr(
+        "n_draws", *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
+    )
 
 
 def effect_table_all(spark, sf_dir):
-    return ef.effect_table(
-        {"Cross-fitted trees": att_crossfit_draws(spark, sf_dir), **linear_effects(spark, sf_dir)}
+    table = ef.effect_table(
+        {"Cross-fitted": ef.bootstrap_summary(drawn_att(spark, sf_dir)), **linear_effects(spark, sf_dir)}
     )
+    return table.selectExpr("model", *[sig(c, c) for c in ("att", "sd", "ci_lower", "ci_upper")])
+
+
+def ate_crossfit_trees(spark, sf_dir):
+    """Boosted propensities and a forest with a normal intercept per person."""
+    made = mo.effect_design(cohort(spark, sf_dir))
+
+    def build():
+        return ef.cross_fit(made.df, made.y, "treatment", made.terms, "caseid", person=True)
+
+    scored = ef.common_support(once(spark, sf_dir, "scored_trees", build), "treatment", "sd").where("supported = 1")
+    return estimate_row(ef.ate(scored, made.y, "treatment", "caseid"), scored)
 
 
 # --- sensitivity and diagnostics ------------------------------------------------------------------
@@ -906,6 +943,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ate_crossfit": ate_crossfit,
     "att_crossfit": att_crossfit,
     "att_crossfit_draws": att_crossfit_draws,
+    "ate_crossfit_trees": ate_crossfit_trees,
     "effect_table_all": effect_table_all,
     "sensitivity_grid": sensitivity,
     "sensitivity_first_baseline": sensitivity_first_baseline,

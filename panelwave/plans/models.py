@@ -61,4 +61,9 @@ def cohort_design(cohort: DataFrame) -> Design:
 
 
 # Covariates of the propensity and outcome models: the regression's and the baseline wave.
-EFFECT_COVARIATES = (*COHORT_TERMS[1:], "region", "bl")
+EFFECT_TERMS = (*COHORT_TERMS[1:], "bl")
+
+
+def effect_design(cohort: DataFrame) -> Design:
+    """Covariates as terms, the region as a factor; the treatment is kept beside them."""
+    return design(cohort, OUTCOME, EFFECT_TERMS, ["region"], [PERSON, "treatment"], {"region": REGIONS})

@@ -7,6 +7,8 @@ windows, so they share no logic with the Spark side beyond the survey's definiti
 from __future__ import annotations
 
 from panelwave.functions.recode import PRICE_INDEX
+from panelwave.operators.effects import REPLICATES, poisson_cuts
+from panelwave.plans import sql_fits
 
 # --- the survey, one row per customer and quarter --------------------------------------
 
@@ -556,37 +558,38 @@ def wide_query(columns: str) -> str:
     return "WITH " + CELL.strip().rstrip(",") + f" SELECT c AS caseid, {columns} FROM cell GROUP BY c"
 
 
-def random_intercept_fit() -> str:
-    """Restricted maximum likelihood with one regressor: the variance ratio is found by
-    zooming in on a grid, the 2 x 2 systems are solved in closed form."""
-
-    def criterion(source: str, ratio: str) -> str:
-        return f"""
-  (SELECT t, a11 * a22 - a12 * a12 AS det, a11, a12, a22, b1, b2, logs,
-          (yy - (a22 * b1 * b1 - 2 * a12 * b1 * b2 + a11 * b2 * b2) / (a11 * a22 - a12 * a12)) / (n - 2) AS s2, n
-   FROM (SELECT t, any_value(n) AS n, any_value(n) - sum(w * s11) AS a11, -sum(w * s12) AS a12,
-                any_value(xx) - sum(w * s22) AS a22, -sum(w * s1y) AS b1, any_value(xy) - sum(w * s2y) AS b2,
-                any_value(yy) - sum(w * syy) AS yy, sum(cnt * ln(1 + size * th)) AS logs
-         FROM (SELECT t, th, th / (1 + size * th) AS w, sizes.*, tt.* FROM (SELECT t, {ratio} AS th FROM {source}), sizes, tt)
-         GROUP BY t))"""
-
-    parts = [ORDERS_COHORT + """, dc AS (SELECT caseid, CAST(treatment AS DOUBLE) - (SELECT avg(treatment) FROM oc) AS x,
-                 wages - (SELECT avg(wages) FROM oc) AS y FROM oc),
-tt AS (SELECT count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM dc),
-sizes AS (SELECT size, count(*) AS cnt, sum(size * size) AS s11, sum(size * x) AS s12, sum(x * x) AS s22,
-                 sum(size * y) AS s1y, sum(x * y) AS s2y, sum(y * y) AS syy
-          FROM (SELECT caseid, count(*) AS size, sum(x) AS x, sum(y) AS y FROM dc GROUP BY 1) GROUP BY 1),
-z0 AS (SELECT -12.0::DOUBLE AS lo, 8.0::DOUBLE AS hi)"""]
-    for i in range(1, 14):
-        parts.append(f"""g{i} AS (SELECT lo + (hi - lo) * j / 20 AS t, (hi - lo) / 20 AS h FROM z{i - 1}, (SELECT unnest(range(21)) AS j)),
-v{i} AS (SELECT arg_min(t, (n - 2) * ln(s2) + logs + ln(det)) AS t FROM {criterion(f'g{i}', 'exp(t)')}),
-z{i} AS (SELECT t - h AS lo, t + h AS hi FROM v{i}, (SELECT any_value(h) AS h FROM g{i}))""")
-    parts.append(f"""cand AS (SELECT exp((lo + hi) / 2) AS t FROM z13 UNION ALL SELECT 0),
-best AS (SELECT * FROM {criterion('cand', 't')} ORDER BY (n - 2) * ln(s2) + logs + ln(det) LIMIT 1),
-sol AS (SELECT *, (a22 * b1 - a12 * b2) / det AS c0, (a11 * b2 - a12 * b1) / det AS c1,
-               (SELECT avg(treatment) FROM oc) AS xm, (SELECT avg(wages) FROM oc) AS ym FROM best)
-""")
-    return ",\n".join(parts)
+ORDERS_TERMS = {"treatment": "treatment"}
+RANDOM_SMALL = ORDERS_COHORT + sweep("oc", ORDERS_TERMS, "wages") + sql_fits.random_intercept("oc", ORDERS_TERMS, "wages", "caseid")
+RANDOM_COHORT = COHORT_FIT + sql_fits.random_intercept("cohort", COHORT_TERMS, "log_wages", "caseid")
+
+
+def random_rows(head: str, terms: dict[str, str]) -> str:
+    rows = sql_fits.random_intercept_rows(terms)
+    return head + (
+        f"SELECT CAST(pos AS INTEGER) AS pos, term, {sig('estimate', 'estimate')}, {sig('se', 'se')} FROM {rows}"
+    )
+
+
+def random_fit(head: str) -> str:
+    return head + (
+        "SELECT CAST(n_rows AS BIGINT) AS n, CAST(n_rows - len(use) AS BIGINT) AS df, (SELECT count(*) FROM gv) AS n_groups, "
+        f"{sig('sqrt(variance)', 'sigma')}, {sig('sqrt(th * variance)', 'group_sd')} FROM best"
+    )
+
+
+EFFECT_TERMS = {**plain(*COHORT[1:], "bl"), **REGION_DUMMIES}
+CROSS_FITTED = WITH_COHORT + sql_fits.cross_fitted("cohort", EFFECT_TERMS, "log_wages", "treatment")
+ROW_KEYS = "caseid, CAST(bl AS INTEGER) AS bl, CAST(treatment AS INTEGER) AS treatment"
+INTERVAL = ", ".join(
+    [sig("est", "estimate"), sig("sd", "sd"), sig("est - 1.96 * sd", "ci_lower"), sig("est + 1.96 * sd", "ci_upper")]
+)
+
+
+def cross_fitted_estimate(value: str, weight: str) -> str:
+    return CROSS_FITTED + sql_fits.ratio_average(value, weight) + (
+        "SELECT CAST(n_rows AS BIGINT) AS n_rows, CAST(n_persons AS BIGINT) AS n_persons, CAST(n_clipped AS BIGINT) AS n_clipped, "
+        f"{INTERVAL} FROM res"
+    )
 
 
 def survey_codes() -> str:
@@ -841,13 +844,22 @@ ORACLES: dict[str, str] = {
     "within_ols_full": coefficient_query(WITH_SAMPLE_ONE, "sample1", WITHIN_TERMS, "log_wages", "caseid"),
     "within_ols_fit": WITHIN_FIT + f"SELECT n, CAST(len(kept) AS INTEGER) AS k, CAST(df AS BIGINT) AS df, n_groups, {sig('sqrt(variance)', 'sigma')}, "
         + sig("1 - rss / (SELECT s%d_%d FROM cross0)" % (len(WITHIN_TERMS), len(WITHIN_TERMS)), "r2") + " FROM fit",
-    "random_intercept_small": random_intercept_fit()
-        + f"SELECT 0 AS pos, '(intercept)' AS term, {sig('ym + c0 - xm * c1', 'estimate', 3)},"
-        + f" {sig('sqrt(s2 * (a22 + 2 * xm * a12 + xm * xm * a11) / det)', 'se', 3)} FROM sol"
-        + f" UNION ALL SELECT 1, 'treatment', {sig('c1', 'estimate', 3)}, {sig('sqrt(s2 * a11 / det)', 'se', 3)} FROM sol",
-    "random_intercept_small_fit": random_intercept_fit()
-        + "SELECT CAST(n AS BIGINT) AS n, CAST(n - 2 AS BIGINT) AS df, (SELECT count(DISTINCT caseid) FROM oc) AS n_groups,"
-        + f" {sig('sqrt(s2)', 'sigma', 3)}, {sig('sqrt(t * s2)', 'group_sd', 3)} FROM sol",
+    "random_intercept": random_rows(RANDOM_COHORT, COHORT_TERMS),
+    "random_intercept_fit": random_fit(RANDOM_COHORT),
+    "random_intercept_small": random_rows(RANDOM_SMALL, ORDERS_TERMS),
+    "random_intercept_small_fit": random_fit(RANDOM_SMALL),
+    "propensity": CROSS_FITTED + f"SELECT {ROW_KEYS}, fold, clipped, {sig('e', 'e')} FROM scored",
+    "outcome_surface": CROSS_FITTED
+        + f"SELECT {ROW_KEYS}, {', '.join(sig(c, c) for c in ('mu1', 'mu0', 'sd1', 'sd0'))} FROM scored",
+    "support_trim": CROSS_FITTED + "SELECT CAST(treatment AS INTEGER) AS treatment, supported, count(*) AS n, "
+        + sig("avg(CASE WHEN treatment = 1 THEN sd1 ELSE sd0 END)", "sd_factual") + ", "
+        + sig("avg(CASE WHEN treatment = 1 THEN sd0 ELSE sd1 END)", "sd_counterfactual") + " FROM trimmed GROUP BY 1, 2",
+    "ate_crossfit": cross_fitted_estimate(
+        "mu1 - mu0 + treatment * (y - mu1) / e - (1 - treatment) * (y - mu0) / (1 - e)", "1"
+    ),
+    "att_crossfit": cross_fitted_estimate("treatment * (mu1 - mu0)", "treatment"),
+    "att_crossfit_draws": CROSS_FITTED + sql_fits.bootstrap(poisson_cuts(), REPLICATES)
+        + f"SELECT n_draws, {INTERVAL} FROM drawn",
     "fitted_residuals": COHORT_FIT + ", b AS (SELECT "
         + ", ".join(
             f"CASE WHEN list_contains(kept, {j}) THEN m[{j}][{len(COHORT_TERMS) + 1}] ELSE 0 END AS b{j}, centre[{j}] AS c{j}"
@@ -895,13 +907,21 @@ ORACLES: dict[str, str] = {
     "support_curve": binned(SCORES, "mu1 - mu0", "mu1", "sc_all", -400000, 400000, 16),
 }
 
-ORACLES["effect_table"] = (
-    PANEL + SAMPLE_ONE + SAMPLE_TWO + cohort_cte()
-    + sweep("sample1", WITHIN_TERMS, "log_wages", "caseid", "_w")
+TWO_FITS = (
+    sweep("sample1", WITHIN_TERMS, "log_wages", "caseid", "_w")
     + sweep("sample2", {**plain(*NAIVE), **REGION_DUMMIES}, "log_wages", None, "_c")
     + f""", two AS (
         SELECT 'Within' AS model, m[2][{len(WITHIN_TERMS) + 1}] AS att, sqrt(-variance * m[2][2]) AS sd FROM fit_w
         UNION ALL
         SELECT 'Naive OLS', m[1][{len(NAIVE) + len(REGION_DUMMIES) + 1}], sqrt(-variance * m[1][1]) FROM fit_c)
-      SELECT model, {sig('att', 'att')}, {sig('sd', 'sd')}, {sig('att - 1.96 * sd', 'ci_lower')}, {sig('att + 1.96 * sd', 'ci_upper')} FROM two"""
+"""
+)
+EFFECT_ROW = ", ".join(
+    ["model", sig("att", "att"), sig("sd", "sd"), sig("att - 1.96 * sd", "ci_lower"), sig("att + 1.96 * sd", "ci_upper")]
+)
+ORACLES["effect_table"] = PANEL + SAMPLE_ONE + SAMPLE_TWO + cohort_cte() + TWO_FITS + f"SELECT {EFFECT_ROW} FROM two"
+ORACLES["effect_table_all"] = (
+    PANEL + SAMPLE_ONE + SAMPLE_TWO + cohort_cte() + TWO_FITS
+    + sql_fits.cross_fitted("cohort", EFFECT_TERMS, "log_wages", "treatment") + sql_fits.bootstrap(poisson_cuts(), REPLICATES)
+    + f"SELECT {EFFECT_ROW} FROM (SELECT * FROM two UNION ALL SELECT 'Cross-fitted', est, sd FROM drawn)"
 )

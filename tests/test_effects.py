@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from panelwave.operators import crossfit as cf
 from panelwave.operators import diagnostics as dg
 from panelwave.operators import effects as ef
 from panelwave.operators import linear as ln
@@ -52,6 +53,105 @@ def test_folds_keep_persons_together(scored):
     assert scored.count() == 3000
 
 
+def test_person_intercepts_sharpen_the_surface(spark):
+    """Strong person effects: the forest beside them is nearer to the truth than the forest alone."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    person = np.arange(n) // 5
+    x, z = rng.normal(size=(2, n))
+    t = (rng.random(n) < 1 / (1 + np.exp(-x))).astype(int)
+    y = 1 + 2 * t + 1.5 * x + rng.normal(size=n // 5)[person] * 4 + rng.normal(size=n) * 0.3
+    pdf = pd.DataFrame({"caseid": person, "x": x, "z": z, "t": t, "y": y})
+    df = spark.createDataFrame(pdf)
+    train, test = ef.with_folds(df, "caseid", 2).where("fold = 0").cache(), ef.with_folds(df, "caseid", 2).where("fold = 1")
+    off = {}
+    for name in (None, "caseid"):
+        got = ef.outcome_surface(train, test, "y", "t", ["x", "z"], trees=20, depth=5, person=name).selectExpr(
+            "pow(mu1 - (3 + 1.5 * x), 2) AS one", "pow(mu0 - (1 + 1.5 * x), 2) AS zero"
+        ).toPandas()
+        off[name] = float(np.sqrt(got.to_numpy().mean()))
+    assert off["caseid"] < 0.75 * off[None]
+    scored = ef.cross_fit(df, "y", "t", ["x", "z"], "caseid", method="logistic", trees=10, person=True)
+    ate = ef.ate(scored, "y", "t", "caseid").head()
+    assert ate.ci_lower - 0.2 < 2 < ate.ci_upper + 0.2
+
+
+def test_person_intercepts_are_shrunken_means(spark):
+    rng = np.random.default_rng(4)
+    g = np.repeat(np.arange(60), rng.integers(1, 9, 60))
+    r = rng.normal(size=60)[g] * 2 + rng.normal(size=len(g)) + 5
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "r": r}))
+    got = {x._person: x._intercept for x in ef.person_intercepts(df, "r", "g").collect()}
+    fit = ln.random_intercept(ln.Design(df, "r", []), "g")
+    theta = fit.extra["theta"]
+    for k in range(60):
+        own = r[g == k] - fit.estimate[0]
+        assert got[k] == pytest.approx(theta * own.sum() / (1 + theta * len(own)))
+    assert 2 < theta < 8
+
+
+def test_linear_cross_fit_recovers_the_effect(trial):
+    made = ln.design(trial, "y", ["x", "z"], keep=["caseid", "t"])
+    scored = cf.cross_fit_linear(made, "t", "caseid", folds=3).cache()
+    assert sorted(r[0] for r in scored.select("fold").distinct().collect()) == [0, 1, 2]
+    ate = ef.ate(scored, "y", "t", "caseid").head()
+    assert ate.ci_lower < 2 < ate.ci_upper and ate.n_rows == 3000
+
+
+def test_linear_cross_fit_like_numpy(trial):
+    pdf = trial.toPandas()
+    made = ln.design(trial, "y", ["x", "z"], keep=["caseid", "t"])
+    got = cf.cross_fit_linear(made, "t", "caseid", []).toPandas()
+    z = pdf[["x", "z"]].to_numpy()
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    fold = (pdf.caseid % 10007 * 7919 % 10007 % 2).to_numpy()
+    want = np.zeros((len(pdf), 4))
+    for k in (0, 1):
+        tr, te = fold != k, fold == k
+        Z = np.column_stack([np.ones(tr.sum()), z[tr]])
+        T = np.column_stack([np.ones(te.sum()), z[te]])
+        pen = np.diag([0, cf.RIDGE * tr.sum(), cf.RIDGE * tr.sum()])
+        b = np.zeros(3)
+        for _ in range(30):  # plain Newton on the penalised likelihood
+            p = 1 / (1 + np.exp(-Z @ b))
+            b += np.linalg.solve(Z.T @ (Z * (p * (1 - p))[:, None]) + pen, Z.T @ (pdf.t[tr] - p) - pen @ b)
+        want[te, 0] = 1 / (1 + np.exp(-T @ b))
+        for col, arm in ((1, 1), (2, 0)):
+            own = Z[pdf.t[tr] == arm]
+            pa = np.diag([0, cf.RIDGE * len(own), cf.RIDGE * len(own)])
+            want[te, col] = T @ np.linalg.solve(own.T @ own + pa, own.T @ pdf.y[tr][pdf.t[tr] == arm])
+    want = pd.DataFrame(want[:, :3], columns=["e", "mu1", "mu0"]).sort_values("e", kind="stable")
+    have = got.sort_values("e", kind="stable")
+    clip = have.clipped.to_numpy() == 0
+    assert have[["e", "mu1", "mu0"]].to_numpy()[clip] == pytest.approx(want.to_numpy()[clip], rel=1e-6)
+
+
+def test_separated_arms_and_clipping(spark):
+    rows = [(i, float(i), float(i % 7), int(i > 50), float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "caseid bigint, x double, c double, t int, y double").selectExpr("*", "1D AS flat", "2 * x AS twice")
+    made = ln.design(df, "y", ["x", "flat", "twice"], keep=["caseid", "t"])
+    got = cf.cross_fit_linear(made, "t", "caseid", clip=0.2).toPandas()
+    assert got[["e", "mu1", "mu0", "sd1", "sd0"]].notna().all().all()
+    assert got.e.between(0.2, 0.8).all() and 0 < got.clipped.sum() == got.e.isin([0.2, 0.8]).sum()
+    one_arm = ln.design(df.withColumn("t", df.t * 0), "y", ["x"], keep=["caseid", "t"])
+    with pytest.raises(ValueError, match="arm 1"):
+        cf.cross_fit_linear(one_arm, "t", "caseid")
+
+
+def test_person_bootstrap(scored):
+    value = scored.selectExpr("caseid", "t * (mu1 - mu0) AS a", "CAST(t AS DOUBLE) AS b")
+    one = {r.replicate: r.estimate for r in ef.person_bootstrap(value, "a", "b", "caseid", 60).collect()}
+    two = {r.replicate: r.estimate for r in ef.person_bootstrap(value.repartition(5), "a", "b", "caseid", 60).collect()}
+    assert one.keys() == two.keys() == set(range(1, 61))
+    assert [one[k] for k in one] == pytest.approx([two[k] for k in one])
+    counts = scored.sparkSession.range(20_000).selectExpr(f"{ef.bootstrap_weight('id', '7')} AS k").toPandas().k
+    assert counts.mean() == pytest.approx(1, abs=0.03) and counts.var() == pytest.approx(1, abs=0.05)
+    row = ef.bootstrap_summary(ef.person_bootstrap(value, "a", "b", "caseid")).head()
+    plain = ef.att(scored, "t", "caseid").head()
+    assert row.estimate == pytest.approx(plain.estimate, abs=4 * plain.sd) and row.sd == pytest.approx(plain.sd, rel=0.3)
+    assert row.n_draws == ef.REPLICATES
+
+
 def test_draws_give_means_and_spreads(scored):
     pdf = scored.limit(50).toPandas()
     for arm in ("1", "0"):

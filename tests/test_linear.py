@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,12 +104,8 @@ def dense_reml(theta, X, y, g):
     return value, beta, np.sqrt(np.diag(np.linalg.inv(A)) * s2), s2
 
 
-@pytest.mark.parametrize("sizes", [256, 1])
-def test_random_intercept_matches_dense_likelihood(data, monkeypatch, sizes):
+def test_random_intercept_matches_dense_likelihood(data):
     df, g, X, y = data
-    if sizes == 1:  # the form with one Spark pass per ratio; fewer steps keep it short
-        monkeypatch.setattr(ln, "MAX_GROUP_SIZES", 1)
-        monkeypatch.setattr(ln, "search_ratio", lambda f: min((1.0, 2.0), key=f))
     fit = ln.random_intercept(made(df), "g")
     centred = X.copy()
     centred[:, 0] -= 1e4
@@ -117,9 +114,33 @@ def test_random_intercept_matches_dense_likelihood(data, monkeypatch, sizes):
     assert fit.estimate[1:] == pytest.approx(beta[1:], rel=1e-5)
     assert fit.se[1:] == pytest.approx(se[1:], rel=1e-5)
     assert fit.sigma == pytest.approx(np.sqrt(s2), rel=1e-6) and fit.groups == len(np.unique(g))
-    if sizes > 1:
-        near = [dense_reml(theta * f, centred, y, g)[0] for f in (0.97, 1.03)]
-        assert value < min(near)
+    near = [dense_reml(theta * f, centred, y, g)[0] for f in (0.999, 1.001)]
+    assert value < min(near)
+
+
+def test_random_intercept_reads_group_sums_twice_for_any_sizes(spark, monkeypatch):
+    calls = []
+    one_pass = ln.ratio_sums
+    monkeypatch.setattr(ln, "ratio_sums", lambda *a: calls.append(len(a[2])) or one_pass(*a))
+    rng = np.random.default_rng(11)
+    g = np.repeat(np.arange(300), np.arange(1, 301))  # 300 groups of 300 sizes
+    x = rng.normal(size=len(g))
+    y = 1 + 2 * x + rng.normal(size=300)[g] * 0.8 + rng.normal(size=len(g))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y}))
+    fit = ln.random_intercept(ln.design(df, "y", ["x"], keep=["g"]), "g")
+    assert len(calls) == 2 and fit.groups == 300
+    # the same from sums per group
+    n, theta = np.bincount(g), np.exp(np.linspace(-3, 2, 20001))
+    X = np.column_stack([np.ones(len(g)), x, y])
+    total = X.T @ X
+    sums = np.column_stack([np.bincount(g, c) for c in X.T])
+    value = []
+    for t in theta:
+        a = total - (sums * (t / (1 + n * t))[:, None]).T @ sums
+        b = np.linalg.solve(a[:2, :2], a[:2, 2])
+        s2 = (a[2, 2] - a[:2, 2] @ b) / (len(g) - 2)
+        value.append((len(g) - 2) * np.log(s2) + np.log1p(n * t).sum() + np.linalg.slogdet(a[:2, :2])[1])
+    assert np.log(fit.extra["theta"]) == pytest.approx(np.log(theta[int(np.argmin(value))]), abs=3e-4)
 
 
 def test_random_intercept_without_group_variance_is_ols(spark):

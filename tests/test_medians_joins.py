@@ -5,22 +5,57 @@ from panelwave.operators import joins as jn
 from panelwave.operators import medians as md
 
 
-@pytest.mark.parametrize("sortable", [1_000_000, 40])
-@pytest.mark.parametrize("kind", ["even", "odd", "ties", "pair"])
-def test_quantiles_are_exact(spark, sortable, kind):
+@pytest.mark.parametrize("kind", ["even", "odd", "ties", "pair", "signs"])
+def test_quantiles_are_exact(spark, kind):
     rng = np.random.default_rng(7)
     values = {
         "even": rng.normal(size=5000),
         "odd": rng.lognormal(size=4999),
         "ties": np.concatenate([np.full(2500, 3.0), rng.normal(3, 2, 5001)]),
         "pair": np.concatenate([np.zeros(2000), np.ones(2000)]),
+        "signs": np.array([-1e200, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1e200, 2.0]),
     }[kind]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
-    shares = (0.1, 0.5, 0.9)
-    got = md.global_quantiles(df, "x", shares, sortable=sortable)
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = md.global_quantiles(df, "x", shares)
     assert got == pytest.approx(list(np.quantile(values, shares)), rel=1e-12)
 
 
+def test_all_conditions_take_four_passes(spark, monkeypatch):
+    calls = []
+    counted = md.digit_counts
+    monkeypatch.setattr(md, "digit_counts", lambda *a: calls.append(a[1:]) or counted(*a))
+    rng = np.random.default_rng(1)
+    rows = [(float(v), int(g)) for v, g in zip(rng.lognormal(size=3000) - 1, rng.integers(0, 5, 3000))]
+    df = spark.createDataFrame(rows, "x double, g int").repartition(7)
+    shares = (0.25, 0.5, 0.75)
+    found = md.quantiles(df, "x", shares, {str(g): f"g = {g}" for g in range(6)})
+    assert len(calls) == 4 and all(len(slots) <= 6 * 6 for slots, _ in calls)
+    for g in range(5):
+        assert found[str(g)] == pytest.approx(list(np.quantile([v for v, k in rows if k == g], shares)), rel=1e-12)
+    assert found["5"] == [None, None, None]
+
+
+def test_order_of_doubles_is_kept():
+    x = np.array([-np.inf, -1.5, -5e-324, 0.0, 5e-324, 1.5, np.inf])
+    keys = md.ordered(x)
+    assert (np.diff(keys.astype(object)) > 0).all()
+    assert [md.unordered(int(k)) for k in keys] == x.tolist()
+    assert md.ordered(np.array([-0.0]))[0] == md.ordered(np.array([0.0]))[0]
+
+
+@pytest.mark.parametrize("accuracy", [20, 500])
+def test_sketched_quantiles_keep_their_bound(spark, accuracy):
+    x = np.random.default_rng(3).normal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(8)
+    shares = (0.05, 0.5, 0.99)
+    for share, got in zip(shares, md.global_quantiles(df, "x", shares, accuracy=accuracy)):
+        assert abs((x <= got).mean() - share) <= 1 / accuracy + 1 / len(x)
+    assert md.global_quantiles(df, "x", shares, "x > 100", accuracy=accuracy) == [None, None, None]
+    with pytest.raises(ValueError):
+        md.global_quantiles(df, "x", shares, accuracy=0)
+
+
 def test_median_conditions_and_empty(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1), (9.0, 0)], "x double, g int")
     assert md.global_median(df, "x", where="g = 1") == 1.5
