@@ -1,13 +1,12 @@
 """Byte-level BPE encoding and decoding with a transducer of the frequent words.
 
-A text is cut into words before white space that follows a character that is none; the tokenizer
-always splits there, so a word's ids do not depend on its neighbours (a word has its leading white
-space with it). All words of the corpus are counted; those that are at least one in ``RARE`` of all
-words, fewer than ``RARE`` by that, are encoded on the driver and compiled into a minimal acyclic
-transducer (``lexicon``). Its file lies in the shared folder, Spark hands every executor a copy, and
-Python workers map it. Words that it lacks are split into pieces as the tokenizer's file says, and
-each piece's pairs are merged by rank, leftmost first, from a heap over linked symbols, so the time
-stays near linear in a piece of any length.
+Words are the pieces into which the tokenizer splits a text before it merges anything. Texts of
+Latin letters and common signs are split by the tokenizer's pattern with these letters written out,
+all others by the library. All words of the corpus are counted; those that are at least one in
+``RARE`` of all words, no more than ``RARE`` by that, are encoded on the driver and compiled into a
+minimal acyclic transducer (``lexicon``). Its file lies in the shared folder, Spark hands every
+executor a copy, and Python workers map it. In a word that it lacks, pairs are merged by rank,
+leftmost first; long words from a heap over linked symbols, so that time stays near linear.
 
 Special strings inside a text become their own ids, as the library does by default. Nothing is
 truncated or padded. Decoding joins the tokens' bytes; what is not UTF-8 becomes U+FFFD.
@@ -16,9 +15,9 @@ truncated or padded. Decoding joins the tokens' bytes; what is not UTF-8 becomes
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -35,22 +34,20 @@ from llm.lexicon import Lexicon, compiled
 from llm.shared import ship, stored
 from llm.token_files import new_folder
 
-RARE = 100_000
+RARE = 250_000
 LONGEST = 64  # bytes of a word of the lexicon
-GROUP_BYTES = 1 << 20  # texts encoded together
-FLUSH = 1 << 16  # distinct words counted before they are handed on
-MEMO_BYTES = 1 << 24  # of merged pieces that a Python worker remembers
-
-# fixed values: Unicode white space, and the split pattern of byte-level BPE (here on ASCII alone)
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s A-Za-z0-9]+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(r"[ -~\t\n\r]*")
-# what some version of some library takes for white space, too: not cut after it
-_MAYBE = SPACE + "\x1c-\x1f\u180e\u200b\ufeff"
-_WORD_BOUND = re.compile(f"(?<=[^{_MAYBE}])(?=[{SPACE}])")
-# places where the cut before a space would part a run of white space that stays together
-_RUN = re.compile(f"[{_MAYBE}] (?:[{_MAYBE}]|$)")
-_ASCII_RUN = re.compile(rb"[\t-\r\x1c-\x1f ] (?:[\t-\r\x1c-\x1f ]|$)")
+GROUP_BYTES = 1 << 22  # texts encoded together
+ROWS = 1 << 10  # texts taken out of an Arrow batch at a time
+FLUSH = 1 << 17  # distinct words counted before they are handed on
+MEMO_BYTES = 3 << 23  # of merged words that a Python worker remembers
+PAIR = 24  # bits of an id in a pair
+SHORT = 40  # symbols of a word merged without a heap
+
+# fixed values: the split pattern of byte-level BPE, on ASCII and Latin letters
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+# all other characters that it may be used on: neither letters nor numbers
+_PLAIN = re.compile(f"[ -~\t\n\r{_LETTERS}\xa1\xab\xbb\xbf\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]*")
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,7 +72,6 @@ class Vocabulary:
             and not any(model.get(k) for k in (
                 "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
             and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
-            and not any(re.search(f"[{_MAYBE}]", t["content"]) for t in added)
             and (said["decoder"] or {}).get("type") == "ByteLevel"
         )
         if not plain:
@@ -91,98 +87,127 @@ class Vocabulary:
             self.as_bytes[i] = token.encode()
         of_bytes = {self.as_bytes[i]: i for i in model["vocab"].values()}
         self.single = [of_bytes.get(bytes([b]), -1) for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        # a pair of ids as one number finds its rank; the rank finds the id made
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        for pair in model["merges"]:
             a, b = (model["vocab"][t] for t in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges[a, b] = (rank, of_bytes[self.as_bytes[a] + self.as_bytes[b]])
+            self.ranks[a << PAIR | b] = len(self.made)
+            self.made.append(of_bytes[self.as_bytes[a] + self.as_bytes[b]])
+        none = len(self.made)
+        self.whole = min(self.single) >= 0
+        self.pairs = [self.ranks.get(a << PAIR | b, none) for a in self.single for b in self.single] if self.whole else []
         # longer strings first, as the library finds them
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece after all merges, lowest rank first, then leftmost."""
-        ids = [i for i in map(self.single.__getitem__, piece) if i >= 0]
-        merges, n = self.merges, len(ids)
-        heap = [(*merges[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
-        if not heap:
-            return ids
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        ids = list(map(self.single.__getitem__, piece))
+        if not self.whole:
+            ids = [i for i in ids if i >= 0]
+        if len(ids) > SHORT:
+            return self._merged_by_heap(ids)
+        rank_of, made, none = self.ranks.get, self.made, len(self.made)
+        if self.whole:
+            pairs = self.pairs
+            ranks = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        else:
+            ranks = [rank_of(a << PAIR | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            new = ids[i] = made[least]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(new << PAIR | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << PAIR | new, none)
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same in near linear time: a heap of pairs over linked symbols."""
+        rank_of, made, n = self.ranks.get, self.made, len(ids)
+        keys = [a << PAIR | b for a, b in zip(ids, ids[1:])]
+        heap = [(rank_of(k), i, k) for i, k in enumerate(keys) if k in self.ranks]
         heapify(heap)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, new, a, b = heappop(heap)
+            rank, i, key = heappop(heap)
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if j >= n or ids[i] < 0 or ids[i] << PAIR | ids[j] != key:
                 continue  # one of the two has been merged since
-            ids[i], ids[j] = new, -1
+            new = ids[i] = made[rank]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (new, ids[k]) in merges:
-                    rank, made = merges[new, ids[k]]
-                    heappush(heap, (rank, i, made, new, ids[k]))
-            if (h := before[i]) >= 0 and (ids[h], new) in merges:
-                rank, made = merges[ids[h], new]
-                heappush(heap, (rank, h, made, ids[h], new))
+                if (found := rank_of(key := new << PAIR | ids[k])) is not None:
+                    heappush(heap, (found, i, key))
+            if (h := before[i]) >= 0 and (found := rank_of(key := ids[h] << PAIR | new)) is not None:
+                heappush(heap, (found, h, key))
         return [i for i in ids if i >= 0]
 
 
 class Encoder:
     def __init__(self, path: str, lexicon: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = _vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.split = ByteLevel(add_prefix_space=False).pre_tokenize_str
-        self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.room = MEMO_BYTES
 
-    def piece(self, text: str, raw: bytes) -> bytes:
-        ids = np.array(self.vocabulary.merged(raw), "<u4").tobytes()
-        cost = 2 * len(text) + len(ids) + 200  # with the objects around them
+    def words(self, text: str) -> list[str]:
+        return words_of(text, self.vocabulary)
+
+    def unseen(self, word: str) -> bytes:
+        """Ids of a word, as little-endian 32-bit integers, by merging."""
+        if word in self.vocabulary.special:
+            return np.array([self.vocabulary.special[word]], "<u4").tobytes()
+        raw = word.encode("utf-8", "replace")
+        ids = array("I", self.vocabulary.merged(raw)).tobytes()
+        cost = len(raw) + len(ids) + 160  # with the objects around them
         if len(raw) <= LONGEST and cost <= self.room:
-            self.memo[text] = ids
+            self.memo[word] = ids
             self.room -= cost
         return ids
 
-    def plain(self, text: str) -> bytes:
-        """Ids of a stretch without special strings."""
-        found = self.memo.get
-        if _PLAIN.fullmatch(text):
-            return b"".join([found(p) or self.piece(p, p.encode()) for p in _PIECES.findall(text)])
-        # any other text is split by the library, which writes bytes as letters (a space as none of ASCII)
-        parts = [p for p, _ in self.split(text)]
-        return b"".join([found(p) or self.piece(p, bytes(map(self.letters.__getitem__, p))) for p in parts])
-
-    def unseen(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        out, at = [], 0
-        for m in self.vocabulary.cut.finditer(text):
-            out += [self.plain(text[at : m.start()]), np.array([self.vocabulary.special[m[0]]], "<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self.plain(text[at:])]) if out else self.plain(text)
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         for group in grouped(texts):
-            split = [words_of(t) for t in group]
-            distinct = list(set().union(*split))
-            known = self.lexicon.found(distinct) if self.lexicon else {}
-            for w in distinct:
-                if w not in known:
-                    known[w] = self.unseen(w)
+            split = [self.words(t) for t in group]
+            known: dict[str, bytes] = {}
+            rest = list(set().union(*split))
+            if self.lexicon:
+                found = self.lexicon.found([w.encode("utf-8", "replace") for w in rest])
+                known = {w: ids for w, ids in zip(rest, found) if ids is not None}
+                rest = [w for w, ids in zip(rest, found) if ids is None]
+            memo = self.memo.get
+            for w in rest:
+                known[w] = memo(w) or self.unseen(w)
             yield from [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text, white space before them included; together they are the text."""
-    raw = text.encode("utf-8", "replace")
-    if _ASCII_RUN.search(raw) if text.isascii() else _RUN.search(text):
-        return [w.encode("utf-8", "replace") for w in _WORD_BOUND.split(text) if w]
-    first, *rest = raw.split(b" ")
-    words = [b" " + w for w in rest]
-    return [first, *words] if first else words
+def words_of(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The words of a text; together they are the text. Special strings are words."""
+    if any(s in text for s in vocabulary.special):
+        out, at = [], 0
+        for m in vocabulary.cut.finditer(text):
+            out += [*split_plain(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + split_plain(text[at:])
+    return split_plain(text)
+
+
+_library = []
+
+
+def split_plain(text: str) -> list[str]:
+    """The words of a text without special strings."""
+    if _PLAIN.fullmatch(text):
+        return _WORDS.findall(text)
+    if not _library:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        _library.append(ByteLevel(add_prefix_space=False).pre_tokenize_str)
+    return [text[a:b] for _, (a, b) in _library[0](text)]
 
 
 def grouped(texts: list[str]) -> Iterator[list[str]]:
@@ -198,7 +223,12 @@ def grouped(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
+def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``(word, n)`` over all texts, words of up to ``LONGEST`` bytes; null texts have none.
 
     Tasks count ahead in bounded tables, so that a frequent word leaves a task a few times only.
@@ -208,15 +238,16 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         seen: Counter = Counter()
 
         def given() -> pa.RecordBatch:
-            held = [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
+            held = [(raw, n) for w, n in seen.items() if len(raw := w.encode("utf-8", "replace")) <= LONGEST]
             return pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in held], pa.binary()), pa.array([n for _, n in held], pa.int64())], ["word", "n"]
             )
 
+        vocabulary = _vocabulary(tokenizer)
         for b in batches:
-            for group in grouped([t or "" for t in b.column(0).to_pylist()]):
-                for t in group:
-                    seen.update(words_of(t))
+            for part in slices(b):
+                for t in part.column(0).to_pylist():
+                    seen.update(words_of(t or "", vocabulary))
                 if len(seen) > FLUSH:
                     yield given()
                     seen.clear()
@@ -229,12 +260,12 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def compile_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", rare: int = RARE) -> str:
     """The place of a lexicon file of the words that are at least one in ``rare`` of all words."""
     spark = docs.sparkSession
-    counts = stored(word_counts(docs, text))
+    counts = stored(word_counts(docs, tokenizer, text))
     total = counts.agg(F.sum("n")).head()[0] or 0
     # no more than ``rare`` words can be this frequent
     words = [bytes(r["word"]) for r in counts.where(F.col("n") * rare >= total).select("word").collect()]
     encoder = Encoder(tokenizer)
-    held = [(w, np.frombuffer(encoder.unseen(w), "<u4").tolist()) for w in words if w]
+    held = [(w, np.frombuffer(encoder.unseen(w.decode("utf-8", "replace")), "<u4").tolist()) for w in words]
     return _written(spark, compiled(held))
 
 
@@ -277,18 +308,25 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             encoder = _encoder(tokenizer, lexicon)
-            ids = list(encoder.encode([t or "" for t in b.column(1).to_pylist()]))
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"]
-            )
+            for part in slices(b):
+                ids = list(encoder.encode([t or "" for t in part.column(1).to_pylist()]))
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"]
+                )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-_tables: dict[str, list[bytes]] = {}
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def _vocabulary(tokenizer: str) -> Vocabulary:
+    if tokenizer not in _vocabularies:
+        _vocabularies[tokenizer] = Vocabulary(tokenizer)
+    return _vocabularies[tokenizer]
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -301,9 +339,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> Da
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tables:
-            _tables[tokenizer] = Vocabulary(tokenizer).as_bytes
-        table = _tables[tokenizer]
+        table = _vocabulary(tokenizer).as_bytes
         size = len(table)
 
         def known(one: list[int | None] | None) -> str | None:
@@ -311,16 +347,18 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> Da
                 return None
             return b"".join(table[i] for i in one if i is not None and 0 <= i < size).decode("utf-8", "replace")
 
-        for b in batches:
-            column = b.column(at)
-            flat = column.values
+        def decoded(column: pa.ListArray) -> list[str | None]:
+            flat = column.flatten()
             if column.null_count or flat.null_count or (len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= size)):
-                texts = [known(one) for one in column.to_pylist()]
-            else:
-                each, ends = flat.to_numpy(), column.offsets.to_numpy()
-                raw = (b"".join(map(table.__getitem__, each[i:k].tolist())) for i, k in zip(ends, ends[1:]))
-                texts = [r.decode("utf-8", "replace") for r in raw]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
+                return [known(one) for one in column.to_pylist()]
+            each, ends = flat.to_numpy(), column.offsets.to_numpy()
+            raw = (b"".join(map(table.__getitem__, each[i:k].tolist())) for i, k in zip(ends - ends[0], ends[1:] - ends[0]))
+            return [r.decode("utf-8", "replace") for r in raw]
+
+        for b in batches:
+            for part in slices(b):
+                texts = decoded(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
 
     if "decoded" in encoded.columns:
         raise ValueError("a column is already called decoded")

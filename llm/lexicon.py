@@ -118,13 +118,14 @@ class Lexicon:
         known[known] = self.end[state[known]] > 0
         return np.where(known, total, -1)
 
-    def found(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids (little-endian 32-bit) of those of ``words`` that the lexicon has."""
+    def found(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids (little-endian 32-bit) of each word, ``None`` where the lexicon has none."""
         number = self.numbers(words)
         hit = np.flatnonzero(number >= 0)
-        first, stop = 4 * self.first[number[hit]], 4 * self.first[number[hit] + 1]
-        low, high = (int(first.min()), int(stop.max())) if len(hit) else (0, 0)
-        raw = self.ids[low // 4 : high // 4].tobytes()
-        return {
-            words[i]: raw[a - low : b - low] for i, a, b in zip(hit.tolist(), first.tolist(), stop.tolist(), strict=True)
-        }
+        out: list[bytes | None] = [None] * len(words)
+        if len(hit):
+            first, stop = 4 * self.first[number[hit]], 4 * self.first[number[hit] + 1]
+            raw = memoryview(self.ids).cast("B")
+            for i, a, b in zip(hit.tolist(), first.tolist(), stop.tolist()):
+                out[i] = bytes(raw[a:b])
+        return out

@@ -31,10 +31,10 @@ def test_transducer_has_its_words_and_shares_suffixes(tmp_path):
     words = {bytes(r.choice(b"abc") for _ in range(r.randrange(1, 9))) for _ in range(3000)}
     held = [(w, [len(w), *w][: r.randrange(0, 5)]) for w in words]
     lexicon = lexicon_of(tmp_path, held)
-    got = {w: np.frombuffer(x, "<u4").tolist() for w, x in lexicon.found([w for w, _ in held]).items()}
-    assert got == dict(held)
+    got = [np.frombuffer(x, "<u4").tolist() for x in lexicon.found([w for w, _ in held])]
+    assert got == [ids for _, ids in held]
     others = [w + b"a" for w in words if w + b"a" not in words] + [w[:-1] for w in words if w[:-1] not in words] + [b"", b"zz"]
-    assert lexicon.found(others) == {}
+    assert set(lexicon.found(others)) == {None}
     # no two states have the same future: as many states as the trie has distinct right languages
     languages = set()
     for w in words | {b""}:
@@ -45,7 +45,7 @@ def test_transducer_has_its_words_and_shares_suffixes(tmp_path):
 
 def test_empty_transducer(tmp_path):
     lexicon = lexicon_of(tmp_path, [])
-    assert lexicon.found([b"a", b""]) == {} and lexicon.found([]) == {}
+    assert lexicon.found([b"a", b""]) == [None, None] and lexicon.found([]) == []
 
 
 def test_file_is_mapped(tmp_path):
@@ -63,12 +63,17 @@ def test_ids_are_the_librarys(tmp_path, with_lexicon):
     path = None
     if with_lexicon:
         plain = bpe.Encoder(BYTE)
-        words = {w for t in texts(9, 200) for w in bpe.words_of(t)}
+        words = {w for t in texts(9, 200) for w in plain.words(t)}
         path = str(tmp_path / "lexicon.bin")
-        (tmp_path / "lexicon.bin").write_bytes(compiled((w, np.frombuffer(plain.unseen(w), "<u4").tolist()) for w in words))
+        (tmp_path / "lexicon.bin").write_bytes(compiled((w.encode(), np.frombuffer(plain.unseen(w), "<u4").tolist()) for w in words))
     got = [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(BYTE, path).encode(some)]
     assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
-    assert all(b"".join(bpe.words_of(t)) == t.encode() for t in some)
+    assert all("".join(bpe.Encoder(BYTE).words(t)) == t for t in some)
+    # every character that the own pattern is used on falls into the class that the library sees
+    for c in map(chr, range(1, 0x3000)):
+        for t in (f"a{c}b 1{c}2", f" {c} {c}{c}\n", f"{c}'s  {c}"):
+            if bpe._PLAIN.fullmatch(t):
+                assert bpe._WORDS.findall(t) == [t[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(t)]
 
 
 def test_other_tokenizers_are_refused():
@@ -107,9 +112,9 @@ def test_counts_and_rare_words(spark):
     rows, df = frame(spark)
     want = {}
     for _, t, *_ in rows:
-        for w in bpe.words_of(t or ""):
-            want[w] = want.get(w, 0) + 1
-    got = {bytes(r.word): r.n for r in bpe.word_counts(df).collect()}
+        for w in bpe.Encoder(BYTE).words(t or ""):
+            want[w.encode()] = want.get(w.encode(), 0) + 1
+    got = {bytes(r.word): r.n for r in bpe.word_counts(df, BYTE).collect()}
     assert got == {w: n for w, n in want.items() if len(w) <= bpe.LONGEST}
 
 
