@@ -1,12 +1,11 @@
-"""Helpers of the operators: shipping this package, cutting lineage, text columns."""
+"""Helpers of the operators: shipping this package, cutting lineage."""
 
 from __future__ import annotations
 
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -22,34 +21,35 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session uses one under its warehouse. On a cluster that could be a
+    folder of one machine, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``.
+    """``df`` computed once and kept in the cluster's shared folder.
 
-    Executors may be lost later without loss of rows. Where the session names no
-    folder, one under the warehouse, which a cluster shares as well, is set.
+    Executors may be lost later without loss of rows.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to a new folder in that of ``spark.checkpoint.dir``, and read back."""
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """``df`` written as Parquet to a new folder in the cluster's shared one, and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def text_of(df: DataFrame, text: str = "text") -> Column:
-    """The text column, null as empty."""
-    return F.coalesce(df[text], F.lit(""))
-
-
-def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
-    """Partitions so that each holds about ``each`` rows, no fewer than the session's."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.shared import cut, ship
+from llm.shared import cut, shared_folder, ship
 from llm.tokens import word_ids
 
 MASK = 0xA282EAD8
@@ -73,8 +73,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 def new_folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster shares."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder}/token-files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
 
 
 def write_token_files(
@@ -153,7 +152,8 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     # one number for each file of the order of 100 MB
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = starts.select("path", "start").repartition(F.col("path"))
+    # one task for each file; a number keeps adaptive execution from joining them
+    spread = starts.repartitionByRange(max(1, shards.count()), "shard").select("path", "start")
     return spread.mapInPandas(read, "doc_id long, start long, ids binary")
 
 
