@@ -33,6 +33,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from llm.lexicon import Lexicon, compiled
 from llm.shared import ship, stored
 from llm.token_files import new_folder
+from llm.tokens import byte_letters
 
 RARE = 250_000
 LONGEST = 64  # bytes of a word of the lexicon
@@ -50,14 +51,6 @@ _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_
 _PLAIN = re.compile(f"[ -~\t\n\r{_LETTERS}\xa1\xab\xbb\xbf\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]*")
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves,
-    the others, in order, for the letters from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Tokens, merges and special strings of a tokenizer file; any other kind of file is refused."""
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,10 @@ PIECES = 3  # into which the end of a document may fall
 GROUP = 1000  # pieces of a class that one group holds
 FAN_IN = 32  # groups that hand their rest to one
 IDS_BYTES = 1 << 23  # of ids handed on at a time
+BIN_BITS = 16  # of a sequence's number within its group, of some GROUP pieces
+ROWS = 1000  # pieces assembled at a time
 
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
+PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, class int"
 
 
 def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -57,17 +59,16 @@ def document_pieces(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
     capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False, narrow: bool = False,
 ) -> DataFrame:
-    """Pieces of every document's ids and end id: start, length, checksum, class (and the ids).
+    """Pieces of every document's ids and end id: start, length, class (and the ids).
 
-    The ids have 4 bytes each; with ``narrow`` only 2 in documents whose ids all fit. The checksum
-    is that of 4 bytes.
+    The ids have 4 bytes each; with ``narrow`` only 2 in documents whose ids all fit.
     """
     ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[] for _ in range(6 + with_ids)]
+            cols = [[] for _ in range(5 + with_ids)]
             held = 0
             texts = (t.encode() if t else b"" for t in b.column(1).to_pylist())
             for key, ids in zip(b.column(0).to_pylist(), word_ids(tokenizer, texts), strict=True):
@@ -76,8 +77,7 @@ def document_pieces(
                 if narrow and (few := np.frombuffer(ids, "<u4")).max() < 1 << 16:
                     each, kept = 2, few.astype("<u2").tobytes()
                 for n in piece_lengths(len(ids) // 4, capacity):
-                    part = ids[4 * at : 4 * (at + n)]
-                    row = (key, at, n, zlib.crc32(part), len(ids) // 4, min(CLASSES, capacity // n))
+                    row = (key, at, n, len(ids) // 4, min(CLASSES, capacity // n))
                     if with_ids:
                         row = (*row, kept[each * at : each * (at + n)])
                     for c, v in zip(cols, row, strict=True):
@@ -91,8 +91,8 @@ def document_pieces(
 
     def batch(cols: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.int32()),
-             *(pa.array(c, pa.binary()) for c in cols[6:])],
+            [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32()),
+             *(pa.array(c, pa.binary()) for c in cols[5:])],
             names,
         )
 
@@ -106,10 +106,8 @@ def _fill(pieces: DataFrame, groups: dict[int, int], capacity: int) -> DataFrame
     """Number the sequences of each class within each group; ``full`` marks the complete ones."""
     of_class = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
     # a class's groups number as many as its pieces ask for
-    at = pieces.withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(of_class, F.col("class")))
-    )
-    w = Window.partitionBy("class", "group").orderBy("doc_id", "start", "ids_crc32")
+    at = pieces.withColumn("group", F.pmod(F.xxhash64("piece"), F.element_at(of_class, F.col("class"))))
+    w = Window.partitionBy("class", "group").orderBy("piece")
     short = capacity // CLASSES
     before = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1))
     at = at.withColumn(
@@ -134,8 +132,12 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; every piece is in exactly one sequence.
 
     Rows that repeat are pieces of their own, and extra columns pass through; ids may be null.
-    No rows give no rows.
+    Pieces are dealt by their number ``piece``, which is given here where the column is missing and
+    else has to be unique, so that no group grows with equal rows. No rows give no rows.
     """
+    own = "piece" not in pieces.columns
+    if own:
+        pieces = pieces.withColumn("piece", F.monotonically_increasing_id())
     rest = cut(pieces)
     counts = dict(rest.groupBy("class").count().collect())  # one number for each class
     groups = {c: -(-n // GROUP) for c, n in counts.items()}
@@ -152,7 +154,7 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rest = numbered.where("not full").drop("group", "bin", "full", "level")
 
     def first_fit(group: pd.DataFrame) -> pd.DataFrame:
-        order = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        order = group.sort_values(["length", "piece"], ascending=[False, True])
         room: list[int] = []
         place = []
         for n in order["length"]:
@@ -173,67 +175,105 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for d in done[1:]:
         every = every.unionByName(d.select(*schema.names))
     inside = (
-        Window.partitionBy("level", "class", "group", "bin").orderBy("doc_id", "start", "ids_crc32")
+        Window.partitionBy("level", "class", "group", "bin").orderBy("piece")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     number = (
         F.shiftleft(F.col("level").cast("long"), 58)
         + F.shiftleft(F.col("class").cast("long"), 51)
-        + F.shiftleft(F.col("group"), 12) + F.col("bin")
+        + F.shiftleft(F.col("group"), BIN_BITS) + F.col("bin")
     )
+    fits = (F.col("bin") < 1 << BIN_BITS) & (F.col("group") < 1 << 51 - BIN_BITS)
+    number = F.when(fits, number).otherwise(F.raise_error(F.lit("a group has more sequences than its numbers")).cast("long"))
     return every.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).withColumn(
         "sequence_id", number
-    ).drop("group", "bin", "full", "level", "class")
-
-
-def _assembled(batches: Iterator[pa.RecordBatch], capacity: int, pad_id: int) -> Iterator[tuple]:
-    """``(rows, ids, n_tokens)`` of each sequence, from rows that come sequence by sequence in order."""
-
-    def one(rows: list[dict]) -> tuple:
-        parts, at = [], 0
-        for r in rows:
-            if r["offset"] != at:
-                raise ValueError(f"sequence {r['sequence_id']}: a piece at {r['offset']} instead of {at}")
-            part = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["length"] else "<u4")
-            r["length"] = len(part)
-            parts.append(part)
-            at += len(part)
-        ids = np.concatenate(parts).astype(np.int64)
-        exact = at & (at - 1) == 0
-        return rows, ids if exact else np.pad(ids, (0, capacity - at), constant_values=pad_id), at
-
-    held: list[dict] = []
+    ).drop("group", "bin", "full", "level", "class", *(["piece"] if own else []))
+
+
+@dataclass
+class Assembled:
+    """Whole sequences in one flat array of ids, padded, and the pieces they are made of."""
+
+    rows: pa.RecordBatch
+    ids: np.ndarray
+    sequence: np.ndarray  # number of each piece's sequence within ``begin``
+    begin: np.ndarray  # of each sequence in ``ids``
+    padded: np.ndarray
+    tokens: np.ndarray
+    place: np.ndarray  # of each piece in ``ids``
+
+
+def _values(column: pa.Array, length: np.ndarray) -> np.ndarray:
+    """All ids of the pieces, one after another; a piece has 2 or 4 bytes for each."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    size = np.diff(ends)
+    for each in (2, 4):
+        if (size == each * length).all():
+            return data.view(f"<u{each}").astype("<u4")
+    parts = [
+        data[a - ends[0] : b - ends[0]].view("<u2" if b - a == 2 * n else "<u4")
+        for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), length.tolist())
+    ]
+    return np.concatenate(parts).astype("<u4")
+
+
+def _one(rows: pa.RecordBatch, capacity: int, pad_id: int) -> Assembled:
+    key, offset, length = (rows.column(c).to_numpy() for c in ("sequence_id", "offset", "length"))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sequence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    before = np.cumsum(length) - length
+    wrong = np.flatnonzero(offset != before - before[first][sequence])
+    if len(wrong):
+        raise ValueError(f"sequence {key[wrong[0]]}: a piece at {offset[wrong[0]]} that does not follow the one before")
+    tokens = np.add.reduceat(length, first)
+    if tokens.max() > capacity:
+        raise ValueError(f"sequence {key[first[tokens.argmax()]]} has {tokens.max()} tokens")
+    padded = np.where(tokens & (tokens - 1) == 0, tokens, capacity)
+    begin = np.cumsum(padded) - padded
+    ids = np.full(int(padded.sum()), pad_id, "<u4")
+    place = begin[sequence] + offset
+    ids[np.repeat(place - before, length) + np.arange(int(length.sum()))] = _values(rows.column("ids"), length)
+    return Assembled(rows, ids, sequence, begin, padded, tokens, place)
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], capacity: int, pad_id: int) -> Iterator[Assembled]:
+    """Whole sequences, from rows that come sequence by sequence in order."""
+    held: pa.RecordBatch | None = None
     for b in batches:
-        for k in range(0, len(b), 500):
-            for row in b.slice(k, 500).to_pylist():
-                if held and row["sequence_id"] != held[0]["sequence_id"]:
-                    yield one(held)
-                    held = []
-                held.append(row)
-    if held:
-        yield one(held)
+        for at in range(0, len(b), ROWS):
+            rows = b.slice(at, ROWS)
+            if held is not None:
+                rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+            key = rows.column("sequence_id").to_numpy()
+            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            if last:
+                yield _one(rows.slice(0, last), capacity, pad_id)
+            held = rows.slice(last)
+    if held is not None:
+        yield _one(held, capacity, pad_id)
 
 
 def _in_order(packed: DataFrame) -> DataFrame:
     return packed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of ``size`` rows."""
-    while held := list(islice(rows, size)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema.names)
-
-
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
     """``(sequence_id, ids, n_tokens)``: the ids of packed pieces that carry them, padded.
 
     Padding reaches the capacity, except where the length is a power of two.
     """
-    schema = pa.schema({"sequence_id": pa.int64(), "ids": pa.list_(pa.int64()), "n_tokens": pa.int64()})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((r[0]["sequence_id"], ids, n) for r, ids, n in _assembled(batches, capacity, pad_id))
-        yield from _batches(rows, schema)
+        for made in _assembled(batches, capacity, pad_id):
+            key = made.rows.column("sequence_id").to_numpy()
+            first = np.searchsorted(made.sequence, np.arange(len(made.begin)))
+            ids = pa.ListArray.from_arrays(
+                pa.array(np.append(made.begin, len(made.ids)), pa.int32()), pa.array(made.ids.astype(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[first]), ids, pa.array(made.tokens)], ["sequence_id", "ids", "n_tokens"]
+            )
 
     parts = _in_order(packed.select("sequence_id", "offset", "length", "ids"))
     return parts.mapInArrow(run, "sequence_id long, ids array<long>, n_tokens long")
@@ -253,19 +293,20 @@ def packed_documents(
     pieces = stored(pieces.withColumn("piece", F.monotonically_increasing_id()))
     placed = harmonic_pack(pieces.drop("ids"), capacity).select("piece", "sequence_id", "offset")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "sequence_id"]
-    fields = {n: pa.int64() for n in names} | ({"sequence": pa.list_(pa.int64())} if with_sequences else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for parts, ids, _ in _assembled(batches, capacity, pad_id):
-                raw, at = ids.astype("<u4"), 0
-                for r in parts:
-                    n = r["length"]
-                    row = (r["doc_id"], r["start"], n, zlib.crc32(raw[at : at + n]), r["doc_tokens"], at, r["sequence_id"])
-                    yield (*row, None if at else ids) if with_sequences else row
-                    at += n
-
-        yield from _batches(rows(), pa.schema(fields))
+        for made in _assembled(batches, capacity, pad_id):
+            raw = memoryview(made.ids).cast("B")
+            length, offset = made.rows.column("length").to_numpy(), made.place - made.begin[made.sequence]
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(made.place.tolist(), (made.place + length).tolist())]
+            of = {"ids_crc32": pa.array(crc, pa.int64()), "offset": pa.array(offset)}
+            columns = [of[n] if n in of else made.rows.column(n) for n in names]
+            if with_sequences:
+                later = offset > 0
+                size = np.where(later, 0, made.padded[made.sequence])
+                ends = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(made.ids.astype(np.int64)), mask=pa.array(later)))
+            yield pa.RecordBatch.from_arrays(columns, names + ["sequence"] * with_sequences)
 
     parts = pieces.select("piece", "doc_id", "start", "length", "doc_tokens", "ids").join(placed, "piece").drop("piece")
     schema = ", ".join(f"{n} long" for n in names) + ", sequence array<long>" * with_sequences

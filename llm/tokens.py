@@ -20,23 +20,37 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from itertools import chain
 
 import numpy as np
 
 MEMO = 500_000  # stretches remembered in a Python worker, and as many pieces
 LONGEST = 64  # bytes of a stretch worth remembering
+WORD_BYTES = 1 << 22  # texts whose words are encoded together
 
 _ASCII_PAIR = re.compile(rb"[\t-\r ]{2}")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _STABLE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t-\r])")
 _PLAIN = re.compile(r" ?[!-~]+")
+_LATIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
-# fixed values: the pre-tokenizers' patterns on printable ASCII
-_WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# fixed values: the pre-tokenizers' patterns on printable ASCII, the first with letters of Latin-1,
+# which have one lower case and no other composed form
+_WORD_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 _BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
 _SPACE_PIECE = "\u0120"  # a leading space, as byte-level pieces write it
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves,
+    the others, in order, for the letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_LETTER = {b: c for c, b in byte_letters().items()}
 _open: dict[tuple[str, str], Memo] = {}
 
 
@@ -59,6 +73,7 @@ class Memo:
         self.library = Tokenizer.from_file(path)
         self.merge = self.library.model.tokenize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.marks = {t[0] for t in self.special}
         self.lower, self.of_ids, self.empty = lower, of_ids, empty
         self.known, self.pieces = _Known(), {}
 
@@ -69,11 +84,16 @@ class Memo:
         return value
 
     def encode(self, stretch: str):
-        if not _PLAIN.fullmatch(stretch) or any(t in stretch for t in self.special):
+        plain = _LATIN if self.lower else _PLAIN
+        if not plain.fullmatch(stretch) or (
+            not self.marks.isdisjoint(stretch) and any(t in stretch for t in self.special)
+        ):
             ids = self.library.encode(stretch, add_special_tokens=False).ids
             return self.of_ids(ids)
         if self.lower:
             parts = _WORD_PIECES.findall(stretch.lower())
+            if not stretch.isascii():  # bytes are merged, written as letters
+                parts = ["".join(map(_LETTER.__getitem__, p.encode())) for p in parts]
         else:
             parts = [p.replace(" ", _SPACE_PIECE) for p in _BYTE_PIECES.findall(stretch)]
         value = self.empty
@@ -110,13 +130,20 @@ def _grouped(texts, size: int = 1 << 20):
         yield held
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 def word_ids(path: str, texts):
     """For each UTF-8 text, its ids as little-endian unsigned 32-bit integers (bytes).
 
     For tokenizers that drop white space.
     """
-    memo = _memo(path, "ids", True, lambda ids: np.array(ids, "<u4").tobytes(), b"")
-    for group in _grouped(texts):
+    memo = _memo(path, "ids", True, _four_bytes, b"")
+    for group in _grouped(texts, WORD_BYTES):
         words = [t.split() for t in group]
         known = memo.learn(set(chain.from_iterable(words)))
         # all before any is given out: the memo may learn other texts in between
