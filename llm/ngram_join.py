@@ -37,8 +37,8 @@ from llm.components import components
 from llm.shared import cut, ship
 from llm.words import shingle_sets
 
-TASK_POSTINGS = 1 << 22  # packed at a time in a task
-LIST_POSTINGS = 1 << 22  # postings that meet in a task
+TASK_POSTINGS = 1 << 20  # packed at a time in a task
+LIST_POSTINGS = 1 << 20  # postings that meet in a task
 BLOCK = 256  # members of a list that are sent on together
 KEPT_BITS = 48  # of a shingle hash, once it has been counted
 

@@ -118,3 +118,59 @@ def test_pipeline_stages(spark, tables):
     assert clean.where("n_chars <> char_length(text)").count() == 0
     packed = stages["packing"](spark, clean, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
+
+
+OWN = {"score": "x", "rejected": "no", "log_weight": "w", "gumbel_key": "g", "selected": "s", "base": "b", "all": "a", "row": "r",
+       "sequence": "q", "component_id": "c"}
+
+
+def test_columns_of_the_caller_stay(spark, tables):
+    docs = tables[0].where("doc_id < 150")
+    for name, value in OWN.items():
+        docs = docs.withColumn(name, F.lit(value))
+    kept = docs.drop("n_chars", "lang")
+    for stage in ("toxicity", "quality", "ngram_join", "pii"):
+        for df in (docs, kept):
+            got = dict(corpus_pipeline.STAGES)[stage](spark, df, SF)
+            assert got.columns == df.columns
+            assert {tuple(r) for r in got.select(*OWN).distinct().collect()} == {tuple(OWN.values())}
+
+
+def test_near_copies_go_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    other = " ".join(f"v{i}" for i in range(200))
+    rows = [(1, text), (2, text), (2, other), (3, text + " end"), (None, text), (None, other), (None, "alone"), (4, None), (4, ""), (1, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()), key=str)
+    assert got == sorted([(1, text), (2, other), (None, "alone"), (4, None), (4, "")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, df.where("false"), SF).collect() == []
+
+
+def test_run_applies_the_stages(spark):
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+    assert set(packed.doc_id) == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+    assert sorted(packed.ids_crc32) == sorted(r.ids_crc32 for r in docs.select("ids_crc32").collect())
+
+
+def test_scores_like_a_plain_convolution():
+    r = np.random.default_rng(4)
+    sample = [(p, y, "en", r.integers(2, 50, (5 + 3 * y, 2)) + 40 * y) for p in (0, 2) for y in (0, 1) for _ in range(15)]
+    model = toxicity.fit(sample)
+    texts = [r.integers(2, 90, (n, 2)) for n in (1, 2, 3, 9, 40)] + [np.zeros((0, 2), np.int64)]
+    for text, got in zip(texts, model.scores(texts)):
+        answers, t = [], 0
+        for w in toxicity.WIDTHS:
+            best = None
+            for i in range(max(1, len(text))):  # words beyond the end are the empty row
+                total = 0
+                for k in range(w):
+                    a, b = text[i + k] if i + k < len(text) else (0, 0)
+                    total = total + model.tables[t + k][a] + model.tables[t + k][b]
+                best = total if best is None else np.maximum(best, total)
+            answers.append(best)
+            t += w
+        z = np.maximum(np.concatenate(answers) + model.bias, 0) @ model.weight + model.offset
+        assert got == pytest.approx(1 / (1 + math.exp(-(model.scale * z + model.shift))), abs=1e-5)
