@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwave.functions.nullsafe import number, quoted, text
+from panelwave.operators.factors import triangular_factor
 from panelwave.operators.moments import Moments, moments
 from panelwave.sources.shared import saved
 
 INTERCEPT = "(intercept)"
 # A column is collinear with earlier ones if less than this share of its variation is left.
 TOLERANCE = 1e-10
+# The same on lengths, where a triangular factor shows them.
+LEFT_OVER = 1e-9
+NO_SPREAD = 1e-12  # of a column's length, which is but rounding
 # Variance ratios tried in one pass, the range of their logarithms, and the degree between them.
 RATIOS = 32
 LOW_RATIO, HIGH_RATIO = -12.0, 8.0
@@ -173,9 +177,73 @@ def ols_of(m: Moments, terms: Sequence[str]) -> Fit:
     )
 
 
-def ols(d: Design) -> Fit:
-    """Ordinary least squares: one pass over the frame."""
-    return ols_of(moments(d.df, [*d.terms, d.y]), d.terms)
+def ols_of_factor(r: np.ndarray, n: int, terms: Sequence[str]) -> Fit:
+    """Least squares from the triangular factor of ``[1, terms, y]``.
+
+    Terms enter in order; one is left out if what earlier ones leave of it is shorter than
+    ``LEFT_OVER`` of its length about its mean.
+    """
+    if n == 0:
+        raise ValueError("no complete rows to fit")
+    p = len(terms)
+    kept = [0]
+    factor = r[:, :1]
+    for j in range(1, p + 1):
+        tried = np.linalg.qr(np.column_stack([factor, r[:, j]]), mode="r")
+        about_mean = np.linalg.norm(r[1:, j])
+        if about_mean > NO_SPREAD * np.linalg.norm(r[:, j]) and abs(tried[len(kept), -1]) > LEFT_OVER * about_mean:
+            kept.append(j)
+            factor = r[:, kept]
+    q, upper = np.linalg.qr(factor)
+    inverse = np.linalg.inv(upper)
+    target = q.T @ r[:, p + 1]
+    coef = inverse @ target
+    left = r[:, p + 1] - q @ target
+    df = n - len(kept)
+    rss, total = float(left @ left), float(r[1:, p + 1] @ r[1:, p + 1])
+    variance = rss / df if df > 0 else math.nan
+    spread = inverse @ inverse.T
+    estimate: list[float | None] = [None] * (p + 1)
+    se: list[float | None] = [None] * (p + 1)
+    for i, j in enumerate(kept):
+        estimate[j], se[j] = float(coef[i]), math.sqrt(variance * spread[i, i])
+    return Fit(
+        [INTERCEPT, *terms], estimate, se, math.sqrt(variance),
+        1 - rss / total if total > 0 else None, n, df, extra={"kept": kept, "spread": spread},
+    )
+
+
+def ols(d: Design, cluster: str | None = None) -> Fit:
+    """Ordinary least squares: one pass over the frame.
+
+    With ``cluster`` the standard errors allow for any dependence within its groups.
+    """
+    fit = ols_of_factor(*triangular_factor(d.df, [*d.terms, d.y]), d.terms)
+    return fit if cluster is None else clustered(d, fit, cluster)
+
+
+def clustered(d: Design, fit: Fit, cluster: str) -> Fit:
+    """``fit`` with sandwich standard errors from the groups' sums of scores.
+
+    A group is one row of sums, combined on the map side; null groups are one group. The usual
+    factor for few groups and many terms applies.
+    """
+    kept = fit.extra["kept"]
+    names = [None if j == 0 else d.terms[j - 1] for j in kept]
+    error = f"({quoted(d.y)} - ({linear_predictor(fit)}))"
+    scores = d.df.groupBy(cluster).agg(
+        *[F.expr(f"sum({error}{'' if x is None else ' * ' + quoted(x)})").alias(f"u{i}") for i, x in enumerate(names)]
+    )
+    m = moments(scores, [f"u{i}" for i in range(len(kept))])
+    meat = m.cross + m.w * np.outer(m.mean, m.mean)
+    groups = int(m.n)
+    spread = fit.extra["spread"]
+    factor = groups / (groups - 1) * (fit.n - 1) / fit.df if groups > 1 and fit.df > 0 else math.nan
+    variance = factor * spread @ meat @ spread
+    se: list[float | None] = [None] * len(fit.terms)
+    for i, j in enumerate(kept):
+        se[j] = math.sqrt(max(variance[i, i], 0.0)) if not math.isnan(factor) else math.nan
+    return replace(fit, se=se, groups=groups)
 
 
 def group_sums(d: Design, group: str, centre: np.ndarray) -> DataFrame:

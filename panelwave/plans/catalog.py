@@ -31,16 +31,19 @@ from panelwave.plans import samples as sm
 from panelwave.plans import topics as tp
 from panelwave.sources import derived as dv
 from panelwave.sources import names as nm
-from panelwave.sources.shared import saved, shared_dir
+from panelwave.sources.shared import saved, saved_by_person, shared_dir
 from panelwave.sources.survey_csv import read_wide
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def once(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+    write: Callable[[DataFrame, str], DataFrame] = saved,
+) -> DataFrame:
     key = (spark.conf.get("spark.app.id"), sf_dir, name)
     if key not in _written:
-        _written[key] = saved(build(), name)
+        _written[key] = write(build(), name)
     return _written[key]
 
 
@@ -49,19 +52,21 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "panel", lambda: pn.build_panel(survey(spark, sf_dir)))
+    return once(spark, sf_dir, "panel", lambda: pn.build_panel(survey(spark, sf_dir)), saved_by_person)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.topic_table(survey(spark, sf_dir), tp.INCARCERATION)
+    return once(
+        spark, sf_dir, "history", lambda: tp.topic_table(survey(spark, sf_dir), tp.INCARCERATION), saved_by_person
+    )
 
 
 def sample_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "sample_one", lambda: sm.sample_one(panel(spark, sf_dir)))
+    return once(spark, sf_dir, "sample_one", lambda: sm.sample_one(panel(spark, sf_dir)), saved_by_person)
 
 
 def sample_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "sample_two", lambda: sm.sample_two(panel(spark, sf_dir)))
+    return once(spark, sf_dir, "sample_two", lambda: sm.sample_two(panel(spark, sf_dir)), saved_by_person)
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +91,11 @@ def six(*names: str) -> list[str]:
 
 
 def read_wide_csv(spark, sf_dir):
-    """The whole survey written as CSV files to the shared folder and read back."""
+    """The whole survey written as CSV files whose headers repeat, and read back."""
     wide = survey(spark, sf_dir)
     path = f"{shared_dir(spark)}/{spark.conf.get('spark.app.id')}/csv-{uuid.uuid4().hex[:8]}"
-    wide.write.csv(path, header=True)
+    repeated = wide.toDF(*dv.repeated_headers(wide.columns))
+    repeated.write.csv(path, header=True, ignoreTrailingWhiteSpace=False)
     return nm.snake_names(read_wide(spark, path))
 
 
@@ -582,6 +588,12 @@ def fitted_residuals(spark, sf_dir):
     )
 
 
+def clustered_ols(spark, sf_dir):
+    """Two regressors on the orders cohorts, errors clustered by customer."""
+    fit = ln.ols(orders_design(spark, sf_dir, "treatment", "n_jobs"), cluster="caseid")
+    return ln.coef_table(spark, fit).selectExpr("pos", "term", sig("estimate", "estimate"), sig("se", "se"))
+
+
 def within_residuals(spark, sf_dir):
     made = within_one_design(spark, sf_dir)
     return ln.score_within(made, ln.within_ols(made, "caseid"), "caseid").selectExpr(
@@ -646,10 +658,14 @@ def orders_scores(spark, sf_dir):
     )
 
 
+def one_armed(scored: DataFrame) -> DataFrame:
+    """One row: how many rows lie in a stratum that lacks an arm."""
+    return scored.agg(F.count(F.expr(f"CASE WHEN NOT ({BOTH_ARMS}) THEN 1 END")).alias("n_dropped"))
+
+
 def effect_row(found: DataFrame, scored: DataFrame) -> DataFrame:
     """An estimate over the rows whose stratum has both arms, and how many rows lack one."""
-    dropped = scored.agg(F.count(F.expr(f"CASE WHEN NOT ({BOTH_ARMS}) THEN 1 END")).alias("n_dropped"))
-    return found.crossJoin(dropped).selectExpr(  # one row each
+    return found.crossJoin(one_armed(scored)).selectExpr(  # one row each
         "n_rows", "n_persons", "n_dropped", *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
     )
 
@@ -693,13 +709,14 @@ def person_effects(spark, sf_dir):
 
 def att_of_draws(spark, sf_dir):
     """Five draws of each surface made from the stratum means by fixed factors."""
-    drawn = orders_scores(spark, sf_dir).where(BOTH_ARMS).selectExpr(
+    scored = orders_scores(spark, sf_dir)
+    drawn = scored.where(BOTH_ARMS).selectExpr(
         "treatment",
         "transform(sequence(1, 5), i -> mu1 * (1 + i / 100D)) AS draws1",
         "transform(sequence(1, 5), i -> mu0 * (1 + i / 50D)) AS draws0",
     )
-    return ef.att_of_draws(drawn, "treatment").selectExpr(
-        *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
+    return ef.att_of_draws(drawn, "treatment").crossJoin(one_armed(scored)).selectExpr(  # one row each
+        "n_dropped", *[sig(c, c) for c in ("estimate", "sd", "ci_lower", "ci_upper")]
     )
 
 
@@ -827,18 +844,38 @@ def residual_by_observed(spark, sf_dir):
     return binned_out(dg.residual_by_observed(scored, 0, 1500000, 15))
 
 
+def scored_wages(spark, sf_dir) -> DataFrame:
+    """The wage regression with person effects on the first sample, with its residuals."""
+    def build():
+        made = mo.within_design(sample_one(spark, sf_dir))
+        return ln.score_within(made, ln.within_ols(made, "caseid"), "caseid").select("caseid", "fitted", "residual")
+
+    return once(spark, sf_dir, "scored_wages", build)
+
+
+def wage_residual_by_fitted(spark, sf_dir):
+    return binned_out(dg.residual_by_fitted(scored_wages(spark, sf_dir), *LOG_WAGE_BINS))
+
+
+def wage_residual_by_observed(spark, sf_dir):
+    return binned_out(dg.residual_by_observed(scored_wages(spark, sf_dir), *LOG_WAGE_BINS))
+
+
+LOG_WAGE_BINS = (3, 11, 16)
+
+
 def binned_out(df: DataFrame) -> DataFrame:
     return df.selectExpr("bin", "n", *[f"round({c}, 3) AS {c}" for c in ("mean", "sd", "low", "high")])
 
 
 def individual_effects(spark, sf_dir):
-    """Quantiles of the individual differences, all rows and treated rows."""
-    known = orders_scores(spark, sf_dir).where(BOTH_ARMS)
-    scored = known.selectExpr("treatment", "mu1 - mu0 AS difference")
+    """Quantiles of the individual differences, all rows and treated rows; rows without one are counted."""
+    every = orders_scores(spark, sf_dir)
+    scored = every.where(BOTH_ARMS).selectExpr("treatment", "mu1 - mu0 AS difference")
     table = dg.quantile_table(
         scored, "difference", (0.1, 0.25, 0.5, 0.75, 0.9), {"all": "true", "treated": "treatment = 1"}
     )
-    return table.selectExpr("part", "share", "round(value, 3) AS value")
+    return table.crossJoin(one_armed(every)).selectExpr("part", "share", "round(value, 3) AS value", "n_dropped")
 
 
 def support_curve(spark, sf_dir):
@@ -850,6 +887,19 @@ def support_curve(spark, sf_dir):
     return binned_out(dg.binned(scored, "mu1 - mu0", "mu1", -400000, 400000, 16))
 
 
+def cohort_individual_effects(spark, sf_dir):
+    """Quantiles of the cohort's individual differences under the fitted surfaces."""
+    scored = support_scored(spark, sf_dir).selectExpr("treatment", "supported", "mu1 - mu0 AS difference")
+    parts = {"all": "true", "treated": "treatment = 1", "supported": "supported = 1"}
+    table = dg.quantile_table(scored, "difference", (0.1, 0.25, 0.5, 0.75, 0.9), parts)
+    return table.selectExpr("part", "share", sig("value", "value"))
+
+
+def cohort_support_curve(spark, sf_dir):
+    """The fitted treated-arm prediction by bins of the individual difference."""
+    return binned_out(dg.binned(scored_cohort(spark, sf_dir), "mu1 - mu0", "mu1", -4, 4, 16))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "survey_wide": lambda spark, sf_dir: nm.snake_names(survey(spark, sf_dir)),
     "read_wide_csv": read_wide_csv,
@@ -920,6 +970,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_ols": cohort_ols,
     "cohort_ols_fit": cohort_ols_fit,
     "collinear_ols": collinear_ols,
+    "clustered_ols": clustered_ols,
     "within_ols_1": within_ols_1,
     "within_ols_full": within_ols_full,
     "within_ols_fit": within_ols_fit,
@@ -952,4 +1003,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "residual_by_observed": residual_by_observed,
     "individual_effects": individual_effects,
     "support_curve": support_curve,
+    "wage_residual_by_fitted": wage_residual_by_fitted,
+    "wage_residual_by_observed": wage_residual_by_observed,
+    "cohort_individual_effects": cohort_individual_effects,
+    "cohort_support_curve": cohort_support_curve,
 }

@@ -467,8 +467,9 @@ WITHIN_TERMS = {**plain(*WAGE, "year"), **REGION_DUMMIES, **INDUSTRY_DUMMIES}
 COHORT_FIT = WITH_COHORT + sweep("cohort", COHORT_TERMS, "log_wages")
 WITHIN_FIT = WITH_SAMPLE_ONE + sweep("sample1", WITHIN_TERMS, "log_wages", "caseid")
 
+N_DROPPED = "(SELECT count(*) FROM sc_all WHERE NOT (e > 0 AND e < 1)) AS n_dropped"
 EFFECT_SELECT = ", ".join(
-    ["CAST(n_rows AS BIGINT) AS n_rows", "CAST(n_persons AS BIGINT) AS n_persons", "(SELECT count(*) FROM sc_all WHERE NOT (e > 0 AND e < 1)) AS n_dropped", sig("est", "estimate"), sig("sd", "sd"),
+    ["CAST(n_rows AS BIGINT) AS n_rows", "CAST(n_persons AS BIGINT) AS n_persons", N_DROPPED, sig("est", "estimate"), sig("sd", "sd"),
      sig("est - 1.96 * sd", "ci_lower"), sig("est + 1.96 * sd", "ci_upper")]
 )
 
@@ -671,8 +672,8 @@ ORACLES: dict[str, str] = {
             wide_pivot("qes_56c_01", WORKER_RAW, range(15, 27)),
         ])
     ),
-    "sentinel_null": "SELECT caseid, CASE WHEN COLUMNS('^[^c]|^cps') NOT IN (-1, -2, -3, -4, -5)"
-        " THEN COLUMNS('^[^c]|^cps') END AS '\\0' FROM (" + survey_codes() + ")",
+    "sentinel_null": "WITH coded AS MATERIALIZED (" + survey_codes() + ") SELECT caseid,"
+        " CASE WHEN COLUMNS('^[^c]|^cps') BETWEEN -5 AND -1 THEN NULL ELSE COLUMNS('^[^c]|^cps') END AS '\\0' FROM coded",
     "melt_keep_nulls": from_cells(
         f"c AS caseid, CASE WHEN k = 0 THEN 'AGEATINT' ELSE 'AGEATINT.' || k END AS variable, CAST({AGE} AS DOUBLE) AS age"
     ),
@@ -844,6 +845,20 @@ ORACLES: dict[str, str] = {
     "within_ols_full": coefficient_query(WITH_SAMPLE_ONE, "sample1", WITHIN_TERMS, "log_wages", "caseid"),
     "within_ols_fit": WITHIN_FIT + f"SELECT n, CAST(len(kept) AS INTEGER) AS k, CAST(df AS BIGINT) AS df, n_groups, {sig('sqrt(variance)', 'sigma')}, "
         + sig("1 - rss / (SELECT s%d_%d FROM cross0)" % (len(WITHIN_TERMS), len(WITHIN_TERMS)), "r2") + " FROM fit",
+    "clustered_ols": ORDERS_COHORT + sweep("oc", plain("treatment", "n_jobs"), "wages") + """, lv AS (
+        SELECT caseid, [1.0, treatment - centre[1], n_jobs - centre[2]] AS x,
+               wages - centre[3] - m[1][3] * (treatment - centre[1]) - m[2][3] * (n_jobs - centre[2]) AS e FROM oc, fit),
+        u AS (SELECT caseid, sum(x[1] * e) AS u1, sum(x[2] * e) AS u2, sum(x[3] * e) AS u3 FROM lv GROUP BY caseid),
+        meat AS (SELECT [[sum(u1 * u1), sum(u1 * u2), sum(u1 * u3)], [sum(u1 * u2), sum(u2 * u2), sum(u2 * u3)],
+                         [sum(u1 * u3), sum(u2 * u3), sum(u3 * u3)]] AS q, count(*) AS g FROM u),
+        rowsof AS (
+            SELECT 0 AS pos, '(intercept)' AS term, centre[3] - m[1][3] * centre[1] - m[2][3] * centre[2] AS estimate,
+                   [1.0 / n, m[1][1] * centre[1] + m[2][1] * centre[2], m[1][2] * centre[1] + m[2][2] * centre[2]] AS h FROM fit
+            UNION ALL SELECT 1, 'treatment', m[1][3], [0, -m[1][1], -m[1][2]] FROM fit
+            UNION ALL SELECT 2, 'n_jobs', m[2][3], [0, -m[2][1], -m[2][2]] FROM fit)
+        SELECT CAST(pos AS INTEGER) AS pos, term, """ + sig("estimate", "estimate") + ", "
+        + sig("sqrt(g / (g - 1) * (n - 1) / df * list_sum(list_transform(range(1, 4), lambda i: h[i] * list_sum(list_transform(range(1, 4), lambda j: h[j] * q[i][j])))))", "se")
+        + " FROM rowsof, meat, (SELECT n, df FROM fit)",
     "random_intercept": random_rows(RANDOM_COHORT, COHORT_TERMS),
     "random_intercept_fit": random_fit(RANDOM_COHORT),
     "random_intercept_small": random_rows(RANDOM_SMALL, ORDERS_TERMS),
@@ -888,7 +903,7 @@ ORACLES: dict[str, str] = {
         SELECT caseid, count(*) AS n_rows, round(0.5 * count(*) / (1 + 0.5 * count(*)) * avg(e), 3) AS person_effect FROM r GROUP BY 1""",
     "att_of_draws": SCORES + """, d AS (SELECT i, avg(mu1 * (1 + i / 100) - mu0 * (1 + i / 50)) AS v FROM sc, (SELECT unnest(range(1, 6)) AS i) WHERE treatment = 1 GROUP BY i),
         r AS (SELECT avg(v) AS est, stddev_samp(v) AS sd FROM d) SELECT """
-        + ", ".join([sig("est", "estimate"), sig("sd", "sd"), sig("est - 1.96 * sd", "ci_lower"), sig("est + 1.96 * sd", "ci_upper")]) + " FROM r",
+        + ", ".join([N_DROPPED, sig("est", "estimate"), sig("sd", "sd"), sig("est - 1.96 * sd", "ci_lower"), sig("est + 1.96 * sd", "ci_upper")]) + " FROM r",
     "sensitivity_grid": sensitivity(COHORT_FIT),
     "sensitivity_first_baseline": sensitivity(
         WITH_COHORT + sweep("(SELECT * FROM cohort WHERE bl = 4)", COHORT_TERMS, "log_wages")
@@ -901,12 +916,29 @@ ORACLES: dict[str, str] = {
         ]) + " FROM f",
     "residual_by_fitted": binned(WITHIN_SCORED, "fitted", "residual", "scored", 0, 1500000, 15),
     "residual_by_observed": binned(WITHIN_SCORED, "fitted + residual", "residual", "scored", 0, 1500000, 15),
-    "individual_effects": quantile_rows(
-        SCORES, "(mu1 - mu0)", "sc", (0.1, 0.25, 0.5, 0.75, 0.9), {"all": "true", "treated": "treatment = 1"}, 3
-    ),
+    "individual_effects": SCORES + f"SELECT *, {N_DROPPED} FROM (" + quantile_rows(
+        "", "(mu1 - mu0)", "sc", (0.1, 0.25, 0.5, 0.75, 0.9), {"all": "true", "treated": "treatment = 1"}, 3
+    ) + ")",
     "support_curve": binned(SCORES, "mu1 - mu0", "mu1", "sc_all", -400000, 400000, 16),
 }
 
+_P = len(WITHIN_TERMS)
+WAGES_SCORED = WITHIN_FIT + f""", lin AS (
+  SELECT x{_P} AS y, avg(x{_P}) OVER (PARTITION BY g) AS yb, {" + ".join(
+    f"CASE WHEN list_contains(kept, {j + 1}) THEN m[{j + 1}][{_P + 1}] * (x{j} - avg(x{j}) OVER (PARTITION BY g)) ELSE 0 END"
+    for j in range(_P))} AS lin FROM fr, fit),
+scored AS (SELECT yb + lin AS fitted, y - yb - lin AS residual FROM lin)
+"""
+ORACLES["wage_residual_by_fitted"] = binned(WAGES_SCORED, "fitted", "residual", "scored", 3, 11, 16)
+ORACLES["wage_residual_by_observed"] = binned(WAGES_SCORED, "fitted + residual", "residual", "scored", 3, 11, 16)
+ORACLES["cohort_individual_effects"] = (
+    CROSS_FITTED + f"SELECT part, share, {sig('value', 'value')} FROM (" + quantile_rows(
+        "", "(mu1 - mu0)", "trimmed", (0.1, 0.25, 0.5, 0.75, 0.9),
+        {"all": "true", "treated": "treatment = 1", "supported": "supported = 1"}, None,
+    ) + ")"
+)
+ORACLES["cohort_support_curve"] = binned(CROSS_FITTED, "mu1 - mu0", "mu1", "scored", -4, 4, 16)
+
 TWO_FITS = (
     sweep("sample1", WITHIN_TERMS, "log_wages", "caseid", "_w")
     + sweep("sample2", {**plain(*NAIVE), **REGION_DUMMIES}, "log_wages", None, "_c")

@@ -64,7 +64,8 @@ def build_panel(
 
     by_wave = {t.name: keyed_once(t, staged) for t in [tp.AGE, *used]}
     years = {
-        wave: year for year, wave in ((at, year_to_wave(at)) for at, _ in staged.rows.get(tp.UNION.name, []))
+        wave: year
+        for year, wave in ((at, year_to_wave(at)) for at, _ in staged.rows.get(tp.UNION.name, []) if at is not None)
     }
     cap = welfare_median(wide, id_col) if "welfare" in wanted else None
 
@@ -85,9 +86,11 @@ def build_panel(
 
 
 def keyed_once(topic: tp.Topic, staged: tp.Staged) -> dict[float, dict[str, str]]:
-    """Values by wave (by year for welfare); a repeated one is an error."""
+    """Values by wave (by year for welfare); a repeated or unknown one is an error."""
     placed: dict[float, dict[str, str]] = {}
     for at, values in staged.rows[topic.name]:
+        if at is None:
+            raise ValueError(f"{topic.name}: a column's name does not tell its wave; use join_panel")
         at = year_to_wave(at) if topic is tp.UNION else at
         if at in placed:
             raise ValueError(f"{topic.name}: wave {at} comes twice; use join_panel")
@@ -98,9 +101,9 @@ def keyed_once(topic: tp.Topic, staged: tp.Staged) -> dict[float, dict[str, str]
 def join_panel(wide: DataFrame, id_col: str = "CASEID", drugs_fixed: bool = False) -> DataFrame:
     """The panel as a chain of left joins of the topic tables.
 
-    Same rows as :func:`build_panel`; needed where a topic repeats a wave. Welfare
-    joins on person and year, the static table on the person, all others on person
-    and wave.
+    Same rows as :func:`build_panel`; needed where a topic repeats a wave or a name does
+    not tell it. Welfare joins on person and year, the static table on the person, all
+    others on person and wave; an unknown wave or year matches an unknown one.
     """
     rights = []
     for topic in tp.JOINED_TOPICS:
@@ -109,5 +112,6 @@ def join_panel(wide: DataFrame, id_col: str = "CASEID", drugs_fixed: bool = Fals
         else:
             chosen = tp.DRUGS_FIXED if topic is tp.DRUGS and drugs_fixed else topic
             rights.append(tp.topic_table(wide, chosen, id_col))
-    panel = natural_left(tp.topic_table(wide, tp.AGE, id_col), *rights, tp.static_table(wide, id_col))
+    tables = [*rights, tp.static_table(wide, id_col)]
+    panel = natural_left(tp.topic_table(wide, tp.AGE, id_col), *tables, null_safe=True)
     return panel.select(*PANEL_COLUMNS)

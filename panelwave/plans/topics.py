@@ -27,6 +27,7 @@ from panelwave.operators.inrow import null_of
 from panelwave.sources.names import NameRule, Source, parse_names
 
 KEY = "caseid"
+LEFT_OUT = "left out"
 
 
 def suffix_wave(source: Source) -> float | None:
@@ -54,7 +55,8 @@ def as_double(name: str):
 class Topic:
     """One topic of the survey.
 
-    ``at`` gives the wave (or year) of a source column, ``None`` to leave it out.
+    ``at`` gives the wave (or year) of a source column, ``None`` where its name does not say and
+    ``LEFT_OUT`` where the topic does not want it.
     ``recode`` turns one answer into named values. ``merge`` joins the answers that
     share a wave: ``"any"`` flags a positive sum, ``"spread"`` lets every stem fill
     its own variable. ``sequence`` gets each variable as a list over the waves, and the
@@ -109,10 +111,10 @@ def psector_recode(source: Source, value: str) -> dict[str, str]:
     return {"psector": "0" if code is None else fill_const(rc.flag_equal(value, code), 0)}
 
 
-def industry_at(source: Source) -> float | None:
+def industry_at(source: Source) -> float | str:
     wave = suffix_wave(source)
     late = source.stem == "INDALL" and wave > 14
-    return wave if late or source.stem == "CPSIND70" else None
+    return wave if late or source.stem == "CPSIND70" else LEFT_OUT
 
 
 def drugs_at(fixed: bool) -> Callable[[Source], float | None]:
@@ -373,11 +375,12 @@ def clean_name(column: str, raw: bool = False) -> str:
     return f"raw:{column}" if raw else f"clean:{column}"
 
 
-def located(sources: Sequence[Source], topic: Topic) -> list[tuple[float, Source]]:
-    """Sources with their wave or year, in (wave, file order)."""
+def located(sources: Sequence[Source], topic: Topic) -> list[tuple[float | None, Source]]:
+    """Sources with their wave or year, in (wave, file order); those of unknown place come last."""
     placed = [(topic.at(s), s) for s in sources]
     return sorted(
-        [(at, s) for at, s in placed if at is not None], key=lambda item: (item[0], item[1].pos)
+        [(at, s) for at, s in placed if at != LEFT_OUT],
+        key=lambda item: (item[0] is None, item[0] or 0, item[1].pos),
     )
 
 
@@ -412,7 +415,9 @@ def positive_sum(values: Sequence[str]) -> str:
     return rc.flag_positive("(" + " + ".join(fill_const(v, 0) for v in values) + ")")
 
 
-def number_literal(value: float, whole: bool) -> str:
+def number_literal(value: float | None, whole: bool) -> str:
+    if value is None:
+        return null_of("int" if whole else "double")
     return str(int(value)) if whole else number(float(value))
 
 
@@ -422,13 +427,14 @@ def topic_rows(
     """Rows of the topic's long table, keyed by ``wave``, by ``year`` or by both."""
     wanted = [v for v in topic.variables if v != "year"] if variables is None else variables
     placed = staged.rows[topic.name]
-    whole = all(float(at).is_integer() for at, _ in placed)
-    whole_wave = all(float(wv.year_to_wave(at)).is_integer() for at, _ in placed)
+    known = [at for at, _ in placed if at is not None]
+    whole = all(float(at).is_integer() for at in known)
+    whole_wave = all(float(wv.year_to_wave(at)).is_integer() for at in known)
     out = []
     for at, values in placed:
         row: dict[str, str] = {topic.key: number_literal(at, whole)}
         if topic is UNION:
-            row["wave"] = number_literal(wv.year_to_wave(at), whole_wave)
+            row["wave"] = number_literal(None if at is None else wv.year_to_wave(at), whole_wave)
         for var in wanted:
             row[var] = values[var] if var in values else null_of(topic.variables[var])
         out.append(row)
@@ -436,7 +442,10 @@ def topic_rows(
 
 
 def topic_table(wide: DataFrame, topic: Topic, id_col: str = "CASEID") -> DataFrame:
-    """The topic as a long table, one row per person and wave (or year)."""
+    """The topic as a long table, one row per person and wave (or year).
+
+    Columns whose names do not tell the wave keep their rows, with a null one.
+    """
     staged = stage_topics(wide, [topic], id_col)
     return inrow.emit_rows(staged.df, [KEY], topic_rows(topic, staged))
 

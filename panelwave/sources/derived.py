@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelwave.functions.nullsafe import quoted
 from panelwave.functions.waves import wave_to_year
@@ -28,32 +29,28 @@ def customer_cells(
 ) -> DataFrame:
     """One row per customer with, for each wave, the orders, cents and exposure of it.
 
-    The cells are plain aggregates of one ``groupBy`` on the customer: one exchange,
-    and a customer holding a large share of all orders combines on the map side.
-    ``wave`` and ``exposing`` are expressions over the orders.
+    Orders become one row per customer and wave, then one map per customer of at most as many
+    entries as there are waves. Both steps combine on the map side, so a customer holding a large
+    share of all orders is a few rows of each task. ``wave`` and ``exposing`` are expressions over
+    the orders. A wave without orders has nulls.
     """
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_custkey AS c_custkey",
-        f"{wave} AS wave",
+        f"CAST({wave} AS INT) AS wave",
         "CAST(round(o_totalprice * 100) AS BIGINT) AS cents",
         f"CAST({exposing} AS INT) AS inc",
     )
-    cells = []
-    for k in waves:
-        cells += [
-            f"count(CASE WHEN wave = {k} THEN 1 END) AS n_{k}",
-            f"sum(CASE WHEN wave = {k} THEN cents END) AS cents_{k}",
-            f"max(CASE WHEN wave = {k} THEN inc END) AS inc_{k}",
-        ]
-    by_customer = spark.sql(
-        f"SELECT c_custkey, {', '.join(cells)} FROM {{orders}} GROUP BY c_custkey", orders=orders
+    by_wave = orders.where(f"wave BETWEEN {waves[0]} AND {waves[-1]}").groupBy("c_custkey", "wave").agg(
+        F.count("*").alias("n"), F.sum("cents").alias("cents"), F.max("inc").alias("inc")
+    )
+    by_customer = by_wave.groupBy("c_custkey").agg(
+        F.map_from_entries(F.collect_list(F.struct("wave", F.struct("n", "cents", "inc")))).alias("cells")
     )
     customer = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey", "c_nationkey", "CAST(round(c_acctbal * 100) AS BIGINT) AS bal"
     )
-    # Both sides come partitioned by customer, so the wide cells are not broadcast and
-    # the recodes that follow are spread over all tasks.
-    return customer.repartition("c_custkey").join(by_customer.hint("merge"), "c_custkey", "left")
+    cells = [f"cells[{k}].{part} AS {part}_{k}" for k in waves for part in ("n", "cents", "inc")]
+    return customer.join(by_customer, "c_custkey", "left").selectExpr("c_custkey", "c_nationkey", "bal", *cells)
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,3 +224,22 @@ def survey_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.selectExpr(
         "c_custkey AS CASEID", *[f"CAST({answers[c]} AS DOUBLE) AS {quoted(c)}" for c in answers]
     )
+
+
+def repeated_headers(columns: list[str]) -> list[str]:
+    """Header fields that repeat a name for each of its suffixes 1, 2, ... in turn, told apart by blanks.
+
+    A reader that trims its header fields finds the same name again and again, as in a survey file
+    whose questions were asked in every wave.
+    """
+    asked: dict[str, int] = {}
+    out = []
+    for column in columns:
+        stem, _, repeat = column.rpartition(".")
+        if stem in asked and repeat == str(asked[stem] + 1):
+            asked[stem] += 1
+            out.append(stem + " " * asked[stem])
+        else:
+            out.append(column)
+            asked[column] = 0
+    return out

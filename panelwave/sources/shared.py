@@ -15,11 +15,17 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or else one under the warehouse.
+    """The folder named by ``spark.checkpoint.dir``.
 
-    Both are seen by all executors; a folder of one machine is never used.
+    Where it is unset, a local session uses a folder under its warehouse. On a cluster that could be
+    a folder of one machine, so there it is an error.
     """
-    return spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} has to name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -28,3 +34,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def saved_by_person(
+    df: DataFrame, name: str, key: str = "caseid", order: tuple[str, ...] = ("wave",), buckets: int | None = None
+) -> DataFrame:
+    """``df`` written under the shared folder in buckets of ``key``, sorted, and read back as a table.
+
+    The one shuffle is paid here: windows, sums and joins by ``key`` on what is read need none. There
+    are as many buckets as the session has shuffle partitions, unless given. The table is known to
+    this session only; its files stay.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex[:8]}"
+    path = f"{shared_dir(spark)}/{spark.conf.get('spark.app.id')}/{table}"
+    writer = df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key, *order)
+    writer.option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelwave.operators import factors as fa
 from panelwave.operators import linear as ln
 from panelwave.operators import moments as mm
 
@@ -195,3 +196,62 @@ def test_null_group_keeps_its_rows(spark):
     df = spark.createDataFrame([(None, 1.0, 2.0), (None, 2.0, 5.0), (1, 1.0, 1.0), (1, 3.0, 4.0), (2, 2.0, 2.0), (2, 5.0, 4.0)], "g int, x double, y double")
     made = ln.design(df, "y", ["x"], keep=["g"])
     assert ln.score_within(made, ln.within_ols(made, "g"), "g").count() == 6
+
+
+def test_ill_conditioned_fit_keeps_its_digits(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    x = rng.normal(size=n)
+    near = x + 1e-6 * rng.normal(size=n)
+    y = 1 + 2 * x - 3 * near + 1e-7 * rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "near": near, "y": y})).repartition(6)
+    fit = ln.ols(ln.design(df, "y", ["x", "near"]))
+    exact, *_ = np.linalg.lstsq(np.column_stack([np.ones(n), x, near]), y, rcond=None)
+    assert fit.estimate == pytest.approx(list(exact), rel=1e-8)
+    crossed = ln.ols_of(ln.moments(df, ["x", "near", "y"]), ["x", "near"])
+    gap = [abs(a / b - 1) if a is not None else 1 for a, b in zip(crossed.estimate[1:], exact[1:])]
+    assert max(gap) > 1e-6  # what squaring costs
+
+
+def test_factors_merge_in_bounded_groups(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3)) * [1, 100, 1e-3] + [0, 1e6, 0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).repartition(1000)
+    for rounds in (1, 2):  # a group of more than FAN_IN factors raises an error
+        r, n = fa.triangular_factor(df, list("abc"), rounds)
+        full = np.column_stack([np.ones(3000), x])
+        assert n == 3000 and np.abs(np.tril(r, -1)).max() == 0
+        assert r.T @ r == pytest.approx(full.T @ full, rel=1e-9, abs=1e-6)
+    assert fa.triangular_factor(df.where("false"), list("abc"))[1] == 0
+    few = fa.triangular_factor(df.limit(2), list("abc"))[0]
+    assert few.shape == (4, 4) and np.abs(few[2:]).max() == 0
+
+
+def test_clustered_errors_like_numpy(data):
+    df, g, X, y = data
+    fit = ln.ols(made(df), cluster="g")
+    plain = ln.ols(made(df))
+    assert fit.estimate == plain.estimate and fit.groups == len(np.unique(g))
+    centred = X.copy()
+    centred[:, 0] -= 1e4
+    full = np.column_stack([np.ones(len(y)), *[X[:, j] for j in range(X.shape[1]) if not (X[:, j] == 1).all()]])
+    q, r = np.linalg.qr(full)
+    spread = np.linalg.inv(r) @ np.linalg.inv(r).T
+    e = y - full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    u = np.stack([(full * e[:, None])[g == k].sum(axis=0) for k in np.unique(g)])
+    G, n, k = len(u), *full.shape
+    want = np.sqrt(np.diag(spread @ u.T @ u @ spread) * G / (G - 1) * (n - 1) / (n - k))
+    assert fit.se[1:] == pytest.approx(list(want[1:]), rel=1e-6)
+
+
+def test_clusters_of_one_row_and_of_all_rows(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float((i * i) % 11), 1) for i in range(60)], "g bigint, x double, y double, one int")
+    d = ln.design(df, "y", ["x"], keep=["g", "one"])
+    each = ln.ols(d, cluster="g")
+    x, y = np.arange(60) % 7, (np.arange(60) ** 2) % 11
+    full = np.column_stack([np.ones(60), x])
+    e = y - full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    spread = np.linalg.inv(full.T @ full)
+    white = spread @ (full.T * e**2) @ full @ spread * 60 / 58
+    assert each.se == pytest.approx(list(np.sqrt(np.diag(white))), rel=1e-9)
+    assert all(np.isnan(s) for s in ln.ols(d, cluster="one").se)

@@ -1,12 +1,18 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+from panelwave.operators import linear as ln
 from panelwave.operators.cohort import build_cohorts, difference_in_means
+from panelwave.plans import models as mo
 from panelwave.plans import panel as pn
+from panelwave.plans import samples as sm
 from panelwave.plans import topics as tp
 from panelwave.sources import derived as dv
-from panelwave.sources.shared import saved
+from panelwave.sources.shared import saved, saved_by_person
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -157,3 +163,58 @@ def test_one_person_with_a_third_of_all_orders(spark, tmp_path):
     assert len(got) == 350 and got.n_jobs.sum() == n
     for row in got.dropna(subset=["n_jobs"]).itertuples():
         assert (row.wages, row.n_jobs) == tuple(want.loc[(row.caseid, row.wave)])
+
+
+def test_names_that_do_not_tell_the_wave_keep_their_rows(spark):
+    names = ["AGEATINT", "AGEATINT.1", "HGC", "ENROLLMTREVXX", "ENROLLMTREV79", "EMPLOYERS_ALL_UNION_19X9.01", "EMPLOYERS_ALL_UNION_1980.01"]
+    found = {t.name: [c for c in t.rule.columns(names, "CASEID")] for t in (tp.AGE, tp.EDUCATION, tp.UNION)}
+    located = {t.name: tp.located(tp.parse_names(names, t.rule, "CASEID"), t) for t in (tp.AGE, tp.EDUCATION, tp.UNION)}
+    for name, columns in found.items():
+        assert len(located[name]) == len(columns)  # none is dropped
+    unknown = [s.column for at, s in (*located["education"], *located["union"]) if at is None]
+    assert unknown == ["ENROLLMTREVXX", "EMPLOYERS_ALL_UNION_19X9.01"]
+    for rows in located.values():
+        places = [at is None for at, _ in rows]
+        assert places == sorted(places)  # the unknown ones come last
+
+
+def test_unknown_waves_match_unknown_ones_in_the_chain(spark):
+    left = spark.createDataFrame([(1, 0, 20), (1, None, 21)], "caseid bigint, wave int, age int")
+    right = spark.createDataFrame([(1, None, 5), (1, None, 6), (2, None, 7)], "caseid bigint, wave int, x int")
+    got = sorted(map(tuple, pn.natural_left(left, right, null_safe=True).collect()), key=str)
+    assert got == sorted([(1, 0, 20, None), (1, None, 21, 5), (1, None, 21, 6)], key=str)
+
+
+def test_fused_panel_refuses_unknown_waves(spark):
+    wide = spark.createDataFrame(
+        [(1, 20.0, 2.0, 1.0, 1.0, 1.0)],
+        "CASEID bigint, AGEATINT double, `EMPLOYERS_ALL_UNION_19X9.01` double, `EMPLOYERS_ALL_UNION_1979.01` double, SAMPLE_RACE double, SAMPLE_SEX double",
+    )
+    with pytest.raises(ValueError, match="join_panel"):
+        pn.build_panel(wide, columns=["caseid", "wave", "union"])
+    table = tp.topic_table(wide, tp.UNION).collect()
+    assert sorted([(r.year, r.wave, r.union) for r in table], key=str) == [(1979, 0, 1), (None, None, 1)]
+
+
+def exchanges(df) -> int:
+    """Shuffles; a broadcast of one row per person that is small enough moves no rows of the panel."""
+    return len(re.findall("(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_panel_in_buckets_needs_no_exchange(spark, survey):
+    panel = saved_by_person(pn.build_panel(survey), "panel_by_person", buckets=8)
+    pd.testing.assert_frame_equal(ordered(panel), ordered(pn.build_panel(survey)))
+    assert exchanges(sm.sample_two(panel)) == 0
+    sample = saved_by_person(sm.sample_two(panel), "sample_by_person", buckets=8)
+    person_sums = sample.groupBy("caseid").agg(F.sum("weeks_worked").alias("weeks"))
+    assert exchanges(person_sums) == 0
+    design = mo.naive_design(sample)
+    assert exchanges(ln.group_sums(design, "caseid", np.zeros(len(design.terms) + 1))) == 0
+    exposure = saved_by_person(tp.topic_table(survey, tp.INCARCERATION), "exposure_by_person", buckets=8)
+    cohorts = sm.cohorts(sample, exposure)
+    assert exchanges(cohorts) == 0
+    plain = sm.cohorts(sm.sample_two(pn.build_panel(survey)), tp.topic_table(survey, tp.INCARCERATION))
+    key = ["caseid", "bl"]
+    pd.testing.assert_frame_equal(
+        cohorts.toPandas().sort_values(key).reset_index(drop=True), plain.toPandas().sort_values(key).reset_index(drop=True)
+    )

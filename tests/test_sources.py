@@ -1,6 +1,7 @@
 import pytest
 
 from panelwave.plans import topics as tp
+from panelwave.sources import derived as dv
 from panelwave.sources import names as nm
 from panelwave.sources.survey_csv import read_wide, read_wide_parquet
 
@@ -70,3 +71,10 @@ def test_selectors_ignore_case_and_keep_dots(spark):
 def test_topic_names(topic, name, stem, at):
     (source,) = nm.parse_names([name], topic.rule, "CASEID")
     assert (source.stem, topic.at(source)) == (stem, at)
+
+
+def test_repeated_headers_come_back_as_names():
+    columns = ["CASEID", *dv.survey_answers()]
+    written = dv.repeated_headers(columns)
+    assert len({c.strip() for c in written}) < len(columns) / 3
+    assert nm.unique_headers(written) == columns
