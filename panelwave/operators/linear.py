@@ -41,9 +41,12 @@ class Design:
     terms: list[str]
 
 
-def levels_of(df: DataFrame, col: str) -> list:
-    """Sorted levels of a categorical column; as many as the caller's choice of column has."""
-    return sorted(r[0] for r in df.select(col).where(f"{quoted(col)} IS NOT NULL").distinct().collect())
+def levels_of(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted levels of categorical columns, found in one pass; as many as the caller's columns have."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.collect_set(F.col(quoted(c))).alias(f"l{i}") for i, c in enumerate(cols)]).head()
+    return {c: sorted(row[i]) for i, c in enumerate(cols)}
 
 
 def written(level) -> str:
@@ -81,9 +84,7 @@ def design(
     """
     used = list(dict.fromkeys([y, *numeric, *categorical]))
     known = dict(levels or {})
-    for col in categorical:
-        if col not in known:
-            known[col] = levels_of(df, col)
+    known |= levels_of(df, [c for c in categorical if c not in known])
     complete = df.na.drop("any", subset=used)
     dummies = {
         f"{col}_{level}": dummy(col, level, known[col])

@@ -34,14 +34,24 @@ from panelwave.sources import names as nm
 from panelwave.sources.shared import saved, saved_by_person, shared_dir
 from panelwave.sources.survey_csv import read_wide
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files of the tables that the written ones are made of, with sizes and times: new data, new tables."""
+    out = []
+    for name in ("customer", "orders"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(out)
 
 
 def once(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
     write: Callable[[DataFrame, str], DataFrame] = saved,
 ) -> DataFrame:
-    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    key = (spark.conf.get("spark.app.id"), sf_dir, name, stamp(spark, sf_dir))
     if key not in _written:
         _written[key] = write(build(), name)
     return _written[key]
@@ -430,13 +440,12 @@ def cohort_all(spark, sf_dir):
 
 
 def orders_cohorts(spark, sf_dir) -> DataFrame:
-    """Cohorts of the yearly orders panel at baselines 0 to 3."""
-    rows = hs.exposure_history(
-        dv.orders_panel(spark, sf_dir), "incarcerated", "ever_inc"
-    )
-    return co.build_cohorts(
-        rows, rows, "wages", {"wages": "wages_t0", "n_jobs": "n_jobs"}, [0, 1, 2, 3]
-    )
+    """Cohorts of the yearly orders panel at baselines 0 to 3, written once for the queries on them."""
+    def build():
+        rows = hs.exposure_history(dv.orders_panel(spark, sf_dir), "incarcerated", "ever_inc")
+        return co.build_cohorts(rows, rows, "wages", {"wages": "wages_t0", "n_jobs": "n_jobs"}, [0, 1, 2, 3])
+
+    return once(spark, sf_dir, "orders_cohorts", build)
 
 
 def treatment_identity(spark, sf_dir):

@@ -50,7 +50,10 @@ def customer_cells(
         "c_custkey", "c_nationkey", "CAST(round(c_acctbal * 100) AS BIGINT) AS bal"
     )
     cells = [f"cells[{k}].{part} AS {part}_{k}" for k in waves for part in ("n", "cents", "inc")]
-    return customer.join(by_customer, "c_custkey", "left").selectExpr("c_custkey", "c_nationkey", "bal", *cells)
+    # narrow rows so far; what is made of them is wide, so all tasks get a share however few bytes these are
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = customer.join(by_customer, "c_custkey", "left").repartition(tasks, "c_custkey")
+    return spread.selectExpr("c_custkey", "c_nationkey", "bal", *cells)
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
