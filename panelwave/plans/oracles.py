@@ -45,8 +45,8 @@ wag AS (
 INCOME = """
 inco AS (
   SELECT c, k, income, lead(income) OVER (PARTITION BY c ORDER BY k) AS income_next
-  FROM (SELECT c, k, CASE WHEN away OR (c + k) % 29 = 0 THEN NULL WHEN n > 0
-                          THEN floor(cents / 1000) END AS income FROM cell))
+  FROM (SELECT c, k, CASE WHEN away OR (c + k) % 29 = 0 THEN NULL WHEN n > 0 AND (c + k) % 31 = 0 THEN -9
+                          WHEN n > 0 THEN floor(cents / 1000) END AS income FROM cell))
 """
 WORK = """
 wrk AS (
@@ -222,7 +222,10 @@ sample1 AS (
   FROM filled1 f LEFT JOIN """ + INDEX + """ ON w = wave)
 """
 
-SAMPLE_TWO = """, kept2 AS (SELECT * FROM panel WHERE female = 0 AND wave > 3 AND wave < 23),
+SAMPLE_TWO = """, kept2 AS (
+  SELECT * REPLACE (CASE WHEN income_current_y >= 0 THEN income_current_y END AS income_current_y,
+                    CASE WHEN income_past_year >= 0 THEN income_past_year END AS income_past_year)
+  FROM panel WHERE female = 0 AND wave > 3 AND wave < 23),
 filled2 AS (SELECT *, """ + FILLED + """ AS filled_drugs FROM kept2),
 sample2 AS (
   SELECT f.* EXCLUDE (drugs, filled_drugs, cog_ability, pov_status), f.cog_ability / 100 AS cog_ability,
@@ -531,7 +534,9 @@ def wide_pivot(name: str, expr: str, waves=range(27)) -> str:
     )
 
 
-INCOME_RAW = "CASE WHEN away OR (c + k) % 29 = 0 THEN NULL WHEN n > 0 THEN floor(cents / 1000) END"
+INCOME_RAW = (
+    "CASE WHEN away OR (c + k) % 29 = 0 THEN NULL WHEN n > 0 AND (c + k) % 31 = 0 THEN -9 WHEN n > 0 THEN floor(cents / 1000) END"
+)
 WAGE_RAW = "CASE WHEN n > 0 THEN floor(cents / 10000) WHEN away THEN -5 ELSE -4 END"
 REGION_RAW = "CASE WHEN away THEN -5 ELSE 1 + nk % 4 END"
 WORKER_RAW = "CASE WHEN away THEN -5 ELSE 1 + (nk + k) % 3 END"
@@ -598,7 +603,8 @@ def survey_codes() -> str:
     age = "CASE WHEN away THEN -5 ELSE 16 + yr - 1979 + c % 8 END"
     home = "CASE WHEN inc = 1 THEN 5 WHEN away THEN -5 WHEN n > 0 THEN 1 + c % 4 ELSE -4 END"
     income = (
-        "CASE WHEN away THEN -5 WHEN (c + k) % 29 = 0 THEN -1 WHEN n > 0 THEN floor(cents / 1000) ELSE -4 END"
+        "CASE WHEN away THEN -5 WHEN (c + k) % 29 = 0 THEN -1 WHEN n > 0 AND (c + k) % 31 = 0 THEN -9"
+        " WHEN n > 0 THEN floor(cents / 1000) ELSE -4 END"
     )
     esr = f"coalesce({ESR}, -5)"
     industry = "CASE WHEN n = 0 THEN -4 ELSE ind END"

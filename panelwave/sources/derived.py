@@ -134,6 +134,7 @@ def survey_answers() -> dict[str, str]:
         out[suffixed(stem, k - start)] = cases(
             away,
             (f"({c} + {k}) % 29 = 0", -1),
+            (f"{n(k)} > 0 AND ({c} + {k}) % 31 = 0", -9),  # an answer below the missing codes
             (f"{n(k)} > 0", f"floor(cents_{k} / 1000)"),
             otherwise=-4,
         )
