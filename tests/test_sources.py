@@ -60,7 +60,7 @@ def test_selectors_ignore_case_and_keep_dots(spark):
         (tp.PSECTOR, "CPS.QES.56C.3", "CP", 3),
         (tp.PSECTOR, "QES.56C.01.2", "QE", 17),
         (tp.INDUSTRY, "INDALL.EMP.01.16", "INDALL", 16),
-        (tp.INDUSTRY, "INDALL.EMP.01.14", "INDALL", None),
+        (tp.INDUSTRY, "INDALL.EMP.01.14", "INDALL", tp.LEFT_OUT),
         (tp.INDUSTRY, "CPSIND70.3", "CPSIND70", 3),
         (tp.DRUGS, "DS.11.2", "D11", 5),
         (tp.DRUGS_FIXED, "DS.11.2", "D11", 13),
