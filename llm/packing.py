@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from llm.shared import cut, ship, stored
-from llm.tokens import word_ids
+from llm.tokens import MEMO, WORD_BYTES, word_ids
 
 CAPACITY = 2048
 CLASSES = 64  # the last one holds all shorter pieces
@@ -58,6 +58,7 @@ def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
 def document_pieces(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
     capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False, narrow: bool = False,
+    memo_size: int = MEMO, group_bytes: int = WORD_BYTES,
 ) -> DataFrame:
     """Pieces of every document's ids and end id: start, length, class (and the ids).
 
@@ -71,7 +72,7 @@ def document_pieces(
             cols = [[] for _ in range(5 + with_ids)]
             held = 0
             texts = (t.encode() if t else b"" for t in b.column(1).to_pylist())
-            for key, ids in zip(b.column(0).to_pylist(), word_ids(tokenizer, texts), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), word_ids(tokenizer, texts, memo_size, group_bytes), strict=True):
                 ids += end
                 each, kept, at = 4, ids, 0
                 if narrow and (few := np.frombuffer(ids, "<u4")).max() < 1 << 16:
@@ -282,14 +283,18 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
 def packed_documents(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
     capacity: int = CAPACITY, end_id: int = 1, pad_id: int = 0, with_sequences: bool = True,
+    memo_size: int = MEMO, group_bytes: int = WORD_BYTES,
 ) -> DataFrame:
     """The pieces of all documents as they lie in the assembled, padded sequences.
 
     ``length``, ``ids_crc32`` and ``offset`` are those of the stretch of the sequence's ids. The row
     at offset 0 also has them all in ``sequence`` (``with_sequences``), null in the other rows.
     Only small rows without ids are packed; the ids wait in the shared folder and move twice.
+    ``memo_size`` words are remembered in a Python worker, which encodes ``group_bytes`` at a time.
     """
-    pieces = document_pieces(docs, tokenizer, doc_id, text, capacity, end_id, with_ids=True, narrow=True)
+    pieces = document_pieces(
+        docs, tokenizer, doc_id, text, capacity, end_id, True, True, memo_size, group_bytes
+    )
     pieces = stored(pieces.withColumn("piece", F.monotonically_increasing_id()))
     placed = harmonic_pack(pieces.drop("ids"), capacity).select("piece", "sequence_id", "offset")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "sequence_id"]

@@ -67,6 +67,7 @@ class Memo:
     """Encodings of stretches; ``of_ids`` turns ids into what is kept, which adds up by ``+``."""
 
     def __init__(self, path: str, lower: bool, of_ids, empty):
+        self.limit = MEMO
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +80,7 @@ class Memo:
 
     def piece(self, text: str):
         value = self.of_ids([t.id for t in self.merge(text)])
-        if len(self.pieces) < MEMO and len(text) <= LONGEST:
+        if len(self.pieces) < self.limit and len(text) <= LONGEST:
             self.pieces[text] = value
         return value
 
@@ -106,7 +107,7 @@ class Memo:
         """A mapping that has all ``stretches``; each is encoded with ``prefix`` before it."""
         self.known.rest = {}
         for w in stretches - self.known.keys():
-            into = self.known if len(self.known) < MEMO and len(w) <= LONGEST else self.known.rest
+            into = self.known if len(self.known) < self.limit and len(w) <= LONGEST else self.known.rest
             into[w] = self.encode(prefix + w.decode("utf-8", "replace"))
         return self.known
 
@@ -137,13 +138,15 @@ def _four_bytes(ids: list[int]) -> bytes:
     return held.tobytes()
 
 
-def word_ids(path: str, texts):
+def word_ids(path: str, texts, memo_size: int = MEMO, group_bytes: int = WORD_BYTES):
     """For each UTF-8 text, its ids as little-endian unsigned 32-bit integers (bytes).
 
-    For tokenizers that drop white space.
+    For tokenizers that drop white space. A memo of fewer words and smaller groups of texts take
+    less memory and more time, and change no result.
     """
-    memo = _memo(path, "ids", True, _four_bytes, b"")
-    for group in _grouped(texts, WORD_BYTES):
+    memo = _memo(path, f"ids {memo_size}", True, _four_bytes, b"")
+    memo.limit = memo_size
+    for group in _grouped(texts, group_bytes):
         words = [t.split() for t in group]
         known = memo.learn(set(chain.from_iterable(words)))
         # all before any is given out: the memo may learn other texts in between
