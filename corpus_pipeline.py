@@ -71,7 +71,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in padded sequences of 2048 tokens, whose ids the row at offset 0 has."""
-    return packed_documents(docs, TOKENIZER)
+    # a smaller memo than alone: the workers of earlier stages still hold memory
+    return packed_documents(docs, TOKENIZER, memo_size=100_000, group_bytes=1 << 20)
 
 
 STAGES = [
