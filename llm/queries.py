@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import decode_documents, encode_documents
@@ -37,10 +37,11 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [
-        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    ]
+    def count(kind: int) -> Column:
+        # one parameter: of two, Spark takes the second for the place in the array
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return pii_spans(documents(spark, sf_dir)).select(
         "doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.col("all")).alias("spans"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm import pii
 from llm.pii import KINDS, pii_spans, redacted, span_text, tree_sql
+from llm.queries import op3_pii_spans
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -58,6 +59,16 @@ def test_base_like_plain_patterns(spark):
         assert set(filter(None, r.s.split(","))) <= set(r.t.split(","))
 
 
+def test_query_counts_base_spans_of_each_kind(spark, tmp_path):
+    rows = [*messy(2, 300), (900, None), (901, ""), (902, "4111111111111111, 4111 1111 1111 1111; a@b.c, d@e.f, 1.2.3.4 and +1 (415) 555-1234")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = dict(rows)
+    for r in op3_pii_spans(spark, str(tmp_path)).collect():
+        want = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in KINDS]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = pii_spans(df).select("text", F.sha2(span_text(F.col("base")), 256).alias("h")).collect()
