@@ -42,7 +42,6 @@ HINT = {"email": r"(?i)mail|contact", "ip": r"(?i)\bip\b|addr|host", "card": r"(
 # what a text must hold for a pattern to be worth a search
 NEEDS = {("email", 1): "@", ("email", 0): "at", ("ip", 1): ".", ("ip", 0): ".", ("phone", 1): "+"}
 AROUND = 24  # code points of context on either side
-FIT_ROWS = 20_000
 TREES = 12
 DEPTH = 3
 PRECISION = 0.98
@@ -172,37 +171,41 @@ def tree_sql(dump: str, weights: list[float], cell: str = "f[{}]") -> str:
     return " + ".join(parts) or "0D"
 
 
-def fit_selector(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[str, list[float]]:
-    """The trees as SQL over the array ``f``, and a threshold for each kind.
+def labelled_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every strict candidate of every text with its check's outcome, equal ones as one row.
 
-    Fitted on at most ``fit_rows`` strict candidates of each outcome, by least hash. If all
-    candidates have one outcome, nothing can be learnt and no looser candidate is selected.
+    ``n`` says how many candidates a row stands for, ``held`` whether they are kept from the fit.
     """
     strict = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(
         "t", F.concat(*[_search(F.col("t"), k, True) for k in KINDS]).alias("c")
     )
     rows = strict.select("t", F.explode("c").alias("c")).select(
         _valid(F.col("c")).cast("double").alias("label"), F.array(*_features(F.col("t"), F.col("c"))).alias("f"),
-        F.col("c.kind").alias("kind"), F.xxhash64("t", "c.start", "c.kind").alias("key"),
+        F.col("c.kind").alias("kind"), (F.pmod(F.xxhash64("t", "c.start", "c.kind"), F.lit(4)) == 0).alias("held"),
     )
-    few = None
-    for label in (0.0, 1.0):
-        part = rows.where(F.col("label") == label).orderBy("key").limit(fit_rows)
-        few = part if few is None else few.unionAll(part)
-    few = cut(few)
-    outcomes = {r[0] for r in few.select("label").distinct().collect()}
+    return rows.groupBy("label", "kind", "held", "f").agg(F.count("*").cast("double").alias("n"))
+
+
+def fit_selector(docs: DataFrame, text: str = "text") -> tuple[str, list[float]]:
+    """The trees as SQL over the array ``f``, and a threshold for each kind.
+
+    Fitted on all strict candidates but those held out, on which the thresholds are found. If all
+    candidates have one outcome, nothing can be learnt and no looser candidate is selected.
+    """
+    found = cut(labelled_candidates(docs, text))
+    outcomes = {r[0] for r in found.select("label").distinct().collect()}
     if len(outcomes) < 2:
         return "0D", [float("inf")] * len(KINDS)
-    flat = few.select("label", "kind", "key", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
+    flat = found.where("NOT held").select("label", "n", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="v").transform(flat)
-    model = GBTClassifier(labelCol="label", featuresCol="v", maxIter=TREES, maxDepth=DEPTH, seed=3).fit(
-        ready.where("pmod(key, 4) <> 0")
-    )
+    model = GBTClassifier(
+        labelCol="label", featuresCol="v", weightCol="n", maxIter=TREES, maxDepth=DEPTH, seed=3
+    ).fit(ready)
     sql = tree_sql(model.toDebugString, list(model.treeWeights))
-    held = few.where("pmod(key, 4) = 0").select("kind", "label", F.expr(sql).alias("z"))
+    held = found.where("held").select("kind", "label", "n", F.expr(sql).alias("z"))
     cuts = [float("inf")] * len(KINDS)
     # sums by score: a model of TREES small trees has few distinct ones
-    sums = held.groupBy("kind", F.round("z", 3).alias("z")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    sums = held.groupBy("kind", F.round("z", 3).alias("z")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     for k in range(len(KINDS)):
         good = n = 0
         for r in sorted((r for r in sums if r["kind"] == k), key=lambda r: -r["z"]):
@@ -212,14 +215,14 @@ def fit_selector(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS)
     return sql, cuts
 
 
-def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``all`` spans: arrays of (start, kind, end), ordered, kind a number.
 
     Places are code points, end exclusive. Null text counts as empty; a row without data has
     empty arrays. Equal spans of one kind are listed once. Rows are looked at one by one, so
     repeated rows and ids do no harm.
     """
-    sql, cuts = fit_selector(docs, text, fit_rows)
+    sql, cuts = fit_selector(docs, text)
     names = [c for c in docs.columns if c not in ("base", "all")]
     whole = F.coalesce(F.col(text), F.lit(""))
     base, every = candidates(whole)

@@ -86,6 +86,20 @@ def test_empty_table(spark):
     assert pii_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_every_candidate_is_learnt_from(spark):
+    rows = [(i, f"{i}@b.co 1.2.3.{256 + i % 2} " * 50) for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = pii.labelled_candidates(df).groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()
+    assert {(r.kind, r.label): r.n for r in found if r.kind < 2} == {(0, 1.0): 450 * 50, (1, 0.0): 450 * 50}
+    sql, cuts = pii.fit_selector(df)
+    assert "CASE" in sql and cuts[0] < math.inf and cuts[1] == math.inf
+
+
+def test_no_outcomes_select_nothing(spark):
+    df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
+    assert pii.fit_selector(df) == ("0D", [math.inf] * len(KINDS))
+
+
 def test_tree_sql_is_the_model(spark):
     r = random.Random(3)
     rows = [(float(r.random() > 0.4), [round(r.uniform(-3, 3), 2), float(r.randrange(4)), r.gauss(0, 1)]) for _ in range(400)]
