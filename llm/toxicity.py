@@ -6,15 +6,16 @@ Filters of several widths slide over them, each filter's greatest answer is kept
 and a logistic layer combines them; its output is calibrated on rows it was not fitted on. For
 each language a threshold is calibrated as well, for decisions; the score itself sees only text.
 
-Fitting uses a bounded sample of labelled rows (``FIT_ROWS`` of each label, least hash of the
-doc_id first, texts up to ``FIT_WORDS`` words). Words of fewer than ``MIN_DOCS`` sample texts share one
-row, so that rare words are not learnt by heart. Scoring covers whole texts of every row.
+Fitting uses whole texts of all labelled rows but the held-out ones. They are dealt into shards of
+some ``SHARD_ROWS`` rows; in each of a few rounds tasks learn from one shard after another, all from
+the same start, and Spark averages what they learnt. Words of fewer than ``MIN_DOCS`` texts share one
+row, so that rare words are not learnt by heart. The driver holds the table, never texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from llm.shared import ship
+from llm.shared import cut, ship
 from llm.words import ALNUM, words_by_text
 
-FIT_ROWS = 2000
-FIT_WORDS = 20_000
+SHARD_ROWS = 2000
 MIN_DOCS = 4
 PREFIX = 6
 ROWS = 1 << 16
@@ -100,83 +100,84 @@ def table_rows(column: pa.Array) -> Iterator[np.ndarray]:
         yield (hashes % np.uint64(ROWS - 2)).astype(np.int64) + 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> list[tuple]:
-    """``(part, label, lang, rows)`` of a bounded sample; part 0 is for fitting, 2 for calibration."""
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(part, shard, toxic, lang, rows)`` of all labelled rows; part 0 is for fitting, 2 for calibration.
+
+    Shards and the order in them follow from the rows, so that the fit does not depend on how the
+    table is split.
+    """
     clean = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .withColumn("part", F.expr(HELD_OUT.format("doc_id"))).where("part <> 1")
     )
-    chosen = None
-    for part in (0, 2):
-        for label in (0, 1):
-            some = clean.where((F.col("part") == part) & (F.col("toxic") == label))
-            some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-            chosen = some if chosen is None else chosen.unionAll(some)
+    shards = max(1, -(-clean.where("part = 0").count() // SHARD_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r if len(r) <= FIT_WORDS else None for r in table_rows(b.column(3))]
-            packed = pa.array([None if r is None else r.astype("<i4").tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], ["part", "toxic", "lang", "rows"])
+            packed = pa.array([r.astype("<i4").tobytes() for r in table_rows(b.column(5))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], packed], ["part", "shard", "key", "toxic", "lang", "rows"])
 
-    joined = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # at most 4 * per_label rows
-    kept = joined.select(F.col("part").cast("int"), F.col("toxic").cast("int"), "lang", "text")
-    found = kept.mapInArrow(run, "part int, toxic int, lang string, rows binary").where("rows IS NOT NULL").collect()
-    # in an order of their own, so that the fit does not depend on how the table is split
-    found.sort(key=lambda r: (r[0], r[1], r[3]))
-    # the bytes themselves, not a wider copy: the sample is most of what the driver holds
-    return [(r[0], r[1], r[2], np.frombuffer(r[3], "<i4").reshape(-1, 2)) for r in found]
+    own = docs.select("doc_id", "text", "lang").where(f"{HELD_OUT.format('doc_id')} <> 1")
+    joined = own.join(clean, "doc_id").withColumn("key", F.xxhash64("doc_id"))
+    kept = joined.select(
+        F.col("part").cast("int"), F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key",
+        F.col("toxic").cast("int"), "lang", "text",
+    )
+    found = kept.mapInArrow(run, "part int, shard int, key long, toxic int, lang string, rows binary")
+    dealt = found.repartition(shards, "shard").sortWithinPartitions("part", "shard", "key", "toxic", "rows")
+    return cut(dealt.drop("key"))
 
 
-def fit(sample: list[tuple], seed: int = 7) -> Model:
-    """Fit on part 0, calibrate on part 2. Without both labels in a part, the score is the share of label 1."""
-    rng = np.random.default_rng(seed)
-    train = [(y, rows) for part, y, _, rows in sample if part == 0]
-    seen = np.zeros((2, ROWS))
-    for y, rows in train:
-        seen[y, np.unique(rows)] += 1
-    used = seen.sum(axis=0) >= MIN_DOCS
-    used[PAD] = True
-    # a start near the goal: one dimension is a word's log odds of the labels in the sample
-    size = np.array([max(1, sum(y == k for y, _ in train)) for k in (0, 1)])
-    rate = (seen + 0.5) / (size[:, None] + 1)
-    emb = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
-    emb[:, 0] = np.clip(np.log(rate[1] / rate[0]), -2, 4) * (seen.sum(axis=0) >= MIN_DOCS) / 2
-    emb[PAD] = 0
-    stakes = size.sum() / (2 * size)  # both labels weigh alike
-    filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for f in filters:
-        f[:, 0] += 1 / len(f)
-    bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
-    weight = rng.normal(0.1, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
-    offset = 0.0
-    g_emb = np.full((ROWS, 1), 1e-2, np.float32)
-    g_fil = [np.full_like(f, 1e-2) for f in filters]
-    g_bias, g_weight, g_off = np.full_like(bias, 1e-2), np.full_like(weight, 1e-2), 1e-2
-    widest = max(WIDTHS)
-    for _ in range(EPOCHS if len({y for y, _ in train}) == 2 else 0):
-        for i in rng.permutation(len(train)):
-            y, rows = train[i]
-            rows = np.concatenate((np.where(used[rows], rows, RARE), np.zeros((widest, 2), np.int64)))
-            n = max(1, len(rows) - widest)
-            x = emb[rows[:, 0]] + emb[rows[:, 1]]
-            picks, best = [], []
-            for f in filters:
-                out = x[:n] @ f[0]
-                for k in range(1, len(f)):
-                    out = out + x[k : n + k] @ f[k]
-                at = out.argmax(axis=0)
-                picks.append(at)
-                best.append(out[at, np.arange(FILTERS)])
+@dataclass
+class Fitting:
+    """What is fitted: row embeddings, filters, and the layer on them, each with its sums of squared steps."""
+
+    used: np.ndarray
+    stakes: np.ndarray
+    emb: np.ndarray
+    g_emb: np.ndarray
+    dense: list[np.ndarray]  # filters of each width, bias, weight, offset, then the sums of squares of all these
+    touched: np.ndarray = field(default_factory=lambda: np.zeros(ROWS, bool))
+
+    def copy(self) -> Fitting:
+        return replace(
+            self, emb=self.emb.copy(), g_emb=self.g_emb.copy(), dense=[x.copy() for x in self.dense],
+            touched=np.zeros(ROWS, bool),
+        )
+
+    def learn(self, texts: list[tuple[int, np.ndarray]], rng: np.random.Generator) -> None:
+        """A step by each text, in a random order."""
+        emb, g_emb = self.emb, self.g_emb
+        half = len(self.dense) // 2
+        *filters, bias, weight, offset = self.dense[:half]
+        *g_fil, g_bias, g_weight, g_off = self.dense[half:]
+        for i in rng.permutation(len(texts)):
+            y, rows = texts[i]
+            rows = np.concatenate((np.where(self.used[rows], rows, RARE), np.zeros((max(WIDTHS), 2), np.int64)))
+            n = max(1, len(rows) - max(WIDTHS))
+            picks = [np.zeros(FILTERS, np.int64) for _ in filters]
+            best = [np.full(FILTERS, -np.inf, np.float32) for _ in filters]
+            for a in range(0, n, SLAB):  # a stretch of the text at a time
+                b = min(n, a + SLAB)
+                part = rows[a : b + max(WIDTHS) - 1]
+                x = emb[part[:, 0]] + emb[part[:, 1]]
+                for q, f in enumerate(filters):
+                    out = x[: b - a] @ f[0]
+                    for k in range(1, len(f)):
+                        out = out + x[k : b - a + k] @ f[k]
+                    at = out.argmax(axis=0)
+                    top = out[at, np.arange(FILTERS)]
+                    picks[q] = np.where(top > best[q], a + at, picks[q])
+                    best[q] = np.maximum(best[q], top)
             pooled = np.concatenate(best) + bias
             act = np.maximum(pooled, 0)
-            err = np.float32(1 / (1 + np.exp(-np.clip(act @ weight + offset, -30, 30))) - y) * stakes[y]
+            err = np.float32(1 / (1 + np.exp(-np.clip(act @ weight + offset[0], -30, 30))) - y) * self.stakes[y]
             d = err * weight * (pooled > 0)
             gw = err * act
             g_weight += gw * gw
             weight -= RATE * gw / np.sqrt(g_weight)
             g_off += err * err
-            offset -= float(RATE * err / np.sqrt(g_off))
+            offset -= RATE * err / np.sqrt(g_off)
             g_bias += d * d
             bias -= RATE * d / np.sqrt(g_bias)
             for q, (f, at) in enumerate(zip(filters, picks, strict=True)):
@@ -185,54 +186,193 @@ def fit(sample: list[tuple], seed: int = 7) -> Model:
                     continue
                 for k in range(len(f)):
                     r = rows[at + k]
-                    gf = x[at + k].T * dq
+                    gf = (emb[r[:, 0]] + emb[r[:, 1]]).T * dq
                     ge = dq[:, None] * f[k].T
                     for part in r.T:
                         gp = np.where((part == PAD)[:, None], 0, ge)
                         np.add.at(g_emb, part, (gp * gp).mean(axis=1, keepdims=True))
                         np.add.at(emb, part, -RATE * gp / np.sqrt(g_emb[part]))
+                        self.touched[part] = True
                     g_fil[q][k] += gf * gf
                     f[k] -= RATE * gf / np.sqrt(g_fil[q][k])
-    emb[~used] = emb[RARE]
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbered rows of ``DIM + 1`` values: the table's touched rows, then all that is dense."""
+        at = np.flatnonzero(self.touched)
+        flat = np.concatenate([x.ravel() for x in self.dense])
+        flat = np.concatenate((flat, np.zeros(-len(flat) % (DIM + 1), flat.dtype))).reshape(-1, DIM + 1)
+        values = np.concatenate((np.concatenate((self.emb[at], self.g_emb[at]), axis=1), flat)).astype(np.float64)
+        return np.concatenate((at, ROWS + np.arange(len(flat)))).astype(np.int32), values
+
+    def unpack(self, slots: np.ndarray, values: np.ndarray) -> None:
+        """Take over rows of :meth:`packed`."""
+        table = slots < ROWS
+        self.emb[slots[table]], self.g_emb[slots[table]] = values[table, :DIM], values[table, DIM:]
+        flat = values[~table][np.argsort(slots[~table])].ravel()
+        for x in self.dense:
+            x[...] = flat[: x.size].reshape(x.shape)
+            flat = flat[x.size :]
+
+    def model(self, size: np.ndarray) -> Model:
+        """The fitted classifier, not yet calibrated. Where a label lacks, its score is the share of label 1."""
+        *filters, bias, weight, offset = self.dense[: len(self.dense) // 2]
+        emb = self.emb.copy()
+        emb[~self.used] = emb[RARE]
+        emb[PAD] = 0
+        tables = [(emb @ f[k]).astype(np.float32) for f in filters for k in range(len(f))]
+        model = Model(tables, bias, weight, float(offset[0]), 1.0, 0.0, self.used, {})
+        if not size.all():
+            share = size[1] / max(1, size.sum())
+            model.weight = np.zeros_like(weight)
+            model.offset = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        return model
+
+
+def beginning(seen: np.ndarray, size: np.ndarray, seed: int = 7) -> Fitting:
+    """Where the fit starts, from how many texts of each label hold each row, and how many there are."""
+    rng = np.random.default_rng(seed)
+    used = seen.sum(axis=0) >= MIN_DOCS
+    # a start near the goal: one dimension is a word's log odds of the labels
+    size = np.maximum(1, size)
+    rate = (seen + 0.5) / (size[:, None] + 1)
+    emb = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
+    emb[:, 0] = np.clip(np.log(rate[1] / rate[0]), -2, 4) * used / 2
     emb[PAD] = 0
-    tables = [(emb @ f[k]).astype(np.float32) for f in filters for k in range(len(f))]
-    share = float(np.mean([y for y, _ in train])) if train else 0.0
-    model = Model(tables, bias, weight, offset, 1.0, 0.0, used, {})
-    if len({y for y, _ in train}) < 2:
-        model.weight = np.zeros_like(weight)
-        model.offset = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    _calibrate(model, [(y, lang, rows) for part, y, lang, rows in sample if part == 2])
+    used[PAD] = True
+    filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    for f in filters:
+        f[:, 0] += 1 / len(f)
+    bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
+    weight = rng.normal(0.1, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
+    dense = [*filters, bias, weight, np.zeros(1, np.float32)]
+    sums = [np.full_like(x, 1e-2) for x in dense]
+    # both labels weigh alike
+    return Fitting(used, size.sum() / (2 * size), emb, np.full((ROWS, 1), 1e-2, np.float32), [*dense, *sums])
+
+
+def counted(texts: list[tuple[int, np.ndarray]], seen: np.ndarray) -> None:
+    for y, rows in texts:
+        seen[y, np.unique(rows)] += 1
+
+
+def logits(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """Log odds of the scores, to a thousandth."""
+    p = np.clip(model.scores(texts), 1e-12, 1 - 1e-12)
+    return np.round(np.clip(np.log(p / (1 - p)), -12, 12), 3)
+
+
+def fit(sample: list[tuple], seed: int = 7) -> Model:
+    """The fit of ``(part, label, lang, rows)`` that are one shard: part 0 fits, part 2 calibrates."""
+    train = [(y, rows) for part, y, _, rows in sample if part == 0]
+    seen = np.zeros((2, ROWS))
+    counted(train, seen)
+    size = np.bincount([y for y, _ in train], minlength=2)
+    state = beginning(seen, size, seed)
+    for k in range(EPOCHS if size.all() else 0):
+        state.learn(train, np.random.default_rng((seed, k, 0)))
+    model = state.model(size)
+    apart = [(y, lang, rows) for part, y, lang, rows in sample if part == 2]
+    z = logits(model, [r[2] for r in apart])
+    _calibrate(model, [(y, lang, x, 1) for (y, lang, _), x in zip(apart, z, strict=True)])
+    return model
+
+
+def _texts(b: pa.RecordBatch) -> list[tuple[int, np.ndarray]]:
+    """Label and table rows of each row of a batch of :func:`labelled_rows`."""
+    packed = b.column(b.schema.get_field_index("rows"))
+    labels = b.column(b.schema.get_field_index("toxic")).to_pylist()
+    return [(y, np.frombuffer(r.as_buffer(), "<i4").reshape(-1, 2)) for y, r in zip(labels, packed, strict=True)]
+
+
+def fit_rows(rows: DataFrame, seed: int = 7) -> Model:
+    """The fit of all :func:`labelled_rows`, shards side by side; the mean of what they learnt starts the next round."""
+    sc = rows.sparkSession.sparkContext
+    train = rows.where("part = 0").select("shard", "toxic", "rows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, ROWS), np.int64)
+        for b in batches:
+            counted(_texts(b), seen)
+        y, row = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(row), pa.array(seen[y, row])], ["y", "slot", "n"])
+
+    size = np.zeros(2, np.int64)
+    for label, n in train.groupBy("toxic").count().collect():
+        size[label] = n
+    found = train.mapInArrow(count, "y long, slot long, n long").groupBy("y", "slot").agg(F.sum("n").alias("n"))
+    by_row = found.toArrow()  # at most two rows for each row of the table
+    seen = np.zeros((2, ROWS))
+    seen[by_row["y"].to_numpy(), by_row["slot"].to_numpy()] = by_row["n"].to_numpy()
+    state = beginning(seen, size, seed)
+    names = [f"v{i}" for i in range(DIM + 1)]
+    for k in range(EPOCHS if size.all() else 0):
+        shared = sc.broadcast(state)  # a fixed size: the table and the filters
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            def out(own: Fitting) -> pa.RecordBatch:
+                slots, values = own.packed()
+                return pa.RecordBatch.from_arrays([pa.array(slots), *map(pa.array, values.T.copy())], ["slot", *names])
+
+            own, at = None, None
+            for b in batches:
+                shards, texts = b.column(0).to_numpy(), _texts(b)
+                for shard in np.unique(shards):  # a task's rows come in the order of shards
+                    if shard != at:
+                        if own is not None:
+                            yield out(own)
+                        own, at, rng = shared.value.copy(), shard, np.random.default_rng((seed, k, int(shard)))
+                    own.learn([texts[i] for i in np.flatnonzero(shards == shard)], rng)
+            if own is not None:
+                yield out(own)
+
+        learnt = train.mapInArrow(learn, ", ".join(["slot int", *[f"{v} double" for v in names]]))
+        mean = learnt.groupBy("slot").agg(*[F.avg(v).alias(v) for v in names]).toArrow()  # as many rows as the table
+        state.unpack(mean["slot"].to_numpy(), np.stack([mean[v].to_numpy() for v in names], axis=1))
+        shared.destroy()
+    model = state.model(size)
+    shared = sc.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = logits(shared.value, [r for _, r in _texts(b)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(z, pa.float64())], ["toxic", "lang", "z"])
+
+    scored = rows.where("part = 2").select("toxic", "lang", "rows").mapInArrow(score, "toxic int, lang string, z double")
+    # scores to a thousandth: a bounded number for each language
+    _calibrate(model, [tuple(r) for r in scored.groupBy("toxic", "lang", "z").count().collect()])
+    shared.destroy()
     return model
 
 
 def _calibrate(model: Model, rows: list[tuple]) -> None:
     """Platt scaling on rows apart, then for each language the cut with the fewest errors.
 
-    The cut lies midway between the scores that it parts; a language without both labels has
-    the default.
+    ``rows`` are label, language, log odds and number. The cut lies midway between the scores that
+    it parts; a language without both labels has the default.
     """
-    if len({y for y, _, _ in rows}) < 2:
+    if len({r[0] for r in rows}) < 2:
         return
-    y = np.array([r[0] for r in rows], float)
-    p = np.clip(model.scores([r[2] for r in rows]), 1e-12, 1 - 1e-12)
-    z = np.clip(np.log(p / (1 - p)), -12, 12)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    rows = sorted(rows, key=lambda r: (r[2], r[0], r[1] or ""))
+    y, z, n = (np.array([r[i] for r in rows], float) for i in (0, 2, 3))
+    positive, total = float(n @ y), float(n.sum())
+    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (total - positive + 2))
     a, b = 1.0, 0.0
     for k in range(2000):  # gradient steps, held near the fitted score by a penalty
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         step = 0.2 / (1 + k / 200)
-        a = max(0.05, a - step * (float(((q - target) * z).mean()) / 10 + 1e-3 * (a - 1)))
-        b -= step * (float((q - target).mean()) + 1e-3 * b)
+        a = max(0.05, a - step * (float((q - target) * z @ n) / total / 10 + 1e-3 * (a - 1)))
+        b -= step * (float((q - target) @ n) / total + 1e-3 * b)
     model.scale, model.shift = a, b
     score = 1 / (1 + np.exp(-np.clip(model.scale * z + b, -40, 40)))
     langs = np.array([r[1] or "" for r in rows])
     for lang in sorted(set(langs)):
-        s, t = score[langs == lang], y[langs == lang]
-        if len(set(t)) < 2:
+        own = langs == lang
+        s, place = np.unique(score[own], return_inverse=True)
+        ones = np.bincount(place, n[own] * y[own])
+        zeros = np.bincount(place, n[own] * (1 - y[own]))
+        if not ones.sum() or not zeros.sum():
             continue
-        order = np.argsort(s)
-        s, t = s[order], t[order]
-        errors = np.concatenate(([0], np.cumsum(t))) + (len(t) - t.sum() - np.concatenate(([0], np.cumsum(1 - t))))
+        errors = np.concatenate(([0], np.cumsum(ones))) + (zeros.sum() - np.concatenate(([0], np.cumsum(zeros))))
         k = int(errors.argmin())
         low, high = s[k - 1] if k else 0.0, s[k] if k < len(s) else 1.0
         model.thresholds[lang] = float(np.clip((low + high) / 2, 0.3, 0.9))
@@ -246,7 +386,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    model = fit(labelled_sample(docs, labels))
+    model = fit_rows(labelled_rows(docs, labels))
     shared = spark.sparkContext.broadcast(model)  # a fixed size: the tables of the filters
     names = [c for c in docs.columns if c not in ("score", "rejected")]
     at = names.index("text")

@@ -46,6 +46,34 @@ def test_toxicity_learns_words_and_ignores_columns(spark):
     assert toxicity.toxicity(docs.where("false"), labels.where("false")).collect() == []
 
 
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 == 0]
+    rows = [(i, "plain words " + ("vile" if i % 2 else "kind") + f" {i % 7}", "en", i % 2) for i in ids]
+    rows[5] = (ids[5], "kind " * 30_000, "en", 0)  # a long text is learnt from whole
+    apart = [(9000 + i, "some vile" if i % 2 else "some kind", "en", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows + apart, "doc_id long, text string, lang string, toxic int").repartition(5)
+    found = toxicity.labelled_rows(df.drop("toxic"), df.select("doc_id", "toxic"))
+    kept = found.where("part = 0").selectExpr("shard", "toxic", "octet_length(rows) AS n").collect()
+    assert sum(r.toxic == 1 for r in kept) >= sum(r[3] for r in rows)
+    assert len(kept) >= len(rows) and max(r.n for r in kept) == 8 * 30_000
+    assert len({r.shard for r in kept}) > 20
+    model = toxicity.fit_rows(found)
+    texts = list(toxicity.table_rows(pa.array(["such vile things", "such kind things"])))
+    bad, good = model.scores(texts)
+    assert bad > 0.7 > 0.3 > good
+
+
+def test_shards_on_spark_learn_as_one_does_here(spark):
+    r = np.random.default_rng(2)
+    sample = [(p, y, "en", (r.integers(2, 50, (4 + i % 5, 2)) + 40 * y).astype("<i4")) for p in (0, 2) for i in range(30) for y in (0, 1)]
+    rows = [(p, 0, y, lang, x.tobytes()) for p, y, lang, x in sample]
+    df = spark.createDataFrame(rows, "part int, shard int, toxic int, lang string, rows binary").coalesce(1)
+    got, want = toxicity.fit_rows(df), toxicity.fit(sample)
+    texts = [x for _, _, _, x in sample]
+    assert np.allclose(got.scores(texts), want.scores(texts), atol=1e-4) and got.thresholds.keys() == want.thresholds.keys()
+
+
 def test_long_text_is_scored_whole(monkeypatch):
     sample = [(p, y, "en", np.full((3 + y, 2), 5 + y)) for p in (0, 2) for y in (0, 1) for _ in range(20)]
     model = toxicity.fit(sample)
