@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from llm.shared import cut, ship
 from llm.words import ALNUM, words_by_text
@@ -29,7 +29,7 @@ from llm.words import ALNUM, words_by_text
 SHARD_ROWS = 2000
 MIN_DOCS = 4
 PREFIX = 6
-ROWS = 1 << 16
+ROWS = 1 << 16  # numbers of rows are stored in two bytes
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -112,18 +112,20 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     shards = max(1, -(-clean.where("part = 0").count() // SHARD_ROWS))
 
+    own = docs.where(f"{HELD_OUT.format('doc_id')} <> 1").select("doc_id", "lang", "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = pa.array([r.astype("<i4").tobytes() for r in table_rows(b.column(5))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], packed], ["part", "shard", "key", "toxic", "lang", "rows"])
+            packed = pa.array([r.astype("<u2").tobytes() for r in table_rows(b.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], packed], ["doc_id", "lang", "rows"])
 
-    own = docs.select("doc_id", "text", "lang").where(f"{HELD_OUT.format('doc_id')} <> 1")
-    joined = own.join(clean, "doc_id").withColumn("key", F.xxhash64("doc_id"))
-    kept = joined.select(
+    # what is dealt are words' rows, less than their text; the labels grow with the documents: no broadcast
+    schema = StructType([*own.schema.fields[:2], StructField("rows", BinaryType())])
+    joined = own.mapInArrow(run, schema).join(clean.hint("merge"), "doc_id").withColumn("key", F.xxhash64("doc_id"))
+    found = joined.select(
         F.col("part").cast("int"), F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key",
-        F.col("toxic").cast("int"), "lang", "text",
+        F.col("toxic").cast("int"), "lang", "rows",
     )
-    found = kept.mapInArrow(run, "part int, shard int, key long, toxic int, lang string, rows binary")
     dealt = found.repartition(shards, "shard").sortWithinPartitions("part", "shard", "key", "toxic", "rows")
     return cut(dealt.drop("key"))
 
@@ -201,7 +203,7 @@ class Fitting:
         at = np.flatnonzero(self.touched)
         flat = np.concatenate([x.ravel() for x in self.dense])
         flat = np.concatenate((flat, np.zeros(-len(flat) % (DIM + 1), flat.dtype))).reshape(-1, DIM + 1)
-        values = np.concatenate((np.concatenate((self.emb[at], self.g_emb[at]), axis=1), flat)).astype(np.float64)
+        values = np.concatenate((np.concatenate((self.emb[at], self.g_emb[at]), axis=1), flat)).astype(np.float32)
         return np.concatenate((at, ROWS + np.arange(len(flat)))).astype(np.int32), values
 
     def unpack(self, slots: np.ndarray, values: np.ndarray) -> None:
@@ -281,7 +283,7 @@ def _texts(b: pa.RecordBatch) -> list[tuple[int, np.ndarray]]:
     """Label and table rows of each row of a batch of :func:`labelled_rows`."""
     packed = b.column(b.schema.get_field_index("rows"))
     labels = b.column(b.schema.get_field_index("toxic")).to_pylist()
-    return [(y, np.frombuffer(r.as_buffer(), "<i4").reshape(-1, 2)) for y, r in zip(labels, packed, strict=True)]
+    return [(y, np.frombuffer(r.as_buffer(), "<u2").reshape(-1, 2)) for y, r in zip(labels, packed, strict=True)]
 
 
 def fit_rows(rows: DataFrame, seed: int = 7) -> Model:
@@ -325,7 +327,7 @@ def fit_rows(rows: DataFrame, seed: int = 7) -> Model:
             if own is not None:
                 yield out(own)
 
-        learnt = train.mapInArrow(learn, ", ".join(["slot int", *[f"{v} double" for v in names]]))
+        learnt = train.mapInArrow(learn, ", ".join(["slot int", *[f"{v} float" for v in names]]))
         mean = learnt.groupBy("slot").agg(*[F.avg(v).alias(v) for v in names]).toArrow()  # as many rows as the table
         state.unpack(mean["slot"].to_numpy(), np.stack([mean[v].to_numpy() for v in names], axis=1))
         shared.destroy()

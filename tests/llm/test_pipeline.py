@@ -56,7 +56,7 @@ def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
     found = toxicity.labelled_rows(df.drop("toxic"), df.select("doc_id", "toxic"))
     kept = found.where("part = 0").selectExpr("shard", "toxic", "octet_length(rows) AS n").collect()
     assert sum(r.toxic == 1 for r in kept) >= sum(r[3] for r in rows)
-    assert len(kept) >= len(rows) and max(r.n for r in kept) == 8 * 30_000
+    assert len(kept) >= len(rows) and max(r.n for r in kept) == 4 * 30_000
     assert len({r.shard for r in kept}) > 20
     model = toxicity.fit_rows(found)
     texts = list(toxicity.table_rows(pa.array(["such vile things", "such kind things"])))
@@ -66,7 +66,7 @@ def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
 
 def test_shards_on_spark_learn_as_one_does_here(spark):
     r = np.random.default_rng(2)
-    sample = [(p, y, "en", (r.integers(2, 50, (4 + i % 5, 2)) + 40 * y).astype("<i4")) for p in (0, 2) for i in range(30) for y in (0, 1)]
+    sample = [(p, y, "en", (r.integers(2, 50, (4 + i % 5, 2)) + 40 * y).astype("<u2")) for p in (0, 2) for i in range(30) for y in (0, 1)]
     rows = [(p, 0, y, lang, x.tobytes()) for p, y, lang, x in sample]
     df = spark.createDataFrame(rows, "part int, shard int, toxic int, lang string, rows binary").coalesce(1)
     got, want = toxicity.fit_rows(df), toxicity.fit(sample)
