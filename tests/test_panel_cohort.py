@@ -26,6 +26,11 @@ def ordered(df):
     return df.toPandas().sort_values(["caseid", "wave"]).reset_index(drop=True)
 
 
+def test_joined_panel_plans_no_wide_projections(survey):
+    plan = pn.join_panel(survey)._jdf.queryExecution().optimizedPlan().toString()
+    assert "clean:" not in plan and len(plan) < 100_000
+
+
 def test_fused_panel_equals_join_chain(survey):
     fused, joined = pn.build_panel(survey), pn.join_panel(survey)
     assert fused.columns == joined.columns == list(pn.PANEL_COLUMNS)
