@@ -36,6 +36,24 @@ def test_all_conditions_take_four_passes(spark, monkeypatch):
     assert found["5"] == [None, None, None]
 
 
+def test_passes_after_the_first_read_what_lies_under_the_prefixes(spark, monkeypatch):
+    read = []
+    counted = md.digit_counts
+    monkeypatch.setattr(md, "digit_counts", lambda *a: read.append(a[0].cache().count()) or counted(*a))
+    x = np.random.default_rng(5).lognormal(size=4000)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 4000, "x double").repartition(5)
+    assert md.global_median(df, "x") == pytest.approx(np.median(x), rel=1e-15)
+    assert read[0] == 4000 and len(read) == 4 and max(read[1:]) < 1000
+
+
+@pytest.mark.parametrize("values", [
+    [-np.inf, -np.inf, 0.0, np.inf, np.inf], [-0.0, 0.0, -0.0], [-1.797e308, 1.797e308, np.inf], [-3.0, -3.0, -2.5],
+])
+def test_quantiles_at_the_ends_of_the_doubles(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    assert md.global_quantiles(df, "x", (0.0, 0.5, 1.0)) == [min(values), sorted(values)[len(values) // 2], max(values)]
+
+
 def test_order_of_doubles_is_kept():
     x = np.array([-np.inf, -1.5, -5e-324, 0.0, 5e-324, 1.5, np.inf])
     keys = md.ordered(x)
