@@ -206,6 +206,17 @@ def exchanges(df) -> int:
     return len(re.findall("(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()))
 
 
+def test_panel_dealt_before_its_rows_are_made(spark, survey):
+    panel = pn.build_panel(survey, parts=8)
+    again = panel.repartition(8, "caseid")
+    lines = again._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = {name: [i for i, x in enumerate(lines) if re.search(rf"\b{name}\b", x)] for name in ("Exchange", "Generate")}
+    assert len(at["Exchange"]) == 1 and at["Generate"][0] < at["Exchange"][0]
+    persons = panel.select("caseid", F.spark_partition_id().alias("p")).distinct()
+    assert persons.count() == panel.select("caseid").distinct().count()
+    pd.testing.assert_frame_equal(ordered(panel), ordered(pn.build_panel(survey)))
+
+
 def test_panel_in_buckets_needs_no_exchange(spark, survey):
     panel = saved_by_person(pn.build_panel(survey), "panel_by_person", buckets=8)
     pd.testing.assert_frame_equal(ordered(panel), ordered(pn.build_panel(survey)))
