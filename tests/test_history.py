@@ -101,7 +101,7 @@ def test_in_row_equals_windows(long, spark):
 def test_emitted_rows_are_compiled_once(spark):
     wide = spark.createDataFrame([(1, 2.0), (None, None), (1, 2.0)], "caseid int, x double")
     rows = [{"wave": str(w), "y": f"CASE WHEN x > {w} THEN x * {w} END"} for w in range(3)]
-    got = inrow.emit_rows(wide, ["caseid"], rows)
+    got = inrow.emit_rows(wide, ["caseid"], rows, projected=True)
     want = [(c, w, x * w if x is not None and x > w else None) for c, x in [(1, 2.0), (None, None), (1, 2.0)] for w in range(3)]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
