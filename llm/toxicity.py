@@ -90,7 +90,8 @@ class Model:
                 ends = starts + np.maximum(1, [len(x) for x in texts[i:j]])
                 found[i:j] = self._answers(np.concatenate([*parts, gap]), starts, ends)
             i = j
-        z = np.maximum(found + self.bias, 0) @ self.weight + self.offset
+        # summed text by text: a product of matrices rounds by how many texts there are
+        z = (np.maximum(found + self.bias, 0) * self.weight).sum(axis=1) + self.offset
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40).astype(np.float64)))
 
 
