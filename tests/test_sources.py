@@ -1,5 +1,6 @@
 import pytest
 
+from panelwave.plans import catalog
 from panelwave.plans import topics as tp
 from panelwave.sources import derived as dv
 from panelwave.sources import names as nm
@@ -78,3 +79,41 @@ def test_repeated_headers_come_back_as_names():
     written = dv.repeated_headers(columns)
     assert len({c.strip() for c in written}) < len(columns) / 3
     assert nm.unique_headers(written) == columns
+
+
+@pytest.fixture
+def star(spark, tmp_path):
+    """Customers with repeated and null keys, and their orders."""
+    customers = [(1, 3, 10.5), (1, 3, 10.5), (2, None, -7.25), (3, 4, None), (None, 1, 99.0), (4, 0, 0.0)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    orders = [(1, "F", 900.25, "1995-02-01", "1-URGENT"), (1, "O", 12.5, "1995-02-02", "5-LOW")]
+    orders += [(2, "F", 70000.0, "1998-11-30", "2-HIGH"), (3, None, None, "2001-12-31", None)]
+    orders += [(None, "F", 5.0, "1996-01-01", "1-URGENT"), (4, "F", 123456.78, None, "1-URGENT")]
+    spark.createDataFrame(
+        orders, "o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+    ).selectExpr("* EXCEPT (o_orderdate)", "CAST(o_orderdate AS timestamp) AS o_orderdate").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    return str(tmp_path)
+
+
+def test_survey_goes_straight_into_its_csv_files(spark, star, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "shared_dir", lambda spark: str(tmp_path / "files"))
+    monkeypatch.setattr(catalog, "saved", None)  # nothing but the CSV files is written
+    monkeypatch.setattr(catalog, "survey", None)
+    got = catalog.read_wide_csv(spark, star)
+    files = list((tmp_path / "files").rglob("*.csv"))
+    lines = [line for f in files for line in f.read_text().splitlines() if not line.startswith("CASEID")]
+    assert len(lines) == 6 and "." not in "".join(lines)
+    want = nm.snake_names(dv.survey_wide(spark, star))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_csv_files_are_made_of_a_written_survey(spark, star):
+    wide = catalog.survey(spark, star).collect()
+    assert sorted(map(repr, map(tuple, catalog.read_wide_csv(spark, star).collect()))) == sorted(
+        map(repr, map(tuple, wide))
+    )
