@@ -31,6 +31,15 @@ def test_joined_panel_plans_no_wide_projections(survey):
     assert "clean:" not in plan and len(plan) < 100_000
 
 
+def test_joined_panel_sends_no_topic_through_the_driver(survey):
+    panel = pn.join_panel(survey)
+    panel.collect()
+    for plan in (panel._jdf.queryExecution().sparkPlan(), panel._jdf.queryExecution().executedPlan()):
+        assert "Broadcast" not in plan.toString()
+    joins = panel._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin")
+    assert joins == len(tp.JOINED_TOPICS) + 1
+
+
 def test_fused_panel_equals_join_chain(survey):
     fused, joined = pn.build_panel(survey), pn.join_panel(survey)
     assert fused.columns == joined.columns == list(pn.PANEL_COLUMNS)
