@@ -40,6 +40,21 @@ def test_joined_panel_sends_no_topic_through_the_driver(survey):
     assert joins == len(tp.JOINED_TOPICS) + 1
 
 
+def test_joined_panel_deals_its_rows_before_most_topics(survey):
+    node, met = pn.join_panel(survey)._jdf.queryExecution().executedPlan().initialPlan(), 0
+    while "Exchange" not in node.nodeName():
+        met += node.nodeName() == "SortMergeJoin"
+        node = node.children().head()
+    assert met == len(tp.JOINED_TOPICS) - 2
+
+
+def test_joined_panel_of_an_unknown_person(survey):
+    wide = survey.where("CASEID < 2").withColumn("CASEID", F.expr("nullif(CASEID, 1)"))
+    fused, joined = pn.build_panel(wide, drugs_fixed=True), pn.join_panel(wide, drugs_fixed=True)
+    assert joined.where("caseid IS NULL AND race IS NOT NULL").count() == 27
+    pd.testing.assert_frame_equal(ordered(fused), ordered(joined))
+
+
 def test_fused_panel_equals_join_chain(survey):
     fused, joined = pn.build_panel(survey), pn.join_panel(survey)
     assert fused.columns == joined.columns == list(pn.PANEL_COLUMNS)
